@@ -6,8 +6,9 @@ Nothing is emitted for pairs of copies: documents with equal n-gram sets are one
 2. ``_alive``: the product's first, cheap block pass. A class that links with another shares at least
    ``t * n * extra`` n-grams among the first ``(1 - t + extra) * n`` of both, in any common order; column blocks count for
    each class how many of these columns have a second class, and classes below the bound go.
-3. ``_candidates``: classes that share one of the first ``(1 - t) * n + 1`` columns may link. The order puts frequent
-   columns last, so passages that many texts share don't bring them together.
+3. ``_rarest`` and ``_candidates``: a second block pass over what is left counts the classes of every column; classes
+   that share one of the first ``(1 - t) * n + 1`` columns in the order of these counts may link. Columns of one class
+   come first and frequent ones last, so passages that many texts share don't bring them together.
 4. ``_links``: the product itself for each group of candidates, in blocks of rows whose size is bounded; overlap counts
    are accumulated column by column and pairs below the bound from their sizes are discarded.
 """
@@ -31,9 +32,6 @@ from .textbuf import U, buffers, mix, pack, set_digests, shingle_sets, spans, un
 EXTRA = Fraction(1, 8)
 #: Bytes of text handled at once, n-grams in a column block and in a row block.
 TEXT_BYTES, COLUMN_BLOCK, ROW_BLOCK = 4 << 20, 1_000_000, 150_000
-#: Columns with more classes than this go last in the order; so many of them at most are told to the tasks (8 bytes each).
-FREQUENT, MOST_FREQUENT = 64, 200_000
-_LOW48 = U((1 << 48) - 1)
 
 
 def _sets(docs: DataFrame, width: int, sets: bool) -> DataFrame:
@@ -69,9 +67,9 @@ def _first(h: np.ndarray, bounds: np.ndarray, take: np.ndarray) -> tuple[np.ndar
     return h[keep], row[keep]
 
 
-def _blocks(h: np.ndarray, cells: dict[str, tuple[np.ndarray, int]], blocks: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Column block, then the packed hashes and cells in it."""
-    block = ((h >> U(48)) % U(blocks)).astype(np.int64)
+def _blocks(h: np.ndarray, cells: dict[str, tuple[np.ndarray, int]], blocks: int, key: np.ndarray | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """Column block, from the high bits of the hash if ``key`` is none, then the packed hashes and cells in it."""
+    block = ((h >> U(48) if key is None else key) % U(blocks)).astype(np.int64)
     order = np.argsort(block, kind="stable")
     edge = np.searchsorted(block[order], np.arange(blocks + 1))
     h = h[order]
@@ -81,6 +79,10 @@ def _blocks(h: np.ndarray, cells: dict[str, tuple[np.ndarray, int]], blocks: int
         yield int(b), [pack(h[s], 6), *(pack(v[s], k) for v, k in values)]
 
 
+def _rows(got: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x[0] for _, x in got], pa.binary()), pa.array([x[1] for _, x in got], pa.binary())], ["block", "h", "c"])
+
+
 def _columns(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Incidence of a column block without repeats: hashes and classes in order, the first of each column, classes in each."""
     h = np.concatenate([unpack(x.as_py(), 6) for x in table["h"]])
@@ -95,7 +97,7 @@ def _columns(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _alive(docs: DataFrame, width: int, t: Fraction, blocks: int) -> DataFrame:
-    """``frequent, key, n``: shared columns of each class key (40 bits), or the number of classes of a frequent column."""
+    """``key, n``: how many of the first columns of each class key (40 bits) have a second class, block by block."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,43 +111,67 @@ def _alive(docs: DataFrame, width: int, t: Fraction, blocks: int) -> DataFrame:
                 h, row = _first(h, bounds, np.where(once, _prefix(np.diff(bounds), t, EXTRA), 0))
                 got = list(_blocks(h, {"c": (key[row], 5)}, blocks))
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x[0] for _, x in got], pa.binary()), pa.array([x[1] for _, x in got], pa.binary())], ["block", "h", "c"])
+                    yield _rows(got)
 
     def count(table: pa.Table) -> pa.Table:
         h, c, start, df = _columns(table, 5)
         shared = np.repeat(df > 1, df)
         key, n = np.unique(c[shared], return_counts=True)
-        hot = df > FREQUENT
-        return pa.table({
-            "frequent": pa.array(np.concatenate([np.zeros(len(key), bool), np.ones(hot.sum(), bool)])),
-            "key": pa.array(np.concatenate([key, h[start[hot]]]).astype(np.int64)),
-            "n": pa.array(np.concatenate([n, df[hot]]).astype(np.int64)),
-        })
+        return pa.table({"key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    return docs.select("text").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(count, "frequent boolean, key long, n long")
+    return docs.select("text").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(count, "key long, n long")
 
 
-def _candidates(sets: DataFrame, t: Fraction, blocks: int, frequent: np.ndarray) -> DataFrame:
-    """Edges ``u, v`` from each class to the smallest class of every column that is early in both."""
-    rare_first = sets.sparkSession.sparkContext.broadcast(frequent)
+def _rarest(sets: DataFrame, blocks: int) -> DataFrame:
+    """``node, h, df``: the columns of each class that have a second one, with their numbers of classes, block by block."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = rare_first.value
         for batch in batches:
             raw, offs = buffers(batch.column("grams"))
             node = np.asarray(batch.column("node")).view(np.uint64)
             for a, z in spans(offs, TEXT_BYTES):
-                h = raw[offs[a] : offs[z]].view("<u8").astype(np.uint64)
-                bounds = (offs[a : z + 1] - offs[a]) // 8
-                row = np.repeat(np.arange(z - a), np.diff(bounds))
-                low = h & _LOW48
-                at = np.searchsorted(last, low)
-                hot = (last[np.minimum(at, len(last) - 1)] == low) if len(last) else np.zeros(len(h), bool)
-                h = h[np.lexsort((h, hot, row))]
-                h, row = _first(h, bounds, _prefix(np.diff(bounds), t, Fraction(0)))
-                got = list(_blocks(h, {"c": (node[a:z][row], 8)}, blocks))
+                row = np.repeat(np.arange(a, z), np.diff(offs[a : z + 1]) // 8)
+                got = list(_blocks(raw[offs[a] : offs[z]].view("<u8").astype(np.uint64), {"c": (node[row], 8)}, blocks))
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x[0] for _, x in got], pa.binary()), pa.array([x[1] for _, x in got], pa.binary())], ["block", "h", "c"])
+                    yield _rows(got)
+
+    def count(table: pa.Table) -> pa.Table:
+        h, c, _, df = _columns(table, 8)
+        each = np.repeat(df, df)
+        shared = each > 1
+        h, c, each = h[shared], c[shared], np.minimum(each[shared], 0xFFFF)
+        order = np.argsort(c, kind="stable")
+        h, c, each = h[order], c[order], each[order].astype("<u2")
+        heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        cut = list(zip(heads, np.append(heads[1:], len(c)), strict=True))
+        return pa.table({
+            "node": pa.array(c[heads].view(np.int64)), "h": pa.array([pack(h[s:e], 6) for s, e in cut], pa.binary()),
+            "df": pa.array([each[s:e].tobytes() for s, e in cut], pa.binary()),
+        })
+
+    return sets.select("node", "grams").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(count, "node long, h binary, df binary")
+
+
+def _candidates(ranked: DataFrame, t: Fraction, blocks: int) -> DataFrame:
+    """Edges ``u, v`` from each class to the smallest class of every column that is early in both.
+
+    ``ranked(node, n, h, df)`` lists the shared columns of a class; all others have one class and come before them.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, cs = [], []
+            take = _prefix(np.asarray(batch.column("n")), t, Fraction(0))
+            for node, n, p, h, df in zip(np.asarray(batch.column("node")), np.asarray(batch.column("n")), take, batch.column("h"), batch.column("df"), strict=True):
+                own = unpack(b"".join(h.as_py()), 6)
+                p -= n - len(own)
+                if p > 0:
+                    own = own[np.lexsort((own, np.frombuffer(b"".join(df.as_py()), "<u2")))][:p]
+                    hs.append(own)
+                    cs.append(np.full(len(own), node))
+            if hs:
+                h = np.concatenate(hs)
+                yield _rows(list(_blocks(h, {"c": (np.concatenate(cs).view(np.uint64), 8)}, blocks, h)))
 
     def pair(table: pa.Table) -> pa.Table:
         _, c, start, df = _columns(table, 8)
@@ -154,7 +180,7 @@ def _candidates(sets: DataFrame, t: Fraction, blocks: int, frequent: np.ndarray)
         edge = np.unique(np.stack([c, low])[:, c != low], axis=1)
         return pa.table({"u": pa.array(edge[0]), "v": pa.array(edge[1])})
 
-    return sets.select("node", "grams").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(pair, "u long, v long").distinct()
+    return ranked.select("node", "n", "h", "df").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(pair, "u long, v long").distinct()
 
 
 def _overlaps(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,10 +259,8 @@ def _join(docs: DataFrame, scratch: Scratch, threshold: float, width: int, pairs
     total = classes.agg(F.sum("n")).first()[0] or 0
     blocks = lambda share: min(60_000, max(16, math.ceil(total * share / COLUMN_BLOCK)))
     alive = scratch.table(_alive(docs, width, t, blocks(float(1 - t + EXTRA))), "alive")
-    hot = alive.where("frequent").orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").collect()
-    frequent = np.sort(np.array([r.key for r in hot], np.int64).view(np.uint64))
     least = F.ceil(F.ceil(F.col("n") * t.numerator / F.lit(t.denominator)) * EXTRA.numerator / F.lit(EXTRA.denominator))
-    shared = alive.where("not frequent").groupBy("key").agg(F.sum("n").alias("shared"))
+    shared = alive.groupBy("key").agg(F.sum("n").alias("shared"))
     left = scratch.table(
         classes.withColumn("key", F.col("node").bitwiseAND(F.lit((1 << 40) - 1))).join(shared, "key").where(F.col("shared") >= F.greatest(F.lit(1), least)).select("node", "n", "rep"), "left"
     )
@@ -247,11 +271,14 @@ def _join(docs: DataFrame, scratch: Scratch, threshold: float, width: int, pairs
     text = docs.select("doc_id", "text")
     text = text.join(some.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     sets = scratch.table(_sets(text, width, True).join(left.select("node"), "node", "left_semi"), "sets")
-    near = connected_components(_candidates(sets, t, blocks(float(1 - t)), frequent), scratch)
+    some_grams = left.agg(F.sum("n")).first()[0] or 0
+    few = max(16, math.ceil(some_grams / COLUMN_BLOCK))
+    ranked = _rarest(sets, few).groupBy("node").agg(F.collect_list("h").alias("h"), F.collect_list("df").alias("df")).join(left.select("node", "n"), "node")
+    near = connected_components(_candidates(ranked, t, few), scratch)
     near = scratch.table(near, "near")
-    size = near.join(left.select(F.col("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("grams_in"))
+    size = near.join(left.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("grams_in"))
     size = size.withColumn("parts", F.ceil(F.col("grams_in") / ROW_BLOCK).cast("long"))
-    bins = max(16, math.ceil(total / ROW_BLOCK))
+    bins = max(16, math.ceil(some_grams / ROW_BLOCK))
     group = sets.join(near, "node").join(size, "root")
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
     group = group.withColumn("part", part).withColumn("other", F.explode(F.expr("case when parts = 1 then array(0L) else sequence(0L, parts - 1) end")))

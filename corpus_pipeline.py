@@ -6,22 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pointloom.llm import ngram_join
-from pointloom.llm.scratch import Scratch
+from pointloom.llm import chunk_dedup, decontaminate, ngram_join, packing, ppm_langid
+from pointloom.plans.scratch import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or that no learned language codes in fewer bits than they have, go."""
+    return ppm_langid.accepted(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles link at 0.75 stays: the one with the smallest doc_id."""
     return ngram_join.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out; documents of which nothing is left go."""
+    return chunk_dedup.without_repeats(docs)
+
+
+def no_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of what is left in sequences of at most 2048 tokens."""
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", known_language),
     ("ngram_join", near_copies),
+    ("substring_dedup", repeated_passages),
+    ("decontamination", no_test_items),
+    ("packing", packed),
 ]
 
-#: Packing and language models lie outside of SQL; tests hold run() against a brute-force version.
+#: Code lengths, gear hashes and tokenizers lie outside of SQL; tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import Scratch
+from ..operators.graph import connected_components
+from ..plans.scratch import Scratch
 from .textbuf import U, buffers, mix, pack, set_digests, shingle_sets, spans, unpack
 
 #: Share of a set by which the first pass looks further than the prefix bound.

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import order
-from .scratch import Scratch
+from ..plans.scratch import Scratch
 from .textbuf import buffers, spans
 from .tokens import Encoder
 
 BITS, BLOCK_BITS, MAGIC = 8, 512, b"DAC1"
 #: Tokens after which a segment ends.
 SEGMENT = 1 << 20
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 4 << 20
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
                         before = before + held if b[s] == bucket else 0
                         doc_ids, sizes, ids, held = [], [], [], 0
                     bucket = int(b[s])
-                    own, n = encoder.encode([raw[offs[i] : offs[i + 1]].tobytes() for i in range(s, e)])
+                    own, n = encoder.encode(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])
                     doc_ids.append(batch.column("doc_id").slice(s, e - s))
                     sizes.append(n)
                     ids.append(own)

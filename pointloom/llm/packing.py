@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from ..plans.scratch import Scratch
 from .textbuf import buffers, spans
 from .tokens import Encoder
 
 WINDOW, GRAIN, DEPTH = 2048, 8, 3
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 4 << 20
 #: Rows of a part of a class, roughly, and parts at most.
 PART_ROWS, MOST_PARTS = 100_000, 1024
 
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
             raw, offs = buffers(batch.column("text"))
             doc_ids = batch.column("doc_id")
             for a, z in spans(offs, TEXT_BYTES):
-                ids, count = encoder.encode([raw[offs[i] : offs[i + 1]].tobytes() for i in range(a, z)])
+                ids, count = encoder.encode(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
                 parts = -(-count // window)
                 row = np.repeat(np.arange(z - a), parts)
                 start = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * window

@@ -1,7 +1,9 @@
 """Token ids by a public tokenizer, in bulk.
 
 The tokenizers used here split a text at white space before anything else, so ids of a text are those of its pieces, one
-after another. Each process keeps the ids of the pieces it has met, up to a bound, and asks the library for new ones only.
+after another; within a piece, a run of letters is a word by itself, and so is a single mark after one. Each process
+keeps the ids of the pieces it has met, up to a bound. New words of Latin letters go to the library's model directly, all
+other new pieces through the whole library.
 """
 
 from __future__ import annotations
@@ -9,10 +11,18 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces, and bytes of them, that a process remembers.
-PIECES, PIECE_BYTES = 400_000, 48 << 20
+PIECES, PIECE_BYTES = 800_000, 48 << 20
 END = 1
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MARKS = frozenset(".,!?;:)")
+# byte-level tokenizers write bytes that don't print as characters from 256 on, in their order
+_PRINT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _PRINT} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in set(_PRINT))}
 
 
 class Encoder:
@@ -25,6 +35,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self._forget()
 
     @classmethod
@@ -42,38 +53,72 @@ class Encoder:
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _ids(self, text: str) -> list[int]:
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            lower = text.lower()
+            word = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTES)
+            return [t.id for t in self.model.tokenize(word)]
+        return self.library.encode(text, add_special_tokens=False).ids
+
     def _learn(self, new: list[bytes]) -> None:
-        found = self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        ids = [e.ids for e in found]
+        found: dict[bytes, list[int]] = {}
+        stems: dict[str, list[int]] = {}
+
+        def ids_of(text: str) -> list[int]:
+            got = stems.get(text)
+            if got is None:
+                got = stems[text] = self._ids(text)
+            return got
+
+        for piece in new:
+            text = piece.decode()
+            if len(text) > 1 and text[-1] in _MARKS and text[-2].isalnum():
+                found[piece] = ids_of(text[:-1]) + ids_of(text[-1])
+            else:
+                found[piece] = ids_of(text)
         at, n = len(self.index), len(new)
         while at + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        sizes = np.fromiter(map(len, ids), np.int64, n)
+        sizes = np.fromiter(map(len, found.values()), np.int64, n)
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.size[at : at + n] = sizes
         self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = [i for x in found.values() for i in x]
         self.used += total
-        self.index.update(zip(new, range(at, at + n), strict=True))
+        self.index.update(zip(found, range(at, at + n), strict=True))
         self.bytes += sum(map(len, new))
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with ``END`` after it, and how many each text has."""
+    def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts whose UTF-8 bytes are between the offsets, each with ``END`` after it, and how many each has."""
         if len(self.index) > PIECES or self.bytes > PIECE_BYTES:
             self._forget()
-        per = [t.split() for t in texts]  # ASCII white space
-        pieces = [p for x in per for p in x]
-        new = set(pieces).difference(self.index)
+        rows = len(offs) - 1
+        solid = ~_SPACE[raw]
+        first = np.zeros(len(raw) + 1, bool)
+        first[offs[:-1]] = True
+        begins = solid.copy()
+        begins[1:] &= ~solid[:-1] | first[1:-1]
+        start = np.flatnonzero(begins)
+        per = np.diff(np.searchsorted(start, offs))
+        left = np.cumsum(solid)  # bytes that aren't white space, up to each
+        edge = np.append(left[start] - 1, left[-1] if len(left) else 0).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(raw[solid].tobytes())])
+        coded = pc.dictionary_encode(pieces)
+        kinds = coded.dictionary.to_pylist()
+        new = [p for p in kinds if p not in self.index]
         if new:
-            self._learn(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            self._learn(new)
+        known = np.fromiter(map(self.index.__getitem__, kinds), np.int64, len(kinds))
+        at = known[np.asarray(coded.indices)]
         size = self.size[at]
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[at] - (ends - size), size)]
-        row_end = np.concatenate([[0], ends])[np.cumsum([len(x) for x in per])] if texts else np.zeros(0, np.int64)
+        row_end = np.concatenate([[0], ends])[np.cumsum(per)] if rows else np.zeros(0, np.int64)
         count = np.diff(np.concatenate([[0], row_end]))
-        out = np.full(len(ids) + len(texts), END, np.uint32)
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), count)] = ids
+        # places of the ids, with one left free after each text
+        put = ends - size + np.repeat(np.arange(rows), per)
+        out = np.full(int(count.sum()) + rows, END, np.uint32)
+        step = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+        out[np.repeat(put, size) + step] = self.flat[np.repeat(self.begin[at], size) + step]
         return out, count + 1

@@ -56,6 +56,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "spots").select("doc_id", "spots")
 
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Links between fingerprints ``(a, b, likeness)`` by the smallest doc_id of each, and members ``(doc_id, rep)``.
+
+    Equal fingerprints are one class and aren't paired; empty ones link with nothing and represent themselves. Classes are
+    partitioned by set length, the bounds a factor ``threshold`` apart, so one meets its own partition and the next only;
+    within these, classes meet over the signatures that are rarest in the corpus, as many of each as pigeonholes ask for,
+    and pairs whose lengths exclude the threshold go before their sets are compared.
+    """
+    rows = fingerprints(docs).withColumn("spots", F.array_sort("spots")).withColumn("print", F.xxhash64("spots"))
+    kinds = rows.where("size(spots) > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("spots").alias("spots"))
+    members = rows.select("doc_id", "print", F.size("spots").alias("n")).join(kinds.select("print", "rep"), "print", "left").select("doc_id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
+    spot = kinds.select("print", F.size("spots").alias("n"), F.explode("spots").alias("spot"))
+    often = spot.groupBy("spot").agg(F.count("*").alias("df"))
+    ranked = spot.join(often, "spot").groupBy("print", "n").agg(F.array_sort(F.collect_list(F.struct("df", "spot"))).alias("r"))
+    early = ranked.select("print", "n", F.explode(F.slice("r", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("r"))
+    early = early.where("r.df > 1").select("print", "n", "r.spot", F.floor(F.log(F.col("n")) / F.log(F.lit(1 / threshold)) if threshold < 1 else F.col("n")).alias("part"))
+    left = early.select(F.col("print").alias("u"), F.col("n").alias("nu"), "spot", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    right = early.select(F.col("print").alias("v"), F.col("n").alias("nv"), "spot", "part")
+    fits = (F.col("u") != F.col("v")) & (F.least("nu", "nv") >= F.greatest("nu", "nv") * threshold)
+    pairs = left.join(right, ["spot", "part"]).where(fits).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    x, y = kinds.select(F.col("print").alias("u"), F.col("rep").alias("ru"), F.col("spots").alias("su")), kinds.select(F.col("print").alias("v"), F.col("rep").alias("rv"), F.col("spots").alias("sv"))
+    links = pairs.join(x, "u").join(y, "v").select(F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b"), likeness("su", "sv").alias("likeness"))
+    return links.where(F.col("likeness") >= threshold), members
+
+
 def edited(docs: DataFrame) -> DataFrame:
     """``doc_id, text, spots, next_text, next_spots, edited``: every row with the next one by descending doc_id.
 

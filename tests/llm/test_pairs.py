@@ -128,6 +128,25 @@ def test_spot_likeness_is_jaccard(spark):
         assert r.j == pytest.approx(len(p & q) / len(p | q))
 
 
+def test_spot_near_duplicates(spark):
+    rng = random.Random(9)
+    words = ["the", "of", "and"] * 8 + [f"w{k}" for k in range(40)]
+    texts = [prose(rng, rng.randint(20, 90), words) for _ in range(25)]
+    for t in texts[:15]:
+        w = t.split()
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = "x" + str(rng.randint(0, 9))
+        texts.append(" ".join(w))
+    texts += [texts[0]] * 3 + [None, "", "lonely"]
+    links, members = spotsigs.near_duplicates(documents(spark, texts), 0.6)
+    sets = [spots(t) or ({t} if t else set()) for t in texts]
+    rep = {i: min(j for j, o in enumerate(sets) if o == s) if s else i for i, s in enumerate(sets)}
+    assert {(r.doc_id, r.rep) for r in members.collect()} == set(rep.items())
+    reps = sorted({rep[i] for i, s in enumerate(sets) if s})
+    want = {(a, b) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    assert {(r.a, r.b) for r in links.collect()} == want
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(11)
     items = [prose(rng, n) for n in (30, 40, 12, 5, 4, 2, 60)] + [None, "", "!!"]

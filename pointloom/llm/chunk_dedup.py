@@ -3,7 +3,8 @@
 A gear hash rolls over the UTF-8 bytes and cuts where some of its bits are zero, so a passage is cut alike wherever it
 stands, from the gear's window on. Chunks are short (about 16 bytes), so that little of a passage is lost at its ends;
 what is deduplicated is the digest of ``RUN`` chunks in a row, which is long enough not to repeat by chance. A digest that
-a document with a smaller doc_id has too marks its chunks, and marked stretches of ``min_bytes`` or more are repeats.
+a document with a smaller doc_id has too marks its chunks. A marked stretch is a repeat if it and the chunks beside it,
+in which the passage may begin and end, hold ``min_words`` words or more; what is cut is the stretch itself.
 
 Digests are dealt over blocks. Within a slice of the input only the smallest document of each digest is sent on, the
 others being repeats already, so a passage in a third of all documents doesn't gather in one task.
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch
 from .textbuf import U, buffers, mix, pack, spans, unpack
 
-#: Bytes that the gear sees, chunk limits, chunks in a digest, bytes of a repeat at least.
-WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK, RUN, MIN_BYTES = 16, 0x7000, 6, 256, 4, 100
+#: Bytes that the gear sees, chunk limits, chunks in a digest, words of a repeat at least.
+WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK, RUN, MIN_WORDS = 16, 0x7000, 6, 256, 4, 50
 TEXT_BYTES, BLOCK = 2 << 20, 1_000_000
 _rng = np.random.default_rng(0x6EA7)
 _GEAR = _rng.integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -145,7 +146,7 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
     return sent.groupBy("block").applyInArrow(repeats, "doc_id long, crc long, at binary, earlier binary")
 
 
-def _stretches(text: bytes, at: list[bytes], earlier: list[bytes], min_bytes: int) -> list[tuple[int, int, int]]:
+def _stretches(text: bytes, at: list[bytes], earlier: list[bytes], min_words: int) -> list[tuple[int, int, int]]:
     """Byte ranges of whole words that repeat, and the smallest earlier document of each."""
     raw = np.frombuffer(text, np.uint8)
     start, _ = chunks(raw, np.array([0, len(raw)]))
@@ -158,7 +159,8 @@ def _stretches(text: bytes, at: list[bytes], earlier: list[bytes], min_bytes: in
     head = np.flatnonzero(np.concatenate([[True], k[1:] > k[:-1] + RUN])) if len(k) else []
     for s, e in zip(head, np.append(head[1:], len(k)), strict=True):
         a, z = int(start[k[s]]), int(end[k[e - 1] + RUN - 1])
-        if z - a < min_bytes:
+        low, high = start[max(k[s] - 1, 0)] - WINDOW - MIN_CHUNK, end[min(k[e - 1] + RUN, len(end) - 1)]
+        if len(text[max(0, low) : high].split()) < min_words:
             continue
         space = lambda i: text[i : i + 1].isspace()
         while a < z and a > 0 and not space(a - 1):
@@ -182,7 +184,7 @@ def _joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return docs.join(marks, (F.col("doc_id") == F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")), how)
 
 
-def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every repeated stretch: ``doc_id, start, length, passage, earlier_doc_id`` (code points; whole words).
 
     A stretch repeats if a document with a smaller doc_id has it too; the first document of a passage has no row. Marks
@@ -197,7 +199,7 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
             for doc_id, text, at, earlier in zip(*(batch.column(c) for c in ("doc_id", "text", "_at", "_earlier")), strict=True):
                 b = text.as_py().encode()
                 done, chars = 0, 0
-                for a, z, first in _stretches(b, at.as_py(), earlier.as_py(), min_bytes):
+                for a, z, first in _stretches(b, at.as_py(), earlier.as_py(), min_words):
                     chars += len(b[done:a].decode())
                     passage = b[a:z].decode()
                     out.append((doc_id.as_py(), chars, len(passage), passage, first))
@@ -209,7 +211,7 @@ def repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return found.select("doc_id", "text", "_at", "_earlier").mapInArrow(run, "doc_id long, start long, length long, passage string, earlier_doc_id long")
 
 
-def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated stretches cut out of ``text``, and ``n_chars`` (if there) counted anew where it was cut.
 
     Documents of which nothing but white space is left go; all others stay, with all columns.
@@ -225,7 +227,7 @@ def without_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                     continue
                 b = text.as_py().encode()
                 kept, done = [], 0
-                for a, z, _ in _stretches(b, at.as_py(), earlier.as_py(), min_bytes):
+                for a, z, _ in _stretches(b, at.as_py(), earlier.as_py(), min_words):
                     kept.append(b[done:a])
                     done = z
                 left = b"".join([*kept, b[done:]]).decode()

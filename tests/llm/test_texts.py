@@ -132,7 +132,7 @@ def test_repeated_passages(spark):
     own = [prose(rng, 150) for _ in range(30)]
     passage = [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(100, 999)}" for _ in range(55)) for _ in range(2)]
     texts = [f"{t} {passage[i % 2]} {t[::-1]}" if i < 20 else t for i, t in enumerate(own)]
-    texts += [None, "", passage[0], "ü" * 400, "ü" * 400, "repeat me " * 60]
+    texts += [None, "", passage[0], "ü ö ä é " * 100, "ü ö ä é " * 100, "repeat me " * 60]
     docs = documents(spark, texts)
     clash = docs.withColumn("at", docs.doc_id)
     got = {r.doc_id: r for r in chunk_dedup.without_repeats(clash).collect()}

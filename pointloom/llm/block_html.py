@@ -51,10 +51,31 @@ _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 _CLOSE = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in RAW}
 
+# Words that join a layout's parts in a name, and names of an article's own header.
+JOINS, ARTICLE_NAMES = frozenset("with has no without not".split()), frozenset("article content entry post story".split())
+
 GOOD, BAD, UNSURE = 1, -1, 0
 _NONE, _MAIN, _BOILER = 0, 1, 2
 
 
+def _boiler_name(value: str, inside: int) -> bool:
+    """Whether a class or id names boilerplate.
+
+    Of a name with words of both kinds the last word decides, or the first if the last one only says that it is a part, as
+    in ``sidebar-content``. Beside a name that is wholly an article's, only names that are wholly boilerplate's count.
+    """
+    found = wholly = article = False
+    for name in value.split():
+        w = [x.lower() for x in _NAME.findall(name)]
+        if not w or JOINS & set(w):
+            continue
+        own = [x in BOILER_NAMES or (x == "header" and inside != _MAIN and not ARTICLE_NAMES & set(w)) for x in w]
+        article |= all(x in MAIN_NAMES for x in w)
+        found |= own[-1] or own[0] or any(own) and not any(x in MAIN_NAMES for x in w)
+        wholly |= all(own)
+    return wholly if article else found
+
+
 def _kind(tag: str, attributes: str, inside: int) -> int:
     """What an element's start says of its content."""
     if inside == _BOILER or tag in BOILER_TAGS:
@@ -74,8 +95,7 @@ def _kind(tag: str, attributes: str, inside: int) -> int:
             if value.lower() in ("main", "article"):
                 found = _MAIN
         elif name in ("class", "id") and tag not in ("html", "body", "main", "article"):
-            names = {x.lower() for x in _NAME.findall(value)}
-            if names & BOILER_NAMES and not names & MAIN_NAMES:
+            if _boiler_name(value, found):
                 return _BOILER
         elif name == "itemprop" and value.lower() == "articlebody":
             found = _MAIN

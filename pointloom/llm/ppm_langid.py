@@ -174,8 +174,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
             text = batch.column("_text")
             raw, offs = _lowered(text)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            names = [c for c in batch.schema.names if c != "_text"]
-            rest = [batch.column(c) for c in names]
+            names = [c for c in batch.schema.names if c != "_text"] + texts
+            rest = [batch.column("_text" if c in texts else c) for c in names]
             for a, z in spans(offs, TEXT_BYTES):
                 lang, score, per = np.full(z - a, UNDETERMINED, object), np.zeros(z - a), np.full(z - a, np.nan)
                 if m.langs:
@@ -190,8 +190,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
                     [*names, "lang_pred", "score", "bits_per_byte"],
                 )
 
-    rows = docs.select(F.col("text").alias("_text"), "doc_id", held_out().alias("held_out"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep)])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
+    texts = [f"_{k}" for k, c in enumerate(keep) if c == "text"]  # the text goes to Python once
+    rows = docs.select(F.col("text").alias("_text"), "doc_id", held_out().alias("held_out"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep) if c != "text"])
+    kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"] + [f"{c} string" for c in texts])
     return rows.mapInArrow(run, kinds + ", lang_pred string, score double, bits_per_byte double")
 
 

@@ -97,6 +97,15 @@ def test_html_two_passes():
     assert block_html.main_text(page) == f"Heading\n\n{want}\n\nShort one.\n\n{want}"
 
 
+@pytest.mark.parametrize(
+    "name, boiler",
+    [("ad", True), ("comment-body", True), ("sidebar-content", True), ("entry-comments", True), ("site-header", True), ("article-header", False), ("content sidebar-right", False), ("post", False)]
+    + [("content-with-sidebar", False), ("shadow", False), ("download", False), ("cookieNotice", True), ("main-menu", True), ("ad-container", True), ("", False), ("has-nav", False), ("leading", False)],
+)
+def test_names_of_boilerplate(name, boiler):
+    assert block_html._boiler_name(name, 0) == boiler
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<p>", "</div></div>", "<a href='x", "<!-- open", "<script>open", "plain", "<p class=\"x>y</p>", "<<<>>>", "&", "<svg/>"])
 def test_html_odd_pages(page):
     assert isinstance(block_html.main_text(page), str)

@@ -92,8 +92,8 @@ def build_surface(cells: DataFrame, cloud: DataFrame, ground_class: int = 2, bui
     out = cells.select("ix", "iy")
     for name, code, radius, make in (("ground", ground_class, ground_radius, idw), ("building", building_class, building_radius, highest)):
         own = cloud.where(F.col("classification") == code).select("id", "x", "y", F.col("z").alias("value"))
-        enough = own.agg((F.count("*") > 1).alias("_enough"))
-        value = make(cells, own, radius, k).crossJoin(F.broadcast(enough)).where("_enough").select("ix", "iy", F.col("value").cast("double").alias(name))
+        enough = own.limit(2).count() > 1
+        value = make(cells, own if enough else own.where(F.lit(False)), radius, k).select("ix", "iy", F.col("value").cast("double").alias(name))
         out = out.join(value, ["ix", "iy"], "left")
     return out
 

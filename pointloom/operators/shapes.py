@@ -105,6 +105,21 @@ def convex_hulls(points: DataFrame, by: list[str]) -> DataFrame:
     return _per_group(points, by, ["x", "y"], "area double, corners long", kernel)
 
 
+def alpha_shapes(points: DataFrame, by: list[str], alpha: float) -> DataFrame:
+    """Area and number of triangles of each group's alpha shape; groups of fewer than four places have none.
+
+    A point is in the shape if it is in a kept triangle, so outlines needn't be stitched.
+    """
+
+    def kernel(xy):
+        if len(np.unique(xy, axis=0)) < 4:
+            return 0.0, 0
+        kept = K.alpha_triangles(xy, alpha)
+        return float(sum(K.polygon_area(t) for t in kept)), len(kept)
+
+    return _per_group(points, by, ["x", "y"], "area double, triangles long", kernel)
+
+
 def bounding_rectangles(points: DataFrame, by: list[str]) -> DataFrame:
     """Smallest rectangle of each group: centre, sides and corners as ``x0, y0, x1, …``."""
 

@@ -365,6 +365,11 @@ def convex_hulls(t: Tables) -> DataFrame:
     return shapes.convex_hulls(t.cloud, ["cluster_id"])
 
 
+@query("alpha_shapes")
+def alpha_shapes(t: Tables) -> DataFrame:
+    return shapes.alpha_shapes(t.cloud, ["cluster_id"], 0.0005)
+
+
 @query("min_bounding_rect")
 def min_bounding_rect(t: Tables) -> DataFrame:
     return shapes.bounding_rectangles(t.cloud, ["cluster_id"])

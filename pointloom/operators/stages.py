@@ -221,8 +221,9 @@ class Car:
         ring = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(F.get("corners", k % 4 * 2).alias("x"), F.get("corners", k % 4 * 2 + 1).alias("y")))
         cars = cars.select(ring.alias("ring"), "x_min", "y_min", "x_max", "y_max", F.col("ground_z"), F.col("tile").alias("_tile"))
         x, y, z = F.col("p.x"), F.col("p.y"), F.col("p.z")
-        exact = (F.col("p.tile") == F.col("s._tile")) & G.in_rectangle(x, y, F.col("s.x_min"), F.col("s.y_min"), F.col("s.x_max"), F.col("s.y_max")) & G.in_ring(x, y, F.col("s.ring")) & z.between(F.col("s.ground_z"), F.col("s.ground_z") + self.limits.max_height)
-        hit = spatial.points_in_shapes(points.where(_free()).select("tile", "point_id", "x", "y", "z"), cars, exact, self.bin)
+        tiny = 1e-6  # corners of a turned rectangle are rounded, and its edges hold points of the car
+        exact = (F.col("p.tile") == F.col("s._tile")) & G.in_rectangle(x, y, F.col("s.x_min") - tiny, F.col("s.y_min") - tiny, F.col("s.x_max") + tiny, F.col("s.y_max") + tiny) & G.near_ring(x, y, F.col("s.ring"), tiny) & z.between(F.col("s.ground_z"), F.col("s.ground_z") + self.limits.max_height)
+        hit = spatial.points_in_shapes(points.where(_free()).select("tile", "point_id", "x", "y", "z"), cars, exact, self.bin, grow=tiny)
         return _set_ids(points, hit, self.label)
 
 

@@ -83,7 +83,7 @@ def run_digests(raw: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.
 
 
 def _marks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, crc, at, earlier``: digests (by the index of their first chunk, 4 bytes each) that an earlier document has."""
+    """``doc_id, crc, at, earlier``: a row for each digest, by the index of its first chunk, that an earlier document has."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,27 +132,19 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
             keep = least != ids[order]
             order, earlier = order[keep], least[keep]
             ids, crc, at = ids[order], crc[order], at[order]
-        order = np.lexsort((at, crc, ids))
-        ids, crc, at, earlier = ids[order], crc[order], at[order], earlier[order]
-        heads = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (crc[1:] != crc[:-1])])) if len(ids) else np.zeros(0, np.int64)
-        ends = np.append(heads[1:], len(ids))
-        return pa.table({
-            "doc_id": pa.array(ids[heads]), "crc": pa.array(crc[heads].astype(np.int64)),
-            "at": pa.array([at[s:e].astype("<u4").tobytes() for s, e in zip(heads, ends, strict=True)], pa.binary()),
-            "earlier": pa.array([earlier[s:e].astype("<i8").tobytes() for s, e in zip(heads, ends, strict=True)], pa.binary()),
-        })
+        return pa.table({"doc_id": pa.array(ids), "crc": pa.array(crc.astype(np.int64)), "at": pa.array(at.astype(np.int32)), "earlier": pa.array(earlier)})
 
     sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "block int, d binary, at binary, ids binary, crc binary, runs binary")
-    return sent.groupBy("block").applyInArrow(repeats, "doc_id long, crc long, at binary, earlier binary")
+    return sent.groupBy("block").applyInArrow(repeats, "doc_id long, crc long, at int, earlier long")
 
 
-def _stretches(text: bytes, at: list[bytes], earlier: list[bytes], min_words: int) -> list[tuple[int, int, int]]:
+def _stretches(text: bytes, at: np.ndarray, earlier: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
     """Byte ranges of whole words that repeat, and the smallest earlier document of each."""
     raw = np.frombuffer(text, np.uint8)
     start, _ = chunks(raw, np.array([0, len(raw)]))
     end = np.append(start[1:], len(raw))
-    order = np.argsort(k := np.frombuffer(b"".join(at), "<u4").astype(np.int64), kind="stable")
-    k, ids = k[order], np.frombuffer(b"".join(earlier), "<i8")[order]
+    order = np.argsort(at, kind="stable")
+    k, ids = at[order].astype(np.int64), earlier[order]
     ok = k + RUN <= len(start)
     k, ids = k[ok], ids[ok]
     out = []
@@ -199,7 +191,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for doc_id, text, at, earlier in zip(*(batch.column(c) for c in ("doc_id", "text", "_at", "_earlier")), strict=True):
                 b = text.as_py().encode()
                 done, chars = 0, 0
-                for a, z, first in _stretches(b, at.as_py(), earlier.as_py(), min_words):
+                for a, z, first in _stretches(b, at.values.to_numpy(), earlier.values.to_numpy(), min_words):
                     chars += len(b[done:a].decode())
                     passage = b[a:z].decode()
                     out.append((doc_id.as_py(), chars, len(passage), passage, first))
@@ -227,7 +219,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     continue
                 b = text.as_py().encode()
                 kept, done = [], 0
-                for a, z, _ in _stretches(b, at.as_py(), earlier.as_py(), min_words):
+                for a, z, _ in _stretches(b, at.values.to_numpy(), earlier.values.to_numpy(), min_words):
                     kept.append(b[done:a])
                     done = z
                 left = b"".join([*kept, b[done:]]).decode()

@@ -99,15 +99,15 @@ known AS (SELECT license_id, len(w) AS m, least(len(w), 5) AS width, greatest(1,
 shingles AS (SELECT license_id, m, width, step, len(g) AS size, unnest(g) AS s FROM known),
 docs AS (SELECT doc_id, {_LETTER_WORDS} AS w FROM documents),
 places AS (
-  SELECT doc_id, width, i - 1 AS at, array_to_string(w[i:i + width - 1], ' ') AS s
+  SELECT doc_id, width, i - 1 AS place, array_to_string(w[i:i + width - 1], ' ') AS s
   FROM (SELECT doc_id, width, w, unnest(range(1, len(w) - width + 2)) AS i FROM docs, (SELECT DISTINCT width FROM known))),
-hits AS (SELECT doc_id, at, license_id, m, step, size, p.width, s FROM places p JOIN shingles USING (width, s)),
+hits AS (SELECT doc_id, place, license_id, m, step, size, p.width, s FROM places p JOIN shingles USING (width, s)),
 windows AS (
-  SELECT *, unnest(range(CAST(greatest(0, ceil((at + width - m - step) / step)) AS BIGINT), CAST(floor((at + step) / step) AS BIGINT) + 1)) AS q
+  SELECT *, unnest(range(CAST(greatest(0, ceil((place + width - m - step) / step)) AS BIGINT), CAST(floor((place + step) / step) AS BIGINT) + 1)) AS q
   FROM hits),
 share AS (
   SELECT doc_id, license_id, q, count(DISTINCT s) / any_value(size) AS containment FROM windows
-  WHERE at >= greatest(0, q * step - step) AND at + width <= q * step + m + step GROUP BY ALL)
+  WHERE place >= greatest(0, q * step - step) AND place + width <= q * step + m + step GROUP BY ALL)
 SELECT doc_id, license_id, max(containment) AS containment FROM share WHERE containment >= 0.75 GROUP BY doc_id, license_id""",
     "op5_decontaminate": f"""
 WITH docs AS ({_letter_sets('documents', 'doc_id')}),

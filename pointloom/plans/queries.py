@@ -28,9 +28,9 @@ cloud AS (
   SELECT *, (x // 5000) * 10 + y // 5000 AS tile, {_list(CODES)}[point_id % {len(CODES)} + 1] AS code, {_list(CLASSES)}[point_id % {len(CLASSES)} + 1] AS classification
   FROM (SELECT event_id AS point_id, (event_id * 7919 + user_id * 31) % 10000 AS x, (event_id * 6271 + user_id * 17) % 10000 AS y, (event_id * 104729) % 1500 AS z, user_id AS cluster_id FROM events)),
 raster AS (
-  SELECT ix, iy, ix * 100 + 50 AS x, 10000 - iy * 100 - 50 AS y, CASE WHEN (ix + iy) % 23 <> 0 THEN (ix * 37 + iy * 17) % 60 END AS ground,
-    CASE WHEN (ix * 7 + iy * 3) % 5 = 0 THEN 300 + (ix * 11 + iy * 13) % 600 END AS building
-  FROM (SELECT range AS ix FROM range(100)), (SELECT range AS iy FROM range(100))),
+  SELECT ix, iy, ix * 100 + 50 AS x, 10000 - iy * 100 - 50 AS y, CAST(CASE WHEN (ix + iy) % 23 <> 0 THEN (ix * 37 + iy * 17) % 60 END AS BIGINT) AS ground,
+    CAST(CASE WHEN (ix * 7 + iy * 3) % 5 = 0 THEN 300 + (ix * 11 + iy * 13) % 600 END AS BIGINT) AS building
+  FROM (SELECT CAST(range AS INTEGER) AS ix FROM range(100)), (SELECT CAST(range AS INTEGER) AS iy FROM range(100))),
 points AS (
   SELECT c.tile, c.point_id, c.x, c.y, c.z, r.ground, r.building
   FROM cloud c LEFT JOIN raster r ON r.ix = least(c.x // 100, 99) AND r.iy = least((10000 - c.y) // 100, 99)),
@@ -108,7 +108,7 @@ def parse_geojson(t: Tables) -> DataFrame:
     return registry.parse_polygons(text).select("feature_id", "type", F.size(F.get("rings", 0)).alias("corners"), *[F.col(c).cast("long").alias(c) for c in ("x_min", "y_max", "x_max", "y_min")])
 
 
-@query("pole_columns", "\nSELECT object_id, k, x, y, k * 10 AS z FROM objects, (SELECT range AS k FROM range(60)) WHERE k < 10 + object_id % 50")
+@query("pole_columns", "\nSELECT object_id, k, x, y, CAST(k * 10 AS BIGINT) AS z FROM objects, (SELECT CAST(range AS INTEGER) AS k FROM range(60)) WHERE k < 10 + object_id % 50")
 def pole_columns(t: Tables) -> DataFrame:
     poles = t.objects.select("object_id", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lit(0).alias("z0"), F.col("x").alias("x1"), F.col("y").alias("y1"), ((10 + F.col("object_id") % 50) * 10).alias("z1"), F.lit(60).alias("label"))
     out = registry.pole_columns(poles, 10).join(poles.select("object_id", "z1"), "object_id")
@@ -474,13 +474,13 @@ def clip_tiles(t: Tables) -> DataFrame:
     return rasters.clip_tiles(t.cloud, 5000, 100).select("point_id", "tx", "ty")
 
 
-_GAPS = """, missing AS (SELECT ix, iy, iy * 100 + ix AS c FROM raster WHERE (ix * ix + iy * 3) % 7 < 2),
+_GAPS = """, missing AS (SELECT ix, iy, CAST(iy * 100 + ix AS BIGINT) AS c FROM raster WHERE (ix * ix + iy * 3) % 7 < 2),
 steps AS (SELECT a.c AS u, b.c AS v FROM missing a JOIN missing b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1),
 reach AS (SELECT c, c AS r FROM missing UNION SELECT reach.c, s.v FROM reach JOIN steps s ON s.u = reach.r),
 named AS (SELECT c, min(r) AS gap FROM reach GROUP BY c)"""
 
 
-@query("raster_gaps", _GAPS + "\nSELECT c % 100 AS ix, c // 100 AS iy, gap, count(*) OVER (PARTITION BY gap) AS cells, count(*) OVER (PARTITION BY gap) <= 5 AS fill FROM named", recursive=True)
+@query("raster_gaps", _GAPS + "\nSELECT CAST(c % 100 AS INTEGER) AS ix, CAST(c // 100 AS INTEGER) AS iy, gap, count(*) OVER (PARTITION BY gap) AS cells, count(*) OVER (PARTITION BY gap) <= 5 AS fill FROM named", recursive=True)
 def raster_gaps(t: Tables) -> DataFrame:
     missing = t.raster.where("(ix * ix + iy * 3) % 7 < 2")
     return rasters.gaps(missing, Scratch(t.spark, "gaps"), GRID.nx, 5)
@@ -534,7 +534,7 @@ def connected_components(t: Tables) -> DataFrame:
     return clusters.grid_components(t.cloud, 60, Scratch(t.spark, "components"))
 
 
-@query("raster_label", _GAPS + "\nSELECT c % 100 AS ix, c // 100 AS iy, gap FROM named", recursive=True)
+@query("raster_label", _GAPS + "\nSELECT CAST(c % 100 AS INTEGER) AS ix, CAST(c // 100 AS INTEGER) AS iy, gap FROM named", recursive=True)
 def raster_label(t: Tables) -> DataFrame:
     missing = t.raster.where("(ix * ix + iy * 3) % 7 < 2")
     return rasters.gaps(missing, Scratch(t.spark, "label"), GRID.nx).select("ix", "iy", "gap")

@@ -1,9 +1,10 @@
 """SpotSigs: a document's fingerprint is the set of its spot signatures.
 
 An anchor is a common word. Its spot signature is the anchor with the chain of the ``CHAIN`` content words that follow it,
-content words being all words that aren't common; common words inside of the chain are skipped. Boilerplate such as
-menus has few anchors and so few signatures. A text with words but without a whole spot has one signature, made of all of
-its words, so that equal texts are alike and others aren't; a text without words has the empty set.
+content words being all words that aren't common; common words inside of the chain are skipped. Two additions let texts
+with few anchors be compared: after ``BARE`` content words in a row, every other content word, by its hash, begins a chain
+without an anchor; and in texts of fewer than ``SHORT`` words every word is a signature by itself. A longer text without
+any signature has one made of all of its words. A text without words has the empty set.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from . import order
 from .shingle_sql import with_words
 
-CHAIN = 2
+CHAIN, BARE, SHORT = 2, 8, 24
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = sorted(
     set(
@@ -33,9 +34,11 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     df = with_words(df, text, "_w")
     df = df.withColumn("_p", F.expr(f"filter(case when size(_w) > 0 then sequence(0, size(_w) - 1) else cast(array() as array<int>) end, i -> _w[i] not in ({common}))"))
     before = "if(k = 0, 0, _p[greatest(k, 1) - 1] + 1)"
-    heads = f"filter(case when size(_p) >= {CHAIN} then sequence(0, size(_p) - {CHAIN}) else cast(array() as array<int>) end, k -> _p[k] > {before})"
+    bare = f"(k >= {BARE} and _p[k] - _p[greatest(k, {BARE}) - {BARE}] = {BARE} and pmod(hash(_w[_p[k]]), 2) = 0)"
+    heads = f"filter(case when size(_p) >= {CHAIN} then sequence(0, size(_p) - {CHAIN}) else cast(array() as array<int>) end, k -> _p[k] > {before} or {bare})"
     chain = ", ".join(f"_w[_p[k + {j}]]" for j in range(CHAIN))
-    spots = f"array_distinct(flatten(transform({heads}, k -> transform(slice(_w, {before} + 1, _p[k] - {before}), a -> hash(a, {chain})))))"
+    own = f"if(_p[k] > {before}, transform(slice(_w, {before} + 1, _p[k] - {before}), a -> hash(a, {chain})), array(hash('', {chain})))"
+    spots = f"array_distinct(concat(flatten(transform({heads}, k -> {own})), case when size(_w) < {SHORT} then transform(_w, x -> hash(x)) else cast(array() as array<int>) end))"
     df = df.withColumn("_s", F.expr(spots))
     whole = F.expr("case when size(_s) > 0 then _s when size(_w) > 0 then array(hash(array_join(_w, ' '))) else cast(array() as array<int>) end")
     return df.withColumn(name, whole).drop("_w", "_p", "_s")

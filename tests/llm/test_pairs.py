@@ -103,23 +103,36 @@ def test_spotsigs_order_and_edit(spark):
         assert prints.setdefault(t, got[i].fingerprint) == got[i].fingerprint
 
 
-def spots(text):
-    """Spot signatures as (anchor, word, word)."""
-    w = letter_words(text)
-    content = [k for k, x in enumerate(w) if x not in set(spotsigs.ANCHORS)]
-    out = set()
-    for c in range(len(content) - 1):
-        a = content[c] - 1
-        while a >= 0 and w[a] in set(spotsigs.ANCHORS):
-            out.add((w[a], w[content[c]], w[content[c + 1]]))
-            a -= 1
-    return out
-
-
-def test_spot_likeness_is_jaccard(spark):
+@pytest.fixture(scope="module")
+def spots(spark):
+    """Signatures of a text as tuples."""
+    even = {}
+
+    def of(text):
+        w = letter_words(text)
+        for r in spark.createDataFrame([(x,) for x in set(w) - set(even)], "w string").selectExpr("w", "pmod(hash(w), 2) = 0 e").collect():
+            even[r.w] = r.e
+        anchors = set(spotsigs.ANCHORS)
+        content = [k for k, x in enumerate(w) if x not in anchors]
+        out = {(x,) for x in w} if len(w) < spotsigs.SHORT else set()
+        for c in range(len(content) - 1):
+            chain = (w[content[c]], w[content[c + 1]])
+            a = content[c] - 1
+            if c >= spotsigs.BARE and content[c] - content[c - spotsigs.BARE] == spotsigs.BARE and even[chain[0]]:
+                out.add(("", *chain))
+            while a >= 0 and w[a] in anchors:
+                out.add((w[a], *chain))
+                a -= 1
+        return out or ({tuple(w)} if w else set())
+
+    return of
+
+
+def test_spot_likeness_is_jaccard(spark, spots):
     rng = random.Random(8)
     words = ["the", "of", "and"] + [f"w{k}" for k in range(12)]
-    a, b = [prose(rng, n, words) for n in (40, 60, 90)], [prose(rng, n, words) for n in (50, 60, 70)]
+    bare = [f"w{k}" for k in range(12)]
+    a, b = [prose(rng, n, words) for n in (40, 60, 90, 10)] + [prose(rng, 60, bare), "x y z"], [prose(rng, n, words) for n in (50, 60, 70, 12)] + [prose(rng, 60, bare), "x y"]
     df = spark.createDataFrame(list(zip(a, b)), "x string, y string")
     df = spotsigs.with_signatures(spotsigs.with_signatures(df, "x", "s"), "y", "t")
     for r in df.select("x", "y", "s", spotsigs.likeness("s", "t").alias("j")).collect():
@@ -128,7 +141,7 @@ def test_spot_likeness_is_jaccard(spark):
         assert r.j == pytest.approx(len(p & q) / len(p | q))
 
 
-def test_spot_near_duplicates(spark):
+def test_spot_near_duplicates(spark, spots):
     rng = random.Random(9)
     words = ["the", "of", "and"] * 8 + [f"w{k}" for k in range(40)]
     texts = [prose(rng, rng.randint(20, 90), words) for _ in range(25)]
@@ -139,7 +152,7 @@ def test_spot_near_duplicates(spark):
         texts.append(" ".join(w))
     texts += [texts[0]] * 3 + [None, "", "lonely"]
     links, members = spotsigs.near_duplicates(documents(spark, texts), 0.6)
-    sets = [spots(t) or ({t} if t else set()) for t in texts]
+    sets = [spots(t) for t in texts]
     rep = {i: min(j for j, o in enumerate(sets) if o == s) if s else i for i, s in enumerate(sets)}
     assert {(r.doc_id, r.rep) for r in members.collect()} == set(rep.items())
     reps = sorted({rep[i] for i, s in enumerate(sets) if s})

@@ -15,6 +15,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .textbuf import lean, small_batches
+
 # Common words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     """the of and to in a is that it was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their
@@ -272,4 +274,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(x.as_py()) for x in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").transform(small_batches).mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from .textbuf import U, buffers, mix, pack, spans, unpack
+from .textbuf import U, buffers, lean, mix, pack, small_batches, spans, trim, unpack
 
 #: Bytes that the gear sees, chunk limits, chunks in a digest, words of a repeat at least.
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK, RUN, MIN_WORDS = 16, 0x7000, 6, 256, 4, 50
@@ -132,9 +132,10 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
             keep = least != ids[order]
             order, earlier = order[keep], least[keep]
             ids, crc, at = ids[order], crc[order], at[order]
+        trim()
         return pa.table({"doc_id": pa.array(ids), "crc": pa.array(crc.astype(np.int64)), "at": pa.array(at.astype(np.int32)), "earlier": pa.array(earlier)})
 
-    sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").mapInArrow(emit, "block int, d binary, at binary, ids binary, crc binary, runs binary")
+    sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").transform(small_batches).mapInArrow(lean(emit), "block int, d binary, at binary, ids binary, crc binary, runs binary")
     return sent.groupBy("block").applyInArrow(repeats, "doc_id long, crc long, at int, earlier long")
 
 
@@ -169,11 +170,11 @@ def _marked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = min(60_000, max(16, math.ceil(total / 12 / BLOCK)))
     marks = _marks(docs, blocks).groupBy("doc_id", "crc").agg(F.collect_list("at").alias("at"), F.collect_list("earlier").alias("earlier"))
-    return scratch.table(marks.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), F.col("at").alias("_at"), F.col("earlier").alias("_earlier")), "marks")
+    return scratch.table(marks.select(F.col("doc_id").alias("__repeat_id"), F.col("crc").alias("__repeat_crc"), F.col("at").alias("__repeat_at"), F.col("earlier").alias("__repeat_earlier")), "marks")
 
 
 def _joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    return docs.join(marks, (F.col("doc_id") == F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_crc")), how)
+    return docs.join(marks, (F.col("doc_id") == F.col("__repeat_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("__repeat_crc")), how)
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -188,7 +189,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, at, earlier in zip(*(batch.column(c) for c in ("doc_id", "text", "_at", "_earlier")), strict=True):
+            for doc_id, text, at, earlier in zip(*(batch.column(c) for c in ("doc_id", "text", "__repeat_at", "__repeat_earlier")), strict=True):
                 b = text.as_py().encode()
                 done, chars = 0, 0
                 for a, z, first in _stretches(b, at.values.to_numpy(), earlier.values.to_numpy(), min_words):
@@ -200,7 +201,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["doc_id", "start", "length", "passage", "earlier_doc_id"])
 
     found = _joined(docs.select("doc_id", "text"), _marked(docs, scratch), "inner")
-    return found.select("doc_id", "text", "_at", "_earlier").mapInArrow(run, "doc_id long, start long, length long, passage string, earlier_doc_id long")
+    return found.select("doc_id", "text", "__repeat_at", "__repeat_earlier").transform(small_batches).mapInArrow(lean(run), "doc_id long, start long, length long, passage string, earlier_doc_id long")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -213,7 +214,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, at, earlier in zip(*(batch.column(c) for c in ("_text", "_at", "_earlier")), strict=True):
+            for text, at, earlier in zip(*(batch.column(c) for c in ("_text", "__repeat_at", "__repeat_earlier")), strict=True):
                 if not at.is_valid:
                     out.append(text.as_py())
                     continue
@@ -224,15 +225,15 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     done = z
                 left = b"".join([*kept, b[done:]]).decode()
                 out.append(left if not kept or left.strip() else None)
-            names = [c for c in batch.schema.names if c not in ("_text", "_at", "_earlier")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string()), pa.array([x.is_valid for x in batch.column("_at")], pa.bool_())], [*names, "_text", "_cut"])
+            names = [c for c in batch.schema.names if c not in ("_text", "__repeat_at", "__repeat_earlier")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string()), pa.array([x.is_valid for x in batch.column("__repeat_at")], pa.bool_())], [*names, "_text", "_cut"])
 
     columns = docs.columns
     rows = _joined(docs, _marked(docs, scratch), "left")
     others = [c for c in columns if c != "text"]
-    rows = rows.select(F.col("text").alias("_text"), "_at", "_earlier", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_text", "_at", "_earlier"))
-    done = rows.mapInArrow(run, kinds + ", _text string, _cut boolean").where("_text is not null or not _cut")
+    rows = rows.select(F.col("text").alias("_text"), "__repeat_at", "__repeat_earlier", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_text", "__repeat_at", "__repeat_earlier"))
+    done = rows.transform(small_batches).mapInArrow(lean(run), kinds + ", _text string, _cut boolean").where("_text is not null or not _cut")
     back = {c: F.col(f"_{k}") for k, c in enumerate(others)} | {"text": F.col("_text")}
     if "n_chars" in back:
         back["n_chars"] = F.when(F.col("_cut"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import order
 from ..plans.scratch import Scratch
-from .textbuf import buffers, spans
+from .textbuf import buffers, lean, small_batches, spans
 from .tokens import Encoder
 
 BITS, BLOCK_BITS, MAGIC = 8, 512, b"DAC1"
@@ -147,7 +147,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
     at = order.bounds(docs, "doc_id")
     rows = docs.select("doc_id", "text").withColumn("b", order.bucket(F.col("doc_id"), at))
     rows = rows.repartition("b").sortWithinPartitions("b", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInArrow(run, "bucket int, before long, n_tokens long, doc_ids array<long>, ends binary, data binary").write.mode("overwrite").parquet(path)
+    rows.transform(small_batches).mapInArrow(lean(run), "bucket int, before long, n_tokens long, doc_ids array<long>, ends binary, data binary").write.mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +165,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     ahead = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each of at most order.MOST buckets
     base = rows.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).select("bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("bucket_base"))
     rows = rows.join(F.broadcast(base), "bucket").select((F.col("bucket_base") + F.col("before")).alias("base"), "doc_ids", "ends", "data")
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.transform(small_batches).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

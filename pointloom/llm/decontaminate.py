@@ -66,5 +66,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75) -> Dat
 
     Rows are told apart by doc_id and text, so a row goes only if its own text holds an item.
     """
-    bad = contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("_bad"), "left_anti")
+    bad = contaminated(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, threshold).select(F.col("doc_id").alias("__held_row")).distinct()
+    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("__held_row"), "left_anti")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..plans.scratch import Scratch
-from .textbuf import U, buffers, mix, pack, set_digests, shingle_sets, spans, unpack
+from .textbuf import U, buffers, lean, mix, pack, set_digests, shingle_sets, small_batches, spans, trim, unpack
 
 #: Share of a set by which the first pass looks further than the prefix bound.
 EXTRA = Fraction(1, 8)
@@ -50,7 +50,7 @@ def _sets(docs: DataFrame, width: int, sets: bool) -> DataFrame:
                     out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), blob]).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "node", "grams"][: len(out)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long" + ", grams binary" * sets)
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(lean(run), "doc_id long, n long, node long" + ", grams binary" * sets)
 
 
 def _prefix(n: np.ndarray, t: Fraction, extra: Fraction) -> np.ndarray:
@@ -117,9 +117,10 @@ def _alive(docs: DataFrame, width: int, t: Fraction, blocks: int) -> DataFrame:
         h, c, start, df = _columns(table, 5)
         shared = np.repeat(df > 1, df)
         key, n = np.unique(c[shared], return_counts=True)
+        trim()
         return pa.table({"key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    return docs.select("text").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(count, "key long, n long")
+    return docs.select("text").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary").groupBy("block").applyInArrow(count, "key long, n long")
 
 
 def _rarest(sets: DataFrame, blocks: int) -> DataFrame:
@@ -143,13 +144,14 @@ def _rarest(sets: DataFrame, blocks: int) -> DataFrame:
         order = np.argsort(c, kind="stable")
         h, c, each = h[order], c[order], each[order].astype("<u2")
         heads = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-        cut = list(zip(heads, np.append(heads[1:], len(c)), strict=True))
+        cut = list(zip(heads, np.append(heads[1:], len(c))[: len(heads)], strict=True))
+        trim()
         return pa.table({
             "node": pa.array(c[heads].view(np.int64)), "h": pa.array([pack(h[s:e], 6) for s, e in cut], pa.binary()),
             "df": pa.array([each[s:e].tobytes() for s, e in cut], pa.binary()),
         })
 
-    return sets.select("node", "grams").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(count, "node long, h binary, df binary")
+    return sets.select("node", "grams").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary").groupBy("block").applyInArrow(count, "node long, h binary, df binary")
 
 
 def _candidates(ranked: DataFrame, t: Fraction, blocks: int) -> DataFrame:
@@ -178,9 +180,10 @@ def _candidates(ranked: DataFrame, t: Fraction, blocks: int) -> DataFrame:
         c = c.view(np.int64)
         low = np.repeat(np.minimum.reduceat(c, start), df)
         edge = np.unique(np.stack([c, low])[:, c != low], axis=1)
+        trim()
         return pa.table({"u": pa.array(edge[0]), "v": pa.array(edge[1])})
 
-    return ranked.select("node", "n", "h", "df").mapInArrow(emit, "block int, h binary, c binary").groupBy("block").applyInArrow(pair, "u long, v long").distinct()
+    return ranked.select("node", "n", "h", "df").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary").groupBy("block").applyInArrow(pair, "u long, v long").distinct()
 
 
 def _overlaps(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,6 +234,7 @@ def _links(groups: DataFrame, t: Fraction, pairs: bool) -> DataFrame:
         raw, _ = buffers(table["grams"])
         row = np.repeat(np.arange(rows), n)
         i, j, both = _overlaps(raw.view("<u8").astype(np.uint64) ^ own[row], row, rows)
+        trim()
         linked = both * t.denominator >= t.numerator * (n[i] + n[j] - both)
         i, j, both = i[linked], j[linked], both[linked]
         if pairs:
@@ -337,10 +341,10 @@ def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFr
     as they are.
     """
     ids = ngram_components(docs, threshold, width)
-    found = ids.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    repeated = ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    found = ids.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
+    repeated = ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again_id"))
+    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
     if repeated.isEmpty():
         return kept
-    again = F.col("doc_id").eqNullSafe(F.col("_again"))
+    again = F.col("doc_id").eqNullSafe(F.col("__again_id"))
     return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))

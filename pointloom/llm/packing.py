@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from .textbuf import buffers, spans
+from .textbuf import buffers, lean, small_batches, spans
 from .tokens import Encoder
 
 WINDOW, GRAIN, DEPTH = 2048, 8, 3
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, keep_ids: bool
                 out = [doc_ids.slice(a, z - a).take(pa.array(row)), pa.array(start), pa.array(length), pa.array([zlib.crc32(b) for b in own], pa.int64()), pa.array(count[row])]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(own, pa.binary())] * keep_ids, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 
 def combinations(full: int, depth: int = DEPTH) -> list[tuple[int, ...]]:

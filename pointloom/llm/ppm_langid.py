@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbuf import buffers, spans
+from .textbuf import buffers, lean, small_batches, spans
 
 ORDER = 3
 #: The bound of the training sample: so many documents of a language, and so many characters of each.
@@ -193,7 +193,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
     texts = [f"_{k}" for k, c in enumerate(keep) if c == "text"]  # the text goes to Python once
     rows = docs.select(F.col("text").alias("_text"), "doc_id", held_out().alias("held_out"), *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(keep) if c != "text"])
     kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"] + [f"{c} string" for c in texts])
-    return rows.mapInArrow(run, kinds + ", lang_pred string, score double, bits_per_byte double")
+    return rows.transform(small_batches).mapInArrow(lean(run), kinds + ", lang_pred string, score double, bits_per_byte double")
 
 
 def identify(docs: DataFrame) -> DataFrame:

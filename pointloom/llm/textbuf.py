@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U = np.uint64
 _rng = np.random.default_rng(0x5EED)
@@ -17,10 +19,41 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Rows that go to Python at once; Spark's default of 10,000 is made for narrow rows and not for texts.
+ROWS = 1500
 #: Bytes of text that are hashed at once.
 SLICE = 1 << 20
 
 
+def trim() -> None:
+    """Give memory that is free inside of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send at most ``ROWS`` rows to Python at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS:
+        conf.set(key, str(ROWS))
+    return df
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``; the worker, which goes on to other tasks, keeps no free memory after it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalising mixer of 64-bit hashes."""
     x = x ^ (x >> U(33))

@@ -73,6 +73,7 @@ def test_links_and_members(spark):
 def test_keep_one_keeps_columns_and_odd_rows(spark):
     docs = documents(spark, ["a b c d e f g h", "a b c d e f g h", None, None, "", "z y x w v u t"])
     docs = docs.unionByName(docs.where("doc_id = 5")).unionByName(docs.limit(1).select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:]).withColumn("text", F.lit("q r s t u v")))
+    docs = docs.withColumn("_kept", F.col("source")).withColumn("node", F.col("source")).withColumn("n", F.lit(1))
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 0, 2, 3, 4, 5]
@@ -186,6 +187,7 @@ def test_decontamination_matches_brute_force(spark):
         got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(docs, bench).collect()}
         assert got == want
     shingle_sql.LITERALS = 20_000
+    docs = docs.withColumn("_bad", F.col("source")).withColumn("t", F.col("source")).withColumn("w", F.col("source")).withColumn("item_id", F.lit(0))
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns
     assert {r.doc_id for r in left.collect()} == set(range(len(texts))) - {i for i, _, _ in want}

@@ -143,7 +143,7 @@ def test_repeated_passages(spark):
     texts = [f"{t} {passage[i % 2]} {t[::-1]}" if i < 20 else t for i, t in enumerate(own)]
     texts += [None, "", passage[0], "ü ö ä é " * 100, "ü ö ä é " * 100, "repeat me " * 60]
     docs = documents(spark, texts)
-    clash = docs.withColumn("at", docs.doc_id)
+    clash = docs.withColumn("at", docs.doc_id).withColumn("_at", docs.doc_id).withColumn("_id", docs.doc_id).withColumn("_0", docs.lang)
     got = {r.doc_id: r for r in chunk_dedup.without_repeats(clash).collect()}
     assert list(got[0].asDict()) == clash.columns
     for i, t in enumerate(texts[:32]):
@@ -159,6 +159,10 @@ def test_repeated_passages(spark):
         assert r.passage in texts[r.earlier_doc_id] and r.earlier_doc_id < r.doc_id
     assert 34 not in got and got[35].text == texts[35]
     assert chunk_dedup.repeats(docs.where("false")).count() == 0
+    twice = docs.unionByName(docs.where("doc_id = 2")).unionByName(docs.where("doc_id = 3").selectExpr("cast(null as long) doc_id", *docs.columns[1:]))
+    again = [r for r in chunk_dedup.without_repeats(twice).collect()]
+    assert sum(r.doc_id == 2 and r.text == got[2].text for r in again) == 2
+    assert [r.text for r in again if r.doc_id is None] == [texts[3]]
 
 
 def test_no_chance_repeats_in_prose(spark):

@@ -3,8 +3,8 @@
 A gear hash rolls over the UTF-8 bytes and cuts where some of its bits are zero, so a passage is cut alike wherever it
 stands, from the gear's window on. Chunks are short (about 16 bytes), so that little of a passage is lost at its ends;
 what is deduplicated is the digest of ``RUN`` chunks in a row, which is long enough not to repeat by chance. A digest that
-a document with a smaller doc_id has too marks its chunks. A marked stretch is a repeat if it and the chunks beside it,
-in which the passage may begin and end, hold ``min_words`` words or more; what is cut is the stretch itself.
+a document with a smaller doc_id has too marks its chunks. Marked stretches are then compared byte by byte with the text
+around their place in that document and grow as far as both agree; those of ``min_words`` words or more are repeats.
 
 Digests are dealt over blocks. Within a slice of the input only the smallest document of each digest is sent on, the
 others being repeats already, so a passage in a third of all documents doesn't gather in one task.
@@ -27,6 +27,8 @@ from .textbuf import U, buffers, lean, mix, pack, small_batches, spans, trim, un
 #: Bytes that the gear sees, chunk limits, chunks in a digest, words of a repeat at least.
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK, RUN, MIN_WORDS = 16, 0x7000, 6, 256, 4, 50
 TEXT_BYTES, BLOCK = 2 << 20, 1_000_000
+#: Bytes to either side of a stretch that are compared, and documents whose ids are broadcast at most.
+AROUND, BROADCAST_IDS = 512, 500_000
 _rng = np.random.default_rng(0x6EA7)
 _GEAR = _rng.integers(0, 1 << 16, 256, dtype=np.uint16)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
@@ -49,9 +51,11 @@ def chunks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut = np.zeros(len(raw) + 1, bool)
     cut[1:] = hit
     cut[:-1] &= (raw & 0xC0) != 0x80
+    cut[offs] = False  # what a row begins with says nothing of it
     at = np.flatnonzero(cut[:-1])
-    # of cuts that crowd, only those that none precedes within MIN_CHUNK bytes count
-    at = at[np.concatenate([[True], np.diff(at) >= MIN_CHUNK])] if len(at) else at
+    # of cuts that crowd, only those that none of the same row precedes within MIN_CHUNK bytes count
+    row = np.searchsorted(offs, at, "right")
+    at = at[np.concatenate([[True], (np.diff(at) >= MIN_CHUNK) | (np.diff(row) > 0)])] if len(at) else at
     begin = offs[:-1][n > 0]
     at = np.union1d(at, begin)
     size = np.diff(np.append(at, len(raw)))
@@ -82,8 +86,18 @@ def run_digests(raw: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.
     return k, mix(out)
 
 
+def _firsts(digest: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For every entry, the entry with the same digest in the smallest document, there the first."""
+    order = np.lexsort((at, ids, digest))
+    d = digest[order]
+    start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+    out = np.empty(len(d), np.int64)
+    out[order] = np.repeat(order[start], np.diff(np.append(start, len(d))))
+    return out
+
+
 def _marks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, crc, at, earlier``: a row for each digest, by the index of its first chunk, that an earlier document has."""
+    """``doc_id, crc, at, earlier, ecrc, there``: a row for each digest, by the index of its first chunk, that an earlier document has, and where."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,15 +111,11 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
                     continue
                 row = np.searchsorted(first, k, "right") - 1
                 own = ids[a:z][row]
-                order = np.lexsort((own, digest))
-                d = digest[order]
-                start = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                least = np.empty(len(k), np.int64)
-                least[order] = np.repeat(own[order][start], np.diff(np.append(start, len(d))))
-                block = ((digest >> U(48)) % U(blocks)).astype(np.int64)
-                block[own != least] = blocks + (a + ids[a]) % blocks  # known repeats go to any block
-                crc = np.array([zlib.crc32(text[o[i] : o[i + 1]]) for i in range(z - a)], np.uint32)
                 at_row = (k - first[row]).astype(np.uint32)
+                crc = np.array([zlib.crc32(text[o[i] : o[i + 1]]) for i in range(z - a)], np.uint32)
+                least = _firsts(digest, own, at_row)
+                block = ((digest >> U(48)) % U(blocks)).astype(np.int64)
+                block[own != own[least]] = blocks + (a + ids[a]) % blocks  # known repeats go to any block
                 order = np.lexsort((k, block))
                 edge = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
                 rows = []
@@ -114,8 +124,9 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
                     heads = np.flatnonzero(np.concatenate([[True], row[x][1:] != row[x][:-1]]))
                     runs = np.diff(np.append(heads, len(x))).astype("<u4")
                     known = block[x[0]] >= blocks
-                    rows.append((int(block[x[0]]), least[x].astype("<i8").tobytes() if known else pack(digest[x], 6), at_row[x].astype("<u4").tobytes(), own[x][heads].astype("<i8").tobytes(), crc[row[x][heads]].astype("<u4").tobytes(), runs.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], ["block", "d", "at", "ids", "crc", "runs"])
+                    y = least[x] if known else x[:0]  # where a known repeat stands first
+                    rows.append((int(block[x[0]]), own[y].astype("<i8").tobytes() if known else pack(digest[x], 6), at_row[x].astype("<u4").tobytes(), own[x][heads].astype("<i8").tobytes(), crc[row[x][heads]].astype("<u4").tobytes(), runs.tobytes(), crc[row[y]].astype("<u4").tobytes(), at_row[y].astype("<u4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 7], strict=True)], ["block", "d", "at", "ids", "crc", "runs", "ecrc", "there"])
 
     def repeats(key: tuple, table: pa.Table) -> pa.Table:
         known = key[0].as_py() >= blocks
@@ -123,54 +134,120 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
         runs = join("runs", "<u4")
         ids, crc, at = np.repeat(join("ids", "<i8"), runs), np.repeat(join("crc", "<u4"), runs), join("at", "<u4")
         if known:
-            earlier = join("d", "<i8")
+            earlier, ecrc, there = join("d", "<i8"), join("ecrc", "<u4"), join("there", "<u4")
         else:
-            d = np.concatenate([unpack(x.as_py(), 6) for x in table["d"]])
-            order = np.lexsort((ids, d))
-            start = np.flatnonzero(np.concatenate([[True], d[order][1:] != d[order][:-1]]))
-            least = np.repeat(ids[order][start], np.diff(np.append(start, len(d))))
-            keep = least != ids[order]
-            order, earlier = order[keep], least[keep]
-            ids, crc, at = ids[order], crc[order], at[order]
+            least = _firsts(np.concatenate([unpack(x.as_py(), 6) for x in table["d"]]), ids, at)
+            keep = ids[least] != ids
+            least = least[keep]
+            earlier, ecrc, there = ids[least], crc[least], at[least]
+            ids, crc, at = ids[keep], crc[keep], at[keep]
         trim()
-        return pa.table({"doc_id": pa.array(ids), "crc": pa.array(crc.astype(np.int64)), "at": pa.array(at.astype(np.int32)), "earlier": pa.array(earlier)})
+        return pa.table({"doc_id": pa.array(ids), "crc": pa.array(crc.astype(np.int64)), "at": pa.array(at.astype(np.int32)), "earlier": pa.array(earlier), "ecrc": pa.array(ecrc.astype(np.int64)), "there": pa.array(there.astype(np.int32))})
+
+    sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").transform(small_batches).mapInArrow(lean(emit), "block int, d binary, at binary, ids binary, crc binary, runs binary, ecrc binary, there binary")
+    return sent.groupBy("block").applyInArrow(repeats, "doc_id long, crc long, at int, earlier long, ecrc long, there int")
+
+
+def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of ascending chunk indices whose digests touch or overlap."""
+    head = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + RUN])) if len(at) else np.zeros(0, np.int64)
+    yield from zip(head, np.append(head[1:], len(at))[: len(head)], strict=True)
+
+
+def _fields(marks: pa.ListScalar, *names: str) -> list[np.ndarray]:
+    """Columns of a document's marks, one mark for each chunk, in order."""
+    first = marks.values.field("at").to_numpy()
+    _, order = np.unique(first, return_index=True)
+    return [marks.values.field(n).to_numpy()[order] for n in names]
+
+
+def _ends(marks: DataFrame) -> DataFrame:
+    """``doc_id, crc, k, side, earlier, ecrc, there``: the first and last digest of each stretch, and where they stand first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, crc, m in zip(*(batch.column(c) for c in ("doc_id", "crc", "m")), strict=True):
+                at, earlier, ecrc, there = _fields(m, "at", "earlier", "ecrc", "there")
+                for s, e in _runs(at):
+                    for side, i in ((0, s), (1, e - 1)):
+                        out.append((doc_id.as_py(), crc.as_py(), int(at[i]), side, int(earlier[i]), int(ecrc[i]), int(there[i])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "crc", "k", "side", "earlier", "ecrc", "there"])
+
+    return marks.transform(small_batches).mapInArrow(lean(run), "doc_id long, crc long, k int, side int, earlier long, ecrc long, there int")
+
+
+def _around(docs: DataFrame, ends: DataFrame) -> DataFrame:
+    """``earlier, ecrc, there, side, bytes``: the text before (0) or after (1) a digest in the document that has it first."""
+    asked = ends.select("earlier", "ecrc", "there", "side").distinct().groupBy("earlier", "ecrc").agg(F.collect_list(F.struct("there", "side")).alias("asked"))
+    ids = asked.select("earlier").distinct()
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    some = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("earlier"), "left_semi")
+    both = some.join(asked, (F.col("doc_id") == F.col("earlier")) & (F.crc32(F.col("text").cast("binary")) == F.col("ecrc"))).dropDuplicates(["earlier", "ecrc"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, crc, text, asked in zip(*(batch.column(c) for c in ("earlier", "ecrc", "text", "asked")), strict=True):
+                b = text.as_py().encode()
+                start, _ = chunks(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+                end = np.append(start[1:], len(b))
+                for there, side in zip(asked.values.field("there").to_pylist(), asked.values.field("side").to_pylist(), strict=True):
+                    x = int(start[there]) if side == 0 else int(end[there + RUN - 1])
+                    out.append((doc_id.as_py(), crc.as_py(), there, side, b[max(0, x - AROUND) : x] if side == 0 else b[x : x + AROUND]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["earlier", "ecrc", "there", "side", "bytes"])
+
+    return both.select("earlier", "ecrc", "text", "asked").transform(small_batches).mapInArrow(lean(run), "earlier long, ecrc long, there int, side int, bytes binary")
+
 
-    sent = docs.where("doc_id is not null and text is not null").select("doc_id", "text").transform(small_batches).mapInArrow(lean(emit), "block int, d binary, at binary, ids binary, crc binary, runs binary")
-    return sent.groupBy("block").applyInArrow(repeats, "doc_id long, crc long, at int, earlier long")
+def _agree(a: bytes, b: bytes) -> int:
+    """How many bytes two strings share from their starts."""
+    n = min(len(a), len(b))
+    same = np.frombuffer(a[:n], np.uint8) == np.frombuffer(b[:n], np.uint8)
+    return n if same.all() else int(same.argmin())
 
 
-def _stretches(text: bytes, at: np.ndarray, earlier: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+def _stretches(text: bytes, marks: pa.ListScalar, ends: pa.ListScalar, min_words: int) -> list[tuple[int, int, int]]:
     """Byte ranges of whole words that repeat, and the smallest earlier document of each."""
     raw = np.frombuffer(text, np.uint8)
     start, _ = chunks(raw, np.array([0, len(raw)]))
     end = np.append(start[1:], len(raw))
-    order = np.argsort(at, kind="stable")
-    k, ids = at[order].astype(np.int64), earlier[order]
-    ok = k + RUN <= len(start)
-    k, ids = k[ok], ids[ok]
+    at, ids = _fields(marks, "at", "earlier")
+    near = {(e["k"], e["side"]): e["bytes"] or b"" for e in ends.as_py()}
+    space = lambda i: text[i : i + 1].isspace()
+    found: list[tuple[int, int, int]] = []
+    for s, e in _runs(at):
+        a, z = int(start[at[s]]), int(end[at[e - 1] + RUN - 1])
+        a -= _agree(text[max(0, a - AROUND) : a][::-1], near.get((int(at[s]), 0), b"")[::-1])
+        z += _agree(text[z : z + AROUND], near.get((int(at[e - 1]), 1), b""))
+        first = int(ids[s:e].min())
+        if found and a <= found[-1][1]:
+            a, z, first = found[-1][0], max(z, found[-1][1]), min(first, found[-1][2])
+            found.pop()
+        found.append((a, z, first))
     out = []
-    head = np.flatnonzero(np.concatenate([[True], k[1:] > k[:-1] + RUN])) if len(k) else []
-    for s, e in zip(head, np.append(head[1:], len(k)), strict=True):
-        a, z = int(start[k[s]]), int(end[k[e - 1] + RUN - 1])
-        low, high = start[max(k[s] - 1, 0)] - WINDOW - MIN_CHUNK, end[min(k[e - 1] + RUN, len(end) - 1)]
-        if len(text[max(0, low) : high].split()) < min_words:
-            continue
-        space = lambda i: text[i : i + 1].isspace()
+    for a, z, first in found:
         while a < z and a > 0 and not space(a - 1):
             a += 1
         while z > a and z < len(text) and not space(z):
             z -= 1
-        if z > a:
-            out.append((a, z, int(ids[s:e].min())))
+        if len(text[a:z].split()) >= min_words:
+            out.append((a, z, first))
     return out
 
 
 def _marked(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Marks of every document that has some, lists in ``at`` and ``earlier``."""
+    """Marks of every document that has some, and the text around the ends of their stretches where it stands first."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = min(60_000, max(16, math.ceil(total / 12 / BLOCK)))
-    marks = _marks(docs, blocks).groupBy("doc_id", "crc").agg(F.collect_list("at").alias("at"), F.collect_list("earlier").alias("earlier"))
-    return scratch.table(marks.select(F.col("doc_id").alias("__repeat_id"), F.col("crc").alias("__repeat_crc"), F.col("at").alias("__repeat_at"), F.col("earlier").alias("__repeat_earlier")), "marks")
+    marks = scratch.table(_marks(docs, blocks).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("at", "earlier", "ecrc", "there")).alias("m")), "marks")
+    ends = scratch.table(_ends(marks), "ends")
+    near = ends.join(_around(docs, ends), ["earlier", "ecrc", "there", "side"], "left").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("k", "side", "bytes")).alias("e"))
+    both = marks.join(near, ["doc_id", "crc"])
+    return scratch.table(both.select(F.col("doc_id").alias("__repeat_id"), F.col("crc").alias("__repeat_crc"), F.col("m").alias("__repeat_at"), F.col("e").alias("__repeat_ends")), "marked")
 
 
 def _joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -189,10 +266,10 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, at, earlier in zip(*(batch.column(c) for c in ("doc_id", "text", "__repeat_at", "__repeat_earlier")), strict=True):
+            for doc_id, text, at, earlier in zip(*(batch.column(c) for c in ("doc_id", "text", "__repeat_at", "__repeat_ends")), strict=True):
                 b = text.as_py().encode()
                 done, chars = 0, 0
-                for a, z, first in _stretches(b, at.values.to_numpy(), earlier.values.to_numpy(), min_words):
+                for a, z, first in _stretches(b, at, earlier, min_words):
                     chars += len(b[done:a].decode())
                     passage = b[a:z].decode()
                     out.append((doc_id.as_py(), chars, len(passage), passage, first))
@@ -201,7 +278,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["doc_id", "start", "length", "passage", "earlier_doc_id"])
 
     found = _joined(docs.select("doc_id", "text"), _marked(docs, scratch), "inner")
-    return found.select("doc_id", "text", "__repeat_at", "__repeat_earlier").transform(small_batches).mapInArrow(lean(run), "doc_id long, start long, length long, passage string, earlier_doc_id long")
+    return found.select("doc_id", "text", "__repeat_at", "__repeat_ends").transform(small_batches).mapInArrow(lean(run), "doc_id long, start long, length long, passage string, earlier_doc_id long")
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -214,25 +291,25 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, at, earlier in zip(*(batch.column(c) for c in ("_text", "__repeat_at", "__repeat_earlier")), strict=True):
+            for text, at, earlier in zip(*(batch.column(c) for c in ("_text", "__repeat_at", "__repeat_ends")), strict=True):
                 if not at.is_valid:
                     out.append(text.as_py())
                     continue
                 b = text.as_py().encode()
                 kept, done = [], 0
-                for a, z, _ in _stretches(b, at.values.to_numpy(), earlier.values.to_numpy(), min_words):
+                for a, z, _ in _stretches(b, at, earlier, min_words):
                     kept.append(b[done:a])
                     done = z
                 left = b"".join([*kept, b[done:]]).decode()
                 out.append(left if not kept or left.strip() else None)
-            names = [c for c in batch.schema.names if c not in ("_text", "__repeat_at", "__repeat_earlier")]
+            names = [c for c in batch.schema.names if c not in ("_text", "__repeat_at", "__repeat_ends")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string()), pa.array([x.is_valid for x in batch.column("__repeat_at")], pa.bool_())], [*names, "_text", "_cut"])
 
     columns = docs.columns
     rows = _joined(docs, _marked(docs, scratch), "left")
     others = [c for c in columns if c != "text"]
-    rows = rows.select(F.col("text").alias("_text"), "__repeat_at", "__repeat_earlier", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_text", "__repeat_at", "__repeat_earlier"))
+    rows = rows.select(F.col("text").alias("_text"), "__repeat_at", "__repeat_ends", *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(others)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_text", "__repeat_at", "__repeat_ends"))
     done = rows.transform(small_batches).mapInArrow(lean(run), kinds + ", _text string, _cut boolean").where("_text is not null or not _cut")
     back = {c: F.col(f"_{k}") for k, c in enumerate(others)} | {"text": F.col("_text")}
     if "n_chars" in back:

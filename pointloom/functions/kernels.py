@@ -206,26 +206,27 @@ def merge_cables(xyz: np.ndarray, cluster: np.ndarray, max_angle: float = 3, max
     """
     out = cluster.copy()
     ids, counts = np.unique(out[out >= 0], return_counts=True)
-    for k, n in zip(ids, counts, strict=True):
-        if n < min_points:
-            out[out == k] = -1
-    todo = sorted(((-int((out == k).sum()), int(k)) for k in ids if (out == k).any()))
-    queue = [k for _, k in todo]
+    out[np.isin(out, ids[counts < min_points])] = -1
+    ids, counts = np.unique(out[out >= 0], return_counts=True)
+    queue = [int(k) for _, k in sorted(zip((-counts).tolist(), ids.tolist(), strict=True))]
+    order_of = np.argsort(out, kind="stable")
+    edge = np.searchsorted(out[order_of], [*ids, ids[-1] + 1] if len(ids) else [])
+    lines = {int(k): cluster_line(xyz[order_of[s:e]]) for k, s, e in zip(ids, edge, edge[1:], strict=False)}
     while queue:
         base = queue.pop(0)
         grown = True
-        while grown:
+        while grown and queue:
             grown = False
-            line = cluster_line(xyz[out == base])
+            line = lines[base]
             across = np.array([-line["dir"][1], line["dir"][0]])
-            order = []
-            for k in queue:
-                other = cluster_line(xyz[out == k])
-                pairs = [(float(np.linalg.norm(p - q)), i, j) for i, p in enumerate(line["ends"]) for j, q in enumerate(other["ends"])]
-                order.append((min(pairs), k, other))
-            for (gap3, i, j), k, other in sorted(order, key=lambda o: (o[0][0], o[1])):
-                if gap3 >= max_gap:
-                    break
+            ends = np.array([lines[k]["ends"] for k in queue])
+            apart = np.linalg.norm(line["ends"][None, :, None] - ends[:, None], axis=-1).reshape(len(queue), 4)
+            nearest = apart.min(axis=1)
+            close = np.flatnonzero(nearest < max_gap)
+            for q in close[np.lexsort((np.array(queue)[close], nearest[close]))]:
+                k = queue[q]
+                other = lines[k]
+                i, j = divmod(int(apart[q].argmin()), 2)
                 angle = np.degrees(np.arccos(min(1.0, abs(float(line["dir"] @ other["dir"])))))
                 step = other["ends"][j][:2] - line["ends"][i][:2]
                 gap, offset = abs(float(step @ line["dir"])), abs(float(step @ across))
@@ -247,6 +248,7 @@ def merge_cables(xyz: np.ndarray, cluster: np.ndarray, max_angle: float = 3, max
                     z0, z1 = sorted((line["ends"][i][2], other["ends"][j][2]))
                     free &= (xyz[:, 2] >= z0 - size) & (xyz[:, 2] <= z1 + size)
                 out[(out == k) | free] = base
+                lines[base] = cluster_line(xyz[out == base])
                 queue.remove(k)
                 grown = True
                 break

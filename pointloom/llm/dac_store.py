@@ -129,18 +129,19 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> None:
             raw, offs = buffers(batch.column("text"))
             b = np.asarray(batch.column("b"))
             for a, z in spans(offs, TEXT_BYTES):
-                cut = np.flatnonzero(np.diff(b[a:z])) + a + 1
-                for s, e in zip([a, *cut], [*cut, z], strict=True):
-                    if bucket is not None and (b[s] != bucket or held >= SEGMENT):
+                every, n = encoder.encode(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a])
+                ends = np.concatenate([[0], np.cumsum(n)])
+                cut = np.flatnonzero(np.diff(b[a:z])) + 1
+                for s, e in zip([0, *cut], [*cut, z - a], strict=True):
+                    if bucket is not None and (b[a + s] != bucket or held >= SEGMENT):
                         yield segment()
-                        before = before + held if b[s] == bucket else 0
+                        before = before + held if b[a + s] == bucket else 0
                         doc_ids, sizes, ids, held = [], [], [], 0
-                    bucket = int(b[s])
-                    own, n = encoder.encode(raw[offs[s] : offs[e]], offs[s : e + 1] - offs[s])
-                    doc_ids.append(batch.column("doc_id").slice(s, e - s))
-                    sizes.append(n)
-                    ids.append(own)
-                    held += len(own)
+                    bucket = int(b[a + s])
+                    doc_ids.append(batch.column("doc_id").slice(a + s, e - s))
+                    sizes.append(n[s:e])
+                    ids.append(every[ends[s] : ends[e]])
+                    held += int(ends[e] - ends[s])
         if held:
             yield segment()
 

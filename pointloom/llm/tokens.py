@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and bytes of them, that a process remembers.
-PIECES, PIECE_BYTES = 800_000, 48 << 20
+PIECES, PIECE_BYTES = 700_000, 32 << 20
 END = 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,46 +48,47 @@ class Encoder:
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.bytes = 0
-        self.begin = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
+        self.begin = np.zeros(1 << 16, np.int32)
+        self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
     def _ids(self, text: str) -> list[int]:
-        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
-            lower = text.lower()
-            word = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_BYTES)
-            return [t.id for t in self.model.tokenize(word)]
+        if text.isalpha():
+            if text.isascii():
+                return [t.id for t in self.model.tokenize(text.lower())]
+            if max(text) < "\u0250" and "\u0130" not in text:
+                return [t.id for t in self.model.tokenize(text.lower().encode().decode("latin-1").translate(_BYTES))]
         return self.library.encode(text, add_special_tokens=False).ids
 
     def _learn(self, new: list[bytes]) -> None:
-        found: dict[bytes, list[int]] = {}
+        found: list[list[int]] = []
         stems: dict[str, list[int]] = {}
-
-        def ids_of(text: str) -> list[int]:
-            got = stems.get(text)
-            if got is None:
-                got = stems[text] = self._ids(text)
-            return got
-
         for piece in new:
             text = piece.decode()
+            mark = None
             if len(text) > 1 and text[-1] in _MARKS and text[-2].isalnum():
-                found[piece] = ids_of(text[:-1]) + ids_of(text[-1])
-            else:
-                found[piece] = ids_of(text)
+                text, mark = text[:-1], text[-1]
+            ids = stems.get(text)
+            if ids is None:
+                ids = stems[text] = self._ids(text)
+            if mark:
+                if mark not in stems:
+                    stems[mark] = self._ids(mark)
+                ids = ids + stems[mark]
+            found.append(ids)
         at, n = len(self.index), len(new)
         while at + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        sizes = np.fromiter(map(len, found.values()), np.int64, n)
+        sizes = np.fromiter(map(len, found), np.int64, n)
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.size[at : at + n] = sizes
         self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = [i for x in found.values() for i in x]
+        self.flat[self.used : self.used + total] = [i for x in found for i in x]
         self.used += total
-        self.index.update(zip(found, range(at, at + n), strict=True))
+        self.index.update(zip(new, range(at, at + n), strict=True))
         self.bytes += sum(map(len, new))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,18 +108,23 @@ class Encoder:
         pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(raw[solid].tobytes())])
         coded = pc.dictionary_encode(pieces)
         kinds = coded.dictionary.to_pylist()
-        new = [p for p in kinds if p not in self.index]
+        known = list(map(self.index.get, kinds))
+        new = [k for k, i in enumerate(known) if i is None]
         if new:
-            self._learn(new)
-        known = np.fromiter(map(self.index.__getitem__, kinds), np.int64, len(kinds))
+            first_new = len(self.index)
+            self._learn([kinds[k] for k in new])
+            for i, k in enumerate(new, first_new):
+                known[k] = i
+        known = np.array(known, np.int64)
         at = known[np.asarray(coded.indices)]
         size = self.size[at]
-        ends = np.cumsum(size)
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
         row_end = np.concatenate([[0], ends])[np.cumsum(per)] if rows else np.zeros(0, np.int64)
-        count = np.diff(np.concatenate([[0], row_end]))
-        # places of the ids, with one left free after each text
-        put = ends - size + np.repeat(np.arange(rows), per)
-        out = np.full(int(count.sum()) + rows, END, np.uint32)
-        step = np.arange(int(size.sum())) - np.repeat(ends - size, size)
-        out[np.repeat(put, size) + step] = self.flat[np.repeat(self.begin[at], size) + step]
-        return out, count + 1
+        where = np.repeat(self.begin[at] - (ends - size), size)
+        where += np.arange(total)
+        own = np.ones(total + rows, bool)
+        own[row_end + np.arange(rows)] = False
+        out = np.full(total + rows, END, np.uint32)
+        out[own] = self.flat[where]
+        return out, np.diff(np.concatenate([[0], row_end])) + 1

@@ -54,7 +54,7 @@ class Ground:
 
     label: int = L.GROUND
     epsilon: float = 0.2
-    refine: bool = False
+    refine: bool = True
     scratch: Scratch | None = None
     bottom: float = 0.02
     top: float = 0.5
@@ -67,9 +67,10 @@ class Ground:
         near = F.coalesce(F.abs(F.col("z") - F.col("ground")) < self.epsilon, F.lit(False))
         if not self.refine:
             return _set(points, _free() & near, self.label)
+        scratch = self.scratch or Scratch(points.sparkSession, "ground")
         marked = points.withColumn("_g", _free() & near)
         low = marked.where((F.col("z") >= F.col("ground") - self.bottom) & (F.col("z") <= F.col("ground") + self.top))
-        parts = clusters.grid_components(low.where(_free() & ~F.col("_g")), self.size, self.scratch, ("x", "y", "z")).where(F.col("size") >= self.min_size)
+        parts = clusters.grid_components(low.where(_free() & ~F.col("_g")), self.size, scratch).where(F.col("size") >= self.min_size)
         outline = low.select("tile", "point_id", "x", "y").join(parts.select("point_id", "component_id"), "point_id")
         box = shapes.bounding_box(outline, ["tile", "component_id"]).withColumnsRenamed({"tile": "_tile"})
         inside = spatial.points_in_shapes(low.where("_g").select("tile", "point_id", "x", "y"), box, (F.col("p.tile") == F.col("s._tile")) & G.in_rectangle(F.col("p.x"), F.col("p.y"), F.col("s.x_min") - self.buffer, F.col("s.y_min") - self.buffer, F.col("s.x_max") + self.buffer, F.col("s.y_max") + self.buffer), 10 * self.size, "inner", self.buffer)

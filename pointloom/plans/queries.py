@@ -65,7 +65,7 @@ def _round(*names: str) -> list:
 
 @query("ground_fuser", "\nSELECT point_id, CASE WHEN abs(z - ground) < 20 THEN 9 ELSE 0 END AS label FROM points")
 def ground_fuser(t: Tables) -> DataFrame:
-    return stages.Ground(epsilon=20)(t.points).select("point_id", "label")
+    return stages.Ground(refine=False, epsilon=20)(t.points).select("point_id", "label")
 
 
 @query(
@@ -75,7 +75,7 @@ names(label, name) AS (VALUES {", ".join(f"({k}, '{v}')" for k, v in L.NAMES.ite
 SELECT l.label, n, round(100.0 * n / sum(n) OVER (), 4)::DOUBLE AS percentage, name FROM (SELECT label, count(*) AS n FROM labelled GROUP BY label) l JOIN names USING (label)""",
 )
 def label_stats(t: Tables) -> DataFrame:
-    done = stages.cascade(t.points, [stages.Ground(epsilon=20), stages.BelowRoof(epsilon=20)])
+    done = stages.cascade(t.points, [stages.Ground(refine=False, epsilon=20), stages.BelowRoof(epsilon=20)])
     return shapes.label_statistics(done, L.label_table(t.spark)).select("label", "n", *_round("percentage"), "name")
 
 
@@ -609,7 +609,7 @@ def region_grow_normals(t: Tables) -> DataFrame:
 @query("ground_refined")
 def ground_refined(t: Tables) -> DataFrame:
     scratch = Scratch(t.spark, "ground")
-    return stages.Ground(epsilon=20, refine=True, scratch=scratch, bottom=2, top=300, size=150, min_size=4, buffer=5, alpha=0.002)(t.points).select("point_id", "label")
+    return stages.Ground(epsilon=20, scratch=scratch, bottom=2, top=300, size=150, min_size=4, buffer=5, alpha=0.002)(t.points).select("point_id", "label")
 
 
 @query("ahn_building_fuser", "\nSELECT point_id, CASE WHEN z < building + 20 THEN 10 ELSE 0 END AS label FROM points")
@@ -638,7 +638,7 @@ _ROAD = _IN.format("f.type IN ('rijbaan_lokale_weg', 'fietspad')")
 
 @query("road_fuser", f", grounded AS (SELECT *, CASE WHEN abs(z - ground) < 20 THEN 9 ELSE 0 END AS label FROM points)\nSELECT point_id, CASE WHEN label = 9 AND {_ROAD} THEN 1 ELSE label END AS label FROM grounded p")
 def road_fuser(t: Tables) -> DataFrame:
-    return stages.cascade(t.points, [stages.Ground(epsilon=20), stages.Road(t.footprints, bin=300)]).select("point_id", "label")
+    return stages.cascade(t.points, [stages.Ground(refine=False, epsilon=20), stages.Road(t.footprints, bin=300)]).select("point_id", "label")
 
 
 @query("noise_filter", f", {_components('cloud', 60)}\nSELECT point_id, CASE WHEN size < 3 OR z - ground < -20 THEN 99 ELSE 0 END AS label FROM points JOIN parts USING (point_id)", recursive=True)
@@ -713,5 +713,5 @@ house AS (SELECT *, CASE WHEN l3 = 0 AND coalesce(z <= building + 20, true) AND
 SELECT tile, l4 AS label, count(*) AS n, sum(point_id)::BIGINT AS ids FROM house GROUP BY ALL""", recursive=True)
 def cascade(t: Tables) -> DataFrame:
     """Ground, road, noise and footprints, counted by tile."""
-    steps = [stages.Ground(epsilon=20), stages.Road(t.footprints, bin=300), stages.Noise(Scratch(t.spark, "noise"), epsilon=20, size=60, min_size=2), stages.Footprint(t.footprints, epsilon=20, bin=300)]
+    steps = [stages.Ground(refine=False, epsilon=20), stages.Road(t.footprints, bin=300), stages.Noise(Scratch(t.spark, "noise"), epsilon=20, size=60, min_size=2), stages.Footprint(t.footprints, epsilon=20, bin=300)]
     return stages.cascade(t.points, steps).groupBy("tile", "label").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"))

@@ -40,7 +40,7 @@ def box_of_points(rng, n, low, high):
 def test_rules_at_their_bounds(spark):
     rows = [(1, 0, 0.0, 0.0, 20.0, 0, 0.0, 30.0), (1, 1, 0.0, 0.0, 19.0, 0, 0.0, 30.0), (1, 2, 0.0, 0.0, 50.0, 0, 0.0, 30.0), (1, 3, 0.0, 0.0, 49.0, 0, None, 30.0), (1, 4, 0.0, 0.0, 1.0, 0, None, None)]
     points = spark.createDataFrame(rows, POINTS)
-    assert marked(stages.Ground(epsilon=20)(points), L.GROUND) == {1}
+    assert marked(stages.Ground(refine=False, epsilon=20)(points), L.GROUND) == {1}
     assert marked(stages.BelowRoof(epsilon=20)(points), L.BUILDING) == {0, 1, 3}
     house = area(spark, [(0, 0), (5, 0), (5, 5), (0, 5)], "pand")
     assert marked(stages.Footprint(house, epsilon=20)(points), L.BUILDING) == {0, 1, 2, 3, 4}
@@ -52,7 +52,7 @@ def test_ground_takes_back_what_stands_in_an_object(spark):
     body = box_of_points(rng, 300, (4, 4, 0.25), (6, 6, 0.5))
     floor = [(x / 2, y / 2, 0.05) for x in range(20) for y in range(20)]
     points = scene(spark, body + floor)
-    found = marked(stages.Ground(refine=True, scratch=Scratch(spark, "t"))(points), L.GROUND)
+    found = marked(stages.Ground()(points), L.GROUND)
     inside = {300 + i for i, (x, y, _) in enumerate(floor) if 4.3 < x < 5.7 and 4.3 < y < 5.7}
     outside = {300 + i for i, (x, y, _) in enumerate(floor) if not (3.8 < x < 6.2 and 3.8 < y < 6.2)}
     assert outside <= found and not inside & found
@@ -123,7 +123,7 @@ def test_hanging_light():
 
 def test_cascade_keeps_labels_and_excluded_rows(spark):
     points = scene(spark, [(0, 0, 0.1), (1, 1, 5.0), (2, 2, 0.05)]).withColumn("label", F.when(F.col("point_id") == 2, 40).otherwise(0))
-    done = stages.cascade(points, [stages.Ground(), stages.BelowRoof()], exclude=[40])
+    done = stages.cascade(points, [stages.Ground(refine=False), stages.BelowRoof()], exclude=[40])
     assert done.columns == points.columns and {(r.point_id, r.label) for r in done.collect()} == {(0, 9), (1, 0), (2, 40)}
 
 
@@ -279,7 +279,7 @@ def test_elevation_files(spark, tmp_path):
 def test_stream_of_tiles(spark, tmp_path):
     for k in range(3):
         scene(spark, [(k, k, 0.1), (k, k, 9.0)]).write.parquet(f"{tmp_path}/in/tile{k}")
-    run = lambda: label_arriving_tiles(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/progress", POINTS, stages.Ground(), 1).awaitTermination()
+    run = lambda: label_arriving_tiles(spark, f"{tmp_path}/in/*", f"{tmp_path}/out", f"{tmp_path}/progress", POINTS, stages.Ground(refine=False), 1).awaitTermination()
     run()
     assert spark.read.parquet(f"{tmp_path}/out").groupBy("label").count().orderBy("label").collect() == [(0, 3), (9, 3)]
     scene(spark, [(7, 7, 0.1)]).write.parquet(f"{tmp_path}/in/tile9")

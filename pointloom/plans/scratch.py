@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,10 +46,16 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables whose readers have all been written elsewhere."""
+        """Delete tables whose readers have all been written elsewhere.
+
+        Spark removes the shuffle files of plans that nothing refers to when the driver collects its garbage, which in a
+        long run of small jobs can be much later; so that is asked for here.
+        """
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             path = self._paths.pop(id(t), None)
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+        gc.collect()
+        jvm.System.gc()

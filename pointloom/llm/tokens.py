@@ -2,7 +2,7 @@
 
 The tokenizers used here split a text at white space before anything else, so ids of a text are those of its pieces, one
 after another; within a piece, a run of letters is a word by itself, and so is a single mark after one. Each process
-keeps the ids of the pieces it has met, up to a bound. New words of Latin letters go to the library's model directly, all
+keeps the ids of the pieces it has met, up to a bound, by their 64-bit hashes in sorted arrays. New words of Latin letters go to the library's model directly, all
 other new pieces through the whole library.
 """
 
@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces, and bytes of them, that a process remembers.
-PIECES, PIECE_BYTES = 700_000, 32 << 20
+from .textbuf import buffers, string_hashes
+
+#: Pieces that a process remembers, of about 40 bytes each.
+PIECES = 1_200_000
 END = 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -46,8 +48,8 @@ class Encoder:
         return cls._made[path]
 
     def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.bytes = 0
+        self.keys = np.zeros(0, np.uint64)  # ascending
+        self.place = np.zeros(0, np.int32)
         self.begin = np.zeros(1 << 16, np.int32)
         self.size = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
@@ -77,7 +79,7 @@ class Encoder:
                     stems[mark] = self._ids(mark)
                 ids = ids + stems[mark]
             found.append(ids)
-        at, n = len(self.index), len(new)
+        at, n = len(self.place), len(new)
         while at + n > len(self.begin):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         sizes = np.fromiter(map(len, found), np.int64, n)
@@ -88,12 +90,10 @@ class Encoder:
         self.begin[at : at + n] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + total] = [i for x in found for i in x]
         self.used += total
-        self.index.update(zip(new, range(at, at + n), strict=True))
-        self.bytes += sum(map(len, new))
 
     def encode(self, raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts whose UTF-8 bytes are between the offsets, each with ``END`` after it, and how many each has."""
-        if len(self.index) > PIECES or self.bytes > PIECE_BYTES:
+        if len(self.place) > PIECES:
             self._forget()
         rows = len(offs) - 1
         solid = ~_SPACE[raw]
@@ -107,15 +107,20 @@ class Encoder:
         edge = np.append(left[start] - 1, left[-1] if len(left) else 0).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(raw[solid].tobytes())])
         coded = pc.dictionary_encode(pieces)
-        kinds = coded.dictionary.to_pylist()
-        known = list(map(self.index.get, kinds))
-        new = [k for k, i in enumerate(known) if i is None]
-        if new:
-            first_new = len(self.index)
-            self._learn([kinds[k] for k in new])
-            for i, k in enumerate(new, first_new):
-                known[k] = i
-        known = np.array(known, np.int64)
+        h = string_hashes(*buffers(coded.dictionary))
+        to = np.searchsorted(self.keys, h)
+        known = np.zeros(len(h), np.int32)
+        hit = np.zeros(len(h), bool)
+        if len(self.keys):
+            near = np.minimum(to, len(self.keys) - 1)
+            hit = self.keys[near] == h
+            known = self.place[near]
+        new = np.flatnonzero(~hit)
+        if len(new):
+            known[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self._learn(coded.dictionary.take(pa.array(new)).to_pylist())
+            order = new[np.argsort(h[new])]
+            self.keys, self.place = np.insert(self.keys, to[order], h[order]), np.insert(self.place, to[order], known[order])
         at = known[np.asarray(coded.indices)]
         size = self.size[at]
         ends = np.cumsum(size, dtype=np.int64)

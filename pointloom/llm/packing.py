@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from .textbuf import buffers, lean, small_batches, spans
+from .textbuf import buffers, lean, small_batches, spans, trim
 from .tokens import Encoder
 
 WINDOW, GRAIN, DEPTH = 2048, 8, 3
@@ -171,6 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, ke
             taken[c] = lo + m * repeats
             ranges.append({"class": c, "lo": lo, "hi": taken[c], "base": base, "m": m})
         base += repeats
+    trim()
     kind = "array<struct<class: int, lo: bigint, hi: bigint, base: bigint, m: bigint>>"
     where = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ranges)), kind)))
     ahead = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

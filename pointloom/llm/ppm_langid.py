@@ -18,13 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textbuf import buffers, lean, small_batches, spans
+from .textbuf import buffers, lean, small_batches, spans, trim
 
 ORDER = 3
 #: The bound of the training sample: so many documents of a language, and so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Numbers in the table of code lengths, of 4 bytes each.
-TABLE_CELLS = 10_000_000
+TABLE_CELLS = 4_000_000
 #: A text whose best code takes more bits a byte than this, its own length, is in none of the learned languages.
 STRANGE_BITS = 8.0
 UNDETERMINED = "und"
@@ -151,7 +151,9 @@ def fit(docs: DataFrame) -> Model:
     samples: dict[str, list[str]] = {}
     for r in first.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text)
-    return Model.train(samples)
+    model = Model.train(samples)
+    trim()
+    return model
 
 
 def held_out() -> F.Column:

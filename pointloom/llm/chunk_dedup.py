@@ -244,10 +244,13 @@ def _marked(docs: DataFrame, scratch: Scratch) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = min(60_000, max(16, math.ceil(total / 12 / BLOCK)))
     marks = scratch.table(_marks(docs, blocks).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("at", "earlier", "ecrc", "there")).alias("m")), "marks")
+    scratch.drop()  # the digests' shuffle files go before texts are shuffled
     ends = scratch.table(_ends(marks), "ends")
     near = ends.join(_around(docs, ends), ["earlier", "ecrc", "there", "side"], "left").groupBy("doc_id", "crc").agg(F.collect_list(F.struct("k", "side", "bytes")).alias("e"))
     both = marks.join(near, ["doc_id", "crc"])
-    return scratch.table(both.select(F.col("doc_id").alias("__repeat_id"), F.col("crc").alias("__repeat_crc"), F.col("m").alias("__repeat_at"), F.col("e").alias("__repeat_ends")), "marked")
+    done = scratch.table(both.select(F.col("doc_id").alias("__repeat_id"), F.col("crc").alias("__repeat_crc"), F.col("m").alias("__repeat_at"), F.col("e").alias("__repeat_ends")), "marked")
+    scratch.drop(marks, ends)
+    return done
 
 
 def _joined(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Pass one judges each block by itself from its length, its link density and its share of stop words; blocks inside
 elements that by their tag, role or class hold menus, notices, adverts, forms or comments are decided as boilerplate, and
-blocks of an ``article`` or ``main`` element need no stop words. Pass two gives each block that is too short to judge the
-label of its nearest decided neighbour.
+blocks of an ``article`` or ``main`` element need fewer stop words and may have more links. Pass two gives each block that
+isn't decided the label of its nearest decided neighbour, in such an element that of its own blocks if some are good.
 """
 
 from __future__ import annotations
@@ -107,10 +107,11 @@ def _kind(tag: str, attributes: str, inside: int) -> int:
 
 
 class _Blocks:
-    """Text blocks of a page: text, characters in links, kind of the element around it, whether a heading."""
+    """Text blocks of a page: text, characters in links, kind of the element around it, whether a heading, number of the main element."""
 
     def __init__(self) -> None:
-        self.found: list[tuple[str, int, int, bool]] = []
+        self.found: list[tuple[str, int, int, bool, int]] = []
+        self.element = 0
         self.parts: list[str] = []
         self.links: list[str] = []
 
@@ -119,11 +120,11 @@ class _Blocks:
             text = "".join(self.parts)
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                self.found.append((text, sum(len(" ".join(x.split())) for x in self.links), kind, heading))
+                self.found.append((text, sum(len(" ".join(x.split())) for x in self.links), kind, heading, self.element if kind == _MAIN else 0))
             self.parts, self.links = [], []
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool]]:
+def blocks(html: str) -> list[tuple[str, int, int, bool, int]]:
     """The text blocks of a page, in order; ends of elements that never began are ignored, open elements end with the page."""
     out = _Blocks()
     stack: list[tuple[str, int]] = []
@@ -204,66 +205,78 @@ def blocks(html: str) -> list[tuple[str, int, int, bool]]:
             if new != kind and tag not in BLOCKS:
                 out.end(kind, heading)
             stack.append((tag, kind))
+            out.element += new == _MAIN != kind
             kind = new
     out.end(kind, heading)
     return out.found
 
 
 def _alone(text: str, links: int, kind: int) -> int:
-    """Pass one."""
+    """Pass one; in a main element a block is judged one step milder."""
     if kind == _BOILER:
         return BAD
     density = links / len(text)
     if kind == _MAIN:
-        return BAD if density > 2 * LINKS and len(text) < SHORT else GOOD
-    if density > LINKS or "©" in text:
+        if len(text) < SHORT or density > 2 * LINKS:
+            return BAD if density > 2 * LINKS and len(text) < SHORT else UNSURE
+    elif density > LINKS or "©" in text:
         return BAD
-    if len(text) < SHORT:
+    elif len(text) < SHORT:
         return BAD if links and density > LINKS / 2 else UNSURE
     words = _WORD.findall(text.lower())
     share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if kind == _MAIN:
+        return GOOD if share >= STOP_LOW else UNSURE
     return GOOD if share >= STOP_HIGH else UNSURE if share >= STOP_LOW else BAD
 
 
-def classify(found: list[tuple[str, int, int, bool]]) -> list[bool]:
-    """Which blocks are main text."""
-    label = [_alone(text, links, kind) for text, links, kind, _ in found]
-    if any(kind == _MAIN and x == GOOD for (_, _, kind, _), x in zip(found, label, strict=True)):
-        # the page names its main element: nothing outside of it is part of the article
-        return [x == GOOD and kind == _MAIN for (_, _, kind, _), x in zip(found, label, strict=True)]
+def _inherit(found: list[tuple[str, int, int, bool, int]], label: list[int], end: int) -> list[int]:
+    """Pass two; ``end`` is the label of what is before and after all blocks."""
     n = len(label)
-    before, after = [(-1, BAD)] * n, [(n, BAD)] * n
-    last = (-1, BAD)
+    before, after = [(-1, end)] * n, [(n, end)] * n
+    last = (-1, end)
     for i in range(n):
         before[i] = last
         if label[i] != UNSURE:
             last = (i, label[i])
-    last = (n, BAD)
+    last = (n, end)
     for i in range(n - 1, -1, -1):
         after[i] = last
         if label[i] != UNSURE:
             last = (i, label[i])
     out = []
-    for i, (text, _, _, heading) in enumerate(found):
+    for i, (text, _, kind, heading, _) in enumerate(found):
         if label[i] != UNSURE:
-            out.append(label[i] == GOOD)
+            out.append(label[i])
         elif heading:
-            out.append(after[i][1] == GOOD)
+            out.append(after[i][1])
         else:
             (p, left), (q, right) = before[i], after[i]
             if left == right or i - p != q - i:
-                out.append((left if i - p <= q - i else right) == GOOD)
-            else:  # as near to either: a sentence goes on with the article
-                out.append(text[-1] in ".!?…:\"”»")
+                out.append(left if i - p <= q - i else right)
+            else:  # as near to either: a main element's block or a sentence goes on with the article
+                out.append(GOOD if kind == _MAIN or text[-1] in ".!?…:\"”»" else BAD)
     return out
 
 
+def classify(found: list[tuple[str, int, int, bool, int]]) -> list[bool]:
+    """Which blocks are main text."""
+    label = [_alone(text, links, kind) for text, links, kind, _, _ in found]
+    if GOOD not in label:  # only the main elements say where the text is
+        label = [GOOD if x == UNSURE and kind == _MAIN else x for x, (_, _, kind, _, _) in zip(label, found, strict=True)]
+    for element in {e for (_, _, _, _, e), x in zip(found, label, strict=True) if e and x == GOOD}:
+        own = [i for i, b in enumerate(found) if b[4] == element]
+        for i, x in zip(own, _inherit([found[i] for i in own], [label[i] for i in own], GOOD), strict=True):
+            label[i] = x
+    return [x == GOOD for x in _inherit(found, label, BAD)]
+
+
 def main_text(html: str | None) -> str:
     """The blocks of main text, joined by blank lines; empty for a null or empty page or one without main text."""
     if not html:
         return ""
     found = blocks(html)
-    return "\n\n".join(text for (text, _, _, _), good in zip(found, classify(found), strict=True) if good)
+    return "\n\n".join(text for (text, *_), good in zip(found, classify(found), strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -97,6 +97,18 @@ def test_html_two_passes():
     assert block_html.main_text(page) == f"Heading\n\n{want}\n\nShort one.\n\n{want}"
 
 
+def test_html_body_beside_or_partly_in_an_article():
+    long = "the cat of the house and the dog of the street are in the garden with the others and they stay there. " * 2
+    want = " ".join(long.split())
+    teaser = '<article class="card"><h3><a href="x">Another story</a></h3><p>Read it <a href="x">here now</a></p></article>'
+    page = f"<body><nav>Home</nav><div><p>{long}</p></div><div>Short one.</div><div><p>{long}</p></div>{teaser}<footer>Us</footer>"
+    assert block_html.main_text(page) == f"{want}\n\nShort one.\n\n{want}"
+    partly = f"<body><nav>Home</nav><article><h1>Title</h1><p>{long}</p><p>A note</p></article><div><p>{long}</p></div><footer>{long}</footer>"
+    assert block_html.main_text(partly) == f"Title\n\n{want}\n\nA note\n\n{want}"
+    listed = f"<article><p>{long}</p><li><a href=x>More of it</a></li><li>Of us</li><li><a href=y>More of them</a></li></article>"
+    assert block_html.main_text(listed) == want
+
+
 @pytest.mark.parametrize(
     "name, boiler",
     [("ad", True), ("comment-body", True), ("sidebar-content", True), ("entry-comments", True), ("site-header", True), ("article-header", False), ("content sidebar-right", False), ("post", False)]

@@ -6,6 +6,9 @@ what is deduplicated is the digest of ``RUN`` chunks in a row, which is long eno
 a document with a smaller doc_id has too marks its chunks. Marked stretches are then compared byte by byte with the text
 around their place in that document and grow as far as both agree; those of ``min_words`` words or more are repeats.
 
+Where the gear cuts too seldom for ``SPAN`` words to hold ``RUN`` whole chunks wherever they stand, as in a short line said
+again and again, each ``SPAN`` words in a row have a digest too. So two documents that share ``MIN_WORDS`` words share a digest.
+
 Digests are dealt over blocks. Within a slice of the input only the smallest document of each digest is sent on, the
 others being repeats already, so a passage in a third of all documents doesn't gather in one task.
 """
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
-from .textbuf import U, buffers, lean, mix, pack, small_batches, spans, trim, unpack
+from .textbuf import _SPACE, U, buffers, lean, mix, pack, small_batches, spans, trim, unpack
 
 #: Bytes that the gear sees, chunk limits, chunks in a digest, words of a repeat at least.
 WINDOW, CUT_BITS, MIN_CHUNK, MAX_CHUNK, RUN, MIN_WORDS = 16, 0x7000, 6, 256, 4, 50
+#: Words of a digest of words: a passage's first and last word may be parts of longer ones in one of two documents. Their marks count from WORDS.
+SPAN, WORDS = MIN_WORDS - 2, 1 << 30
 TEXT_BYTES, BLOCK = 2 << 20, 1_000_000
 #: Bytes to either side of a stretch that are compared, and documents whose ids are broadcast at most.
 AROUND, BROADCAST_IDS = 512, 500_000
@@ -36,11 +42,9 @@ _POS = _rng.integers(1, 2**63, MAX_CHUNK + 1, dtype=np.uint64) | U(1)
 _STEP = _rng.integers(1, 2**63, RUN, dtype=np.uint64) | U(1)
 
 
-def chunks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all chunks of all rows, and the index of each row's first chunk (one more at the end)."""
+def _cuts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the gear cuts; whether it does depends on the ``WINDOW + MIN_CHUNK`` bytes before and the next byte."""
     n = np.diff(offs)
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     put = np.arange(len(raw)) + np.repeat(WINDOW * np.arange(1, len(n) + 1), n)
     gear = np.zeros(len(raw) + WINDOW * len(n), np.uint16)
     gear[put] = _GEAR[raw]
@@ -55,7 +59,15 @@ def chunks(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(cut[:-1])
     # of cuts that crowd, only those that none of the same row precedes within MIN_CHUNK bytes count
     row = np.searchsorted(offs, at, "right")
-    at = at[np.concatenate([[True], (np.diff(at) >= MIN_CHUNK) | (np.diff(row) > 0)])] if len(at) else at
+    return at[np.concatenate([[True], (np.diff(at) >= MIN_CHUNK) | (np.diff(row) > 0)])] if len(at) else at
+
+
+def chunks(raw: np.ndarray, offs: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all chunks of all rows, and the index of each row's first chunk (one more at the end)."""
+    n = np.diff(offs)
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+    at = _cuts(raw, offs) if cuts is None else cuts
     begin = offs[:-1][n > 0]
     at = np.union1d(at, begin)
     size = np.diff(np.append(at, len(raw)))
@@ -86,6 +98,48 @@ def run_digests(raw: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.
     return k, mix(out)
 
 
+def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words of all rows."""
+    solid = np.zeros(len(raw) + 1, bool)
+    solid[:-1] = ~_SPACE[raw]
+    begins, ends = solid.copy(), np.zeros(len(raw) + 1, bool)
+    begins[1:] &= ~solid[:-1]
+    ends[1:] = solid[:-1] & ~solid[1:]
+    begins[offs] = solid[offs]
+    inner = offs[(offs > 0) & (offs < len(raw))]
+    ends[inner] = solid[inner - 1]
+    return np.flatnonzero(begins[:-1]), np.flatnonzero(ends)
+
+
+def word_digests(raw: np.ndarray, offs: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of each ``SPAN`` words in a row that may hold fewer than ``RUN`` whole chunks: (row, index of its first word in the row, digest)."""
+    begin, end = _words(raw, offs)
+    row = np.searchsorted(offs, begin, "right") - 1
+    j = np.flatnonzero(row[: max(0, len(begin) - SPAN + 1)] == row[SPAN - 1 :])
+    a, z = begin[j], end[j + SPAN - 1]
+    few = np.searchsorted(cuts, z) - np.searchsorted(cuts, a + WINDOW + MIN_CHUNK) <= RUN
+    j, a, z = j[few], a[few], z[few]
+    text = raw.tobytes() if len(j) else b""
+    out = np.array([int.from_bytes(blake2b(text[p:q], digest_size=8).digest(), "little") for p, q in zip(a, z, strict=True)], np.uint64)
+    return row[j], j - np.searchsorted(row, row[j]), out
+
+
+def _bounds(raw: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the digests with these marks begin and end in a text."""
+    offs = np.array([0, len(raw)])
+    a, z = np.zeros(len(marks), np.int64), np.zeros(len(marks), np.int64)
+    of_words = marks >= WORDS
+    if not of_words.all():
+        start, _ = chunks(raw, offs)
+        k = marks[~of_words]
+        a[~of_words], z[~of_words] = start[k], np.append(start[1:], len(raw))[k + RUN - 1]
+    if of_words.any():
+        begin, end = _words(raw, offs)
+        k = marks[of_words] - WORDS
+        a[of_words], z[of_words] = begin[k], end[k + SPAN - 1]
+    return a, z
+
+
 def _firsts(digest: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For every entry, the entry with the same digest in the smallest document, there the first."""
     order = np.lexsort((at, ids, digest))
@@ -97,7 +151,7 @@ def _firsts(digest: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, crc, at, earlier, ecrc, there``: a row for each digest, by the index of its first chunk, that an earlier document has, and where."""
+    """``doc_id, crc, at, earlier, ecrc, there``: a row for each digest, by the index of its first chunk or word, that an earlier document has, and where."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,21 +159,26 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
             ids = np.asarray(batch.column("doc_id")).astype(np.int64)
             for a, z in spans(offs, TEXT_BYTES):
                 text, o = raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a]
-                at, first = chunks(text, o)
-                k, digest = run_digests(text, at, first)
-                if not len(k):
+                if not len(text):
                     continue
+                cuts = _cuts(text, o)
+                at, first = chunks(text, o, cuts)
+                k, digest = run_digests(text, at, first)
                 row = np.searchsorted(first, k, "right") - 1
+                word_row, word, word_digest = word_digests(text, o, cuts)
+                at_row = np.concatenate([k - first[row], word + WORDS]).astype(np.uint32)
+                row, digest = np.concatenate([row, word_row]), np.concatenate([digest, word_digest])
+                if not len(row):
+                    continue
                 own = ids[a:z][row]
-                at_row = (k - first[row]).astype(np.uint32)
                 crc = np.array([zlib.crc32(text[o[i] : o[i + 1]]) for i in range(z - a)], np.uint32)
                 least = _firsts(digest, own, at_row)
                 block = ((digest >> U(48)) % U(blocks)).astype(np.int64)
                 block[own != own[least]] = blocks + (a + ids[a]) % blocks  # known repeats go to any block
-                order = np.lexsort((k, block))
+                order = np.lexsort((at_row, row, block))
                 edge = np.flatnonzero(np.concatenate([[True], block[order][1:] != block[order][:-1]]))
                 rows = []
-                for s, e in zip(edge, np.append(edge[1:], len(k)), strict=True):
+                for s, e in zip(edge, np.append(edge[1:], len(row)), strict=True):
                     x = order[s:e]
                     heads = np.flatnonzero(np.concatenate([[True], row[x][1:] != row[x][:-1]]))
                     runs = np.diff(np.append(heads, len(x))).astype("<u4")
@@ -149,13 +208,13 @@ def _marks(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of ascending chunk indices whose digests touch or overlap."""
-    head = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + RUN])) if len(at) else np.zeros(0, np.int64)
+    """Ranges of ascending marks whose digests touch or overlap; those of words have to follow each other."""
+    head = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + np.where(at[1:] < WORDS, RUN, 1)])) if len(at) else np.zeros(0, np.int64)
     yield from zip(head, np.append(head[1:], len(at))[: len(head)], strict=True)
 
 
 def _fields(marks: pa.ListScalar, *names: str) -> list[np.ndarray]:
-    """Columns of a document's marks, one mark for each chunk, in order."""
+    """Columns of a document's marks, one mark for each chunk or word, in order."""
     first = marks.values.field("at").to_numpy()
     _, order = np.unique(first, return_index=True)
     return [marks.values.field(n).to_numpy()[order] for n in names]
@@ -178,8 +237,19 @@ def _ends(marks: DataFrame) -> DataFrame:
     return marks.transform(small_batches).mapInArrow(lean(run), "doc_id long, crc long, k int, side int, earlier long, ecrc long, there int")
 
 
+def _places(text: bytes, a: int, z: int) -> set[int]:
+    """Where ``text[a:z]`` begins: at ``a`` and, if it says the same again and again, where that ends."""
+    last, to = a, text.find(text[a:z], a + 1, z + AROUND)
+    while 0 <= to <= last + z - a:
+        last, to = to, text.find(text[a:z], to + 1, z + AROUND)
+    return {a, last}
+
+
 def _around(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """``earlier, ecrc, there, side, bytes``: the text before (0) or after (1) a digest in the document that has it first."""
+    """``earlier, ecrc, there, side, bytes``: the text before (0) or after (1) a digest in the document that has it first.
+
+    Where the digest's text is said again and again there are two rows, for the first and the last time.
+    """
     asked = ends.select("earlier", "ecrc", "there", "side").distinct().groupBy("earlier", "ecrc").agg(F.collect_list(F.struct("there", "side")).alias("asked"))
     ids = asked.select("earlier").distinct()
     if ids.count() <= BROADCAST_IDS:
@@ -192,11 +262,11 @@ def _around(docs: DataFrame, ends: DataFrame) -> DataFrame:
             out = []
             for doc_id, crc, text, asked in zip(*(batch.column(c) for c in ("earlier", "ecrc", "text", "asked")), strict=True):
                 b = text.as_py().encode()
-                start, _ = chunks(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
-                end = np.append(start[1:], len(b))
-                for there, side in zip(asked.values.field("there").to_pylist(), asked.values.field("side").to_pylist(), strict=True):
-                    x = int(start[there]) if side == 0 else int(end[there + RUN - 1])
-                    out.append((doc_id.as_py(), crc.as_py(), there, side, b[max(0, x - AROUND) : x] if side == 0 else b[x : x + AROUND]))
+                marks = asked.values.field("there").to_numpy()
+                for there, side, begin, end in zip(marks.tolist(), asked.values.field("side").to_pylist(), *_bounds(np.frombuffer(b, np.uint8), marks), strict=True):
+                    for x in _places(b, int(begin), int(end)):
+                        y = x + int(end - begin)
+                        out.append((doc_id.as_py(), crc.as_py(), there, side, b[max(0, x - AROUND) : x] if side == 0 else b[y : y + AROUND]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["earlier", "ecrc", "there", "side", "bytes"])
 
@@ -213,17 +283,20 @@ def _agree(a: bytes, b: bytes) -> int:
 def _stretches(text: bytes, marks: pa.ListScalar, ends: pa.ListScalar, min_words: int) -> list[tuple[int, int, int]]:
     """Byte ranges of whole words that repeat, and the smallest earlier document of each."""
     raw = np.frombuffer(text, np.uint8)
-    start, _ = chunks(raw, np.array([0, len(raw)]))
-    end = np.append(start[1:], len(raw))
     at, ids = _fields(marks, "at", "earlier")
-    near = {(e["k"], e["side"]): e["bytes"] or b"" for e in ends.as_py()}
+    start, end = _bounds(raw, at)
+    near: dict[tuple[int, int], list[bytes]] = {}
+    for e in ends.as_py():
+        near.setdefault((e["k"], e["side"]), []).append(e["bytes"] or b"")
     space = lambda i: text[i : i + 1].isspace()
-    found: list[tuple[int, int, int]] = []
+    grown = []
     for s, e in _runs(at):
-        a, z = int(start[at[s]]), int(end[at[e - 1] + RUN - 1])
-        a -= _agree(text[max(0, a - AROUND) : a][::-1], near.get((int(at[s]), 0), b"")[::-1])
-        z += _agree(text[z : z + AROUND], near.get((int(at[e - 1]), 1), b""))
-        first = int(ids[s:e].min())
+        a, z = int(start[s]), int(end[e - 1])
+        a -= max((_agree(text[max(0, a - AROUND) : a][::-1], x[::-1]) for x in near.get((int(at[s]), 0), ())), default=0)
+        z += max((_agree(text[z : z + AROUND], x) for x in near.get((int(at[e - 1]), 1), ())), default=0)
+        grown.append((a, z, int(ids[s:e].min())))
+    found: list[tuple[int, int, int]] = []
+    for a, z, first in sorted(grown):
         if found and a <= found[-1][1]:
             a, z, first = found[-1][0], max(z, found[-1][1]), min(first, found[-1][2])
             found.pop()

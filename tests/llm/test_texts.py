@@ -191,6 +191,33 @@ def test_repeated_passages(spark):
     assert [r.text for r in again if r.doc_id is None] == [texts[3]]
 
 
+def test_every_shared_passage_has_a_common_digest():
+    rng = random.Random(21)
+
+    def digests(text):
+        raw, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+        cuts = chunk_dedup._cuts(raw, offs)
+        _, runs = chunk_dedup.run_digests(raw, *chunk_dedup.chunks(raw, offs, cuts))
+        return set(runs.tolist()) | set(chunk_dedup.word_digests(raw, offs, cuts)[2].tolist())
+
+    for n in range(200):
+        line = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) if n % 2 else " ".join(prose(rng, 1) for _ in range(1 + n % 5))
+        passage = " ".join(rng.choice("abc") for _ in range(50)) if n % 10 == 0 else " ".join([line] * 60)
+        one, two = (prose(rng, rng.randint(5, 40)) + rng.choice([" ", "x"]) + passage + rng.choice([" ", "y"]) + prose(rng, 30) for _ in range(2))
+        assert digests(one) & digests(two), passage
+
+
+def test_repeats_of_few_words(spark):
+    rng = random.Random(22)
+    passages = [" ".join([" ".join(f"{rng.choice('abcdefgh')}{rng.randint(10, 999)}" for _ in range(1 + i % 3))] * 60) for i in range(24)]
+    own = [(prose(rng, 60 + rng.randint(0, 9)), prose(rng, 40)) for _ in range(48)]
+    texts = [f"{a} {passages[i % 24]} {z}" for i, (a, z) in enumerate(own)]
+    got = {r.doc_id: r for r in chunk_dedup.repeats(documents(spark, texts)).collect()}
+    assert set(got) == set(range(24, 48))
+    for i, r in got.items():
+        assert r.passage in texts[i - 24] and r.earlier_doc_id == i - 24 and passages[i - 24] in r.passage
+
+
 def test_no_chance_repeats_in_prose(spark):
     rng = random.Random(12)
     words = [prose(rng, 1) + str(k) for k in range(60)] + ["the", "of", "and"] * 10

@@ -109,17 +109,18 @@ def grow_in_layers(points: DataFrame, label: int, layers: list[dict], scratch: S
     return points
 
 
-def reach_from_seeds(edges: DataFrame, seeds: DataFrame, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
-    """Nodes of directed ``edges(u, v)`` that ``seeds(node)`` reach, the seeds included; one round a step."""
+def reach_from_seeds(edges: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """Nodes of directed ``edges(u, v)`` that ``seeds(node)`` reach, the seeds included; one round a step, until none is new."""
     edges = scratch.table(edges.select("u", "v").distinct(), "reach-edges")
     seen = scratch.table(seeds.select("node").distinct(), "seen")
     front = seen
-    for _ in range(max_rounds):
-        front = scratch.table(edges.join(front, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = scratch.table(seen.unionByName(front), "seen")
-    return seen
+    while True:
+        after = scratch.table(edges.join(front, F.col("u") == F.col("node"), "left_semi").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+        if after.isEmpty():
+            return seen
+        more = scratch.table(seen.unionByName(after), "seen")
+        scratch.drop(seen, front)
+        seen, front = more, after
 
 
 def grow_by_nearest(free: DataFrame, seeds: DataFrame, radius) -> DataFrame:

@@ -174,6 +174,12 @@ def test_growing_bounds(spark):
     assert grow(9, 0.1) == {0} | set(range(10, 19))
 
 
+def test_reach_over_many_steps(spark):
+    edges = spark.range(205).selectExpr("id as u", "id + 1 as v").unionByName(spark.createDataFrame([(500, 3), (300, 301)], "u long, v long"))
+    got = clusters.reach_from_seeds(edges, spark.createDataFrame([(0,)], "node long"), Scratch(spark, "t"))
+    assert {r.node for r in got.collect()} == set(range(206))
+
+
 def test_nearest_value_and_samples_on_cells(spark):
     cells = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 0, 10.0, 0.0), (2, 0, 99.0, 0.0)], "ix int, iy int, x double, y double")
     samples = spark.createDataFrame([(1, 0.0, 0.0, 5.0), (2, 3.0, 4.0, 9.0), (3, 10.0, 5.0, 1.0), (4, 10.0, -5.0, 3.0)], "id long, x double, y double, value double")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
 
 def bin_of(value: Column, size) -> Column:
     return F.floor(value / size).cast("long")
@@ -71,3 +73,33 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], tie: str, radius,
     pairs = pairs.select(*[F.col(f"l.{c}").alias(c) for c in (*key, *carry)], F.col(f"r.{tie}").alias(tie), *[F.col(f"r.{c}").alias(c) for c in keep], "d2")
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("d2", tie))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def nearest_of_tile(left: DataFrame, right: DataFrame, key: list[str], tie: str, radius, k: int, scratch: Scratch, tile: tuple[str, str] | None = None, dims: tuple[str, ...] = ("x", "y"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The ``k`` nearest right rows of each left row, whatever their distance, or all if there are fewer.
+
+    Columns are those of ``nearest``. ``tile`` names the tile's column on either side; without it all rows are of one tile.
+    ``radius`` is where the search begins: it doubles for rows that have found too few, until they hold their tile.
+    """
+    a, b = ("_tile", "_other_tile") if tile is None else tile
+    if tile is None:
+        left, right = left.withColumn(a, F.lit(0)), right.withColumn(b, F.lit(0))
+    right = scratch.table(right.dropna(subset=[*dims, b]), "others")
+    size = right.groupBy(F.col(b).alias(a)).agg(F.least(F.count("*"), F.lit(k)).alias("_want"))
+    todo = scratch.table(left.dropna(subset=list(dims)).join(size, a), "todo")
+    both = todo.select(*dims).unionByName(right.select(*dims))
+    extent = both.agg(*[(F.max(d) - F.min(d)).alias(d) for d in dims]).first()
+    far = sum(float(v or 0) for v in extent)
+    out = None
+    while True:
+        some = scratch.table(nearest(todo, right, key, tie, radius, k, dims, keep, extra=F.col(f"l.{a}") == F.col(f"r.{b}")), "near")
+        full = some.groupBy(*key).agg(F.count("*").alias("_n")).join(todo.select(*key, "_want"), key).where(F.col("_n") >= F.col("_want")).select(*key)
+        last = radius > far
+        done = some if last else some.join(full, key, "left_semi")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        todo = scratch.table(todo.join(full, key, "left_anti"), "todo")
+        if todo.isEmpty():
+            return out
+        radius = radius * 2

@@ -596,7 +596,7 @@ def region_grow_normals(t: Tables) -> DataFrame:
     scratch = Scratch(t.spark, "normals")
     shape = scratch.table(t.cloud.select("tile", "point_id", "x", "y", "z").join(shapes.local_features(t.cloud, 400, 30), "point_id"), "shape")
     other = shape.select(F.col("tile").alias("other_tile"), F.col("point_id").alias("other_id"), "x", "y", "z", "nx", "ny", "nz", "curvature")
-    near = spatial.nearest(shape, other, ["point_id"], "other_id", 400, 15, ("x", "y", "z"), keep=("nx", "ny", "nz", "curvature"), extra=F.col("l.tile") == F.col("r.other_tile"))
+    near = spatial.nearest_of_tile(shape, other, ["point_id"], "other_id", 400, 15, scratch, ("tile", "other_tile"), ("x", "y", "z"), keep=("nx", "ny", "nz", "curvature"))
     own = shape.select("point_id", *[F.col(c).alias(f"o{c}") for c in ("nx", "ny", "nz")])
     dot = F.abs(F.col("nx") * F.col("onx") + F.col("ny") * F.col("ony") + F.col("nz") * F.col("onz"))
     edges = near.join(own, "point_id").where((dot > F.cos(F.radians(F.lit(20.0)))) & (F.col("curvature") < 1.0)).select(F.col("point_id").alias("u"), F.col("other_id").alias("v"))

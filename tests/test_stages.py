@@ -174,6 +174,33 @@ def test_growing_bounds(spark):
     assert grow(9, 0.1) == {0} | set(range(10, 19))
 
 
+def test_nearest_of_tile_against_brute_force(spark):
+    rng = random.Random(31)
+    rows = [(rng.randint(0, 1), i, *(rng.randint(0, 60) if i < 100 else rng.randint(0, 5000) for _ in range(3))) for i in range(160)] + [(7, 200 + i, i * 900, 0, 0) for i in range(4)]
+    points = spark.createDataFrame(rows, "tile int, point_id long, x long, y long, z long")
+    other = points.withColumnsRenamed({"tile": "other_tile", "point_id": "other_id"})
+    got = spatial.nearest_of_tile(points, other, ["point_id"], "other_id", 40, 15, Scratch(spark, "t"), ("tile", "other_tile"), ("x", "y", "z"))
+    want = set()
+    for tile, i, *p in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(p, q)), j) for t, j, *q in rows if t == tile)[:15]
+        want |= {(i, j, d, rank) for rank, (d, j) in enumerate(near, 1)}
+    assert sorted((r.point_id, r.other_id, r.d2, r["rank"]) for r in got.collect()) == sorted(want)
+    flat = spatial.nearest_of_tile(points.where("tile = 7"), other.where("other_tile = 7"), ["point_id"], "other_id", 40, 2, Scratch(spark, "t"), dims=("x", "y"))
+    assert {(r.point_id, r.other_id) for r in flat.collect()} == {(200, 200), (200, 201), (201, 201), (201, 200), (202, 202), (202, 201), (203, 203), (203, 202)}
+
+
+def test_region_grow_links_the_nearest_of_a_sparse_cloud(spark):
+    from pointloom.plans import queries
+
+    class Sparse:
+        pass
+
+    t = Sparse()
+    t.spark = spark
+    t.cloud = spark.createDataFrame([(1, i, i * 1000, 0, 0, 10 if i == 0 else 0) for i in range(20)], "tile int, point_id long, x long, y long, z long, code int")
+    assert {r.point_id for r in queries.region_grow_normals(t).collect()} == set(range(20))
+
+
 def test_reach_over_many_steps(spark):
     edges = spark.range(205).selectExpr("id as u", "id + 1 as v").unionByName(spark.createDataFrame([(500, 3), (300, 301)], "u long, v long"))
     got = clusters.reach_from_seeds(edges, spark.createDataFrame([(0,)], "node long"), Scratch(spark, "t"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 from .graph import connected_components
-from .spatial import nearest
+from .spatial import nearest, nearest_of_tile
 
 
 @dataclass(frozen=True)
@@ -135,6 +135,39 @@ def coalesce_surface(raster: DataFrame, first: str, second: str, name: str) -> D
     return raster.withColumn(name, F.coalesce(first, second))
 
 
+def fill_ground(raster: DataFrame, scratch: Scratch, value: str = "ground", artifact: str | None = None, tile: str | None = None, name: str = "surface") -> DataFrame:
+    """Add ``name``: ``value`` with all gaps filled, by the ``artifact`` surface, then linearly, then by the nearest cell.
+
+    Linear is between the known cells at both ends of a gap in its row and in its column, the mean of both weighted by the
+    inverse of their distance. Cells that have none on both sides take the nearest one's value; a tile without known cells
+    keeps its nulls. Missing cells need a row.
+    """
+    keys = ["ix", "iy", *([tile] if tile else [])]
+    start = F.col(value).cast("double") if artifact is None else F.coalesce(value, artifact).cast("double")
+    sides, span = [], []
+    for along, across in (("ix", "iy"), ("iy", "ix")):
+        w = Window.partitionBy(*keys[2:], across).orderBy(along)
+        at = F.when(F.col("_v").isNotNull(), F.struct(F.col(along).cast("double").alias("at"), F.col("_v").alias("v")))
+        low = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        high = F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+        sides.append((low, high, along))
+    cells = raster.select(*keys, start.alias("_v"))
+    for k, (low, high, along) in enumerate(sides):
+        cells = cells.withColumn("_low", low).withColumn("_high", high)
+        wide = F.col("_high.at") - F.col("_low.at")
+        line = F.col("_low.v") + (F.col("_high.v") - F.col("_low.v")) * (F.col(along) - F.col("_low.at")) / wide
+        cells = cells.withColumn(f"_line{k}", F.when(wide > 0, line)).withColumn(f"_w{k}", F.when(wide > 0, 1 / wide)).drop("_low", "_high")
+        span.append(F.coalesce(F.col(f"_line{k}") * F.col(f"_w{k}"), F.lit(0.0)))
+    weight = F.coalesce("_w0", F.lit(0.0)) + F.coalesce("_w1", F.lit(0.0))
+    cells = scratch.table(cells.select(*keys, F.coalesce("_v", F.when(weight > 0, (span[0] + span[1]) / weight)).alias("_v")), "lines")
+    place = [F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y")]
+    left = cells.where("_v is null").select(*keys, *place)
+    known = cells.where("_v is not null").select(F.struct("iy", "ix").alias("id"), *place, F.col("_v").alias("_near"), *([F.col(tile).alias("_other_tile")] if tile else []))
+    near = nearest_of_tile(left, known, keys, "id", 4, 1, scratch, (tile, "_other_tile") if tile else None, keep=("_near",)).select(*keys, "_near")
+    full = cells.join(near, keys, "left").select(*keys, F.coalesce("_v", "_near").alias(name))
+    return raster.join(full, keys, "left")
+
+
 def smooth_edges(raster: DataFrame, value: str = "ground", thickness: int = 1) -> DataFrame:
     """Cells within ``thickness`` steps of a missing one, themselves known, take the mean of the known cells of their 3 x 3.
 

@@ -342,7 +342,9 @@ class Cable:
     bin: float = 10
 
     def band(self, points: DataFrame) -> DataFrame:
-        """Free points strictly inside the height band above known ground."""
+        """Free points strictly inside the height band above ground, which is ``surface``, the ground without gaps, where points have it."""
+        if "surface" in points.columns:
+            points = points.withColumn("ground", F.coalesce("surface", "ground"))
         height = F.col("z") - F.col("ground")
         return points.where(_free() & (height > self.bottom) & (height < self.top))
 
@@ -378,7 +380,7 @@ class Cable:
             keep = pa.array(np.flatnonzero(out >= 0))
             return pa.table({c: (table[c] if c != "cluster_id" else pa.array(out.astype(np.int64))).take(keep) for c in ("tile", "point_id", "cluster_id", "x", "y", "z", "ground")})
 
-        kinds = dict(points.dtypes)
+        kinds = dict(some.dtypes)
         schema = f"tile {kinds['tile']}, point_id long, cluster_id long, " + ", ".join(f"{c} {kinds[c]}" for c in ("x", "y", "z", "ground"))
         has = every.where("cluster_id >= 0").select("tile").distinct()
         return every.select("tile", "point_id", "cluster_id", "x", "y", "z", "ground").join(has, "tile", "left_semi").groupBy("tile").applyInArrow(merged, schema)

@@ -11,6 +11,7 @@ from ..functions.labels import label_table
 from ..functions.tiles import TILE_SIZE
 from ..operators import rasters, shapes, stages
 from ..sources import files
+from .scratch import Scratch
 from .ship import ship
 
 
@@ -25,7 +26,7 @@ def global_ids(points: DataFrame) -> DataFrame:
 
 
 def with_elevation(points: DataFrame, elevation: DataFrame, cell: float = 0.1, tile_size: int = TILE_SIZE) -> DataFrame:
-    """Add ``ground`` and ``building`` of each point's cell in its tile's raster; null where there is none.
+    """Add ``ground`` and ``building``, and ``surface`` if there, of each point's cell in its tile's raster; null where there is none.
 
     Cells are numbered from the tile's upper left corner. Points on a tile's far edges belong to its last cells, points
     beyond it to none.
@@ -38,7 +39,7 @@ def with_elevation(points: DataFrame, elevation: DataFrame, cell: float = 0.1, t
 
     ix = index(F.col("x") - _corner(F.col("tilecode"), 0, tile_size))
     iy = index(_corner(F.col("tilecode"), 1, tile_size) + tile_size - F.col("y"))
-    raster = elevation.select("tilecode", F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), "ground", "building")
+    raster = elevation.select("tilecode", F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), *[c for c in ("ground", "building", "surface") if c in elevation.columns])
     return points.withColumn("_ix", ix).withColumn("_iy", iy).join(raster, ["tilecode", "_ix", "_iy"], "left").drop("_ix", "_iy")
 
 
@@ -65,7 +66,12 @@ def build_elevation(cloud: DataFrame, tiles: DataFrame, cell: float = 0.1, groun
 
 
 def label_cloud(points: DataFrame, elevation: DataFrame, steps: list[stages.Stage], exclude: tuple[int, ...] = (), cell: float = 0.1) -> DataFrame:
-    """A cloud ``(tilecode, point_id, x, y, z, label)`` labelled by the stages, with its own ids."""
+    """A cloud ``(tilecode, point_id, x, y, z, label)`` labelled by the stages, with its own ids.
+
+    Cables need ground without gaps, so it is filled if they are among the stages and ``elevation`` has no ``surface``.
+    """
+    if "surface" not in elevation.columns and any(isinstance(s, stages.Cable) for s in steps):
+        elevation = rasters.fill_ground(elevation, Scratch(elevation.sparkSession, "surface"), artifact="artifact" if "artifact" in elevation.columns else None, tile="tilecode")
     some = global_ids(points).withColumn("label", F.col("label").cast("int"))
     done = stages.cascade(with_elevation(some, elevation, cell), steps, exclude)
     return done.withColumn("point_id", F.col("file_id")).select(*points.columns)

@@ -702,7 +702,10 @@ def cable_height_band(t: Tables) -> DataFrame:
 
 @query("cable_fuser")
 def cable_fuser(t: Tables) -> DataFrame:
-    return stages.Cable(Scratch(t.spark, "cable"), t.footprints.where("type = 'pand'"), None, bottom=450, top=1200, offset=125, size=9, radius=400, linear=0.8, max_tilt=80, cluster_eps=200, grow=150, min_length=100, bin=300)(t.points).select("point_id", "label")
+    scratch = Scratch(t.spark, "cable")
+    filled = rasters.fill_ground(t.raster, scratch)
+    points = rasters.lookup(t.points, filled, GRID, ["surface"])
+    return stages.Cable(scratch, t.footprints.where("type = 'pand'"), None, bottom=450, top=1200, offset=125, size=9, radius=400, linear=0.8, max_tilt=80, cluster_eps=200, grow=150, min_length=100, bin=300)(points).select("point_id", "label")
 
 
 @query("cascade", f""", ground AS (SELECT *, CASE WHEN abs(z - ground) < 20 THEN 9 ELSE 0 END AS l1 FROM points),

@@ -224,6 +224,31 @@ def test_gap_sizes(spark):
     assert rasters.fill_gaps(raster, Scratch(spark, "t"), grid).where("ground is null").count() == 0
 
 
+def test_ground_without_gaps(spark):
+    grid = rasters.Grid(0, 12, 1, 12, 12)
+    plane = F.col("ix") * 2.0 + F.col("iy") * 3.0
+    hole = F.col("ix").between(4, 7) & F.col("iy").between(3, 6) | (F.col("ix") > 9) & (F.col("iy") > 9)
+    raster = grid.cells(spark).withColumn("tilecode", F.lit("a")).withColumn("ground", F.when(~hole, plane)).withColumn("artifact", F.when((F.col("ix") == 4) & (F.col("iy") == 3), 99.0))
+    empty = raster.withColumn("tilecode", F.lit("b")).withColumn("ground", F.lit(None).cast("double")).withColumn("artifact", F.lit(None).cast("double"))
+    got = {(r.tilecode, r.ix, r.iy): r for r in rasters.fill_ground(raster.unionByName(empty), Scratch(spark, "t"), tile="tilecode").collect()}
+    assert len(got) == 288
+    for (tile, ix, iy), r in got.items():
+        if tile == "b":
+            assert r.surface is None
+        elif ix < 10 or iy < 10:
+            assert math.isclose(r.surface, ix * 2 + iy * 3)
+        else:
+            assert r.surface == min(((ix - a) ** 2 + (iy - b) ** 2, b, a, a * 2.0 + b * 3.0) for a in range(12) for b in range(12) if a < 10 or b < 10)[3]
+    with_artifact = rasters.fill_ground(raster, Scratch(spark, "t"), artifact="artifact")
+    assert with_artifact.where("ix = 4 and iy = 3").first().surface == 99.0 and with_artifact.where("surface is null").count() == 0
+
+
+def test_cable_over_missing_ground(spark):
+    points = scene(spark, [(1, 1, 8), (2, 1, 8), (3, 1, 2)]).withColumn("ground", F.when(F.col("point_id") == 0, 0.0)).withColumn("surface", F.lit(0.0))
+    assert {r.point_id for r in stages.Cable(Scratch(spark, "t")).band(points).collect()} == {0, 1}
+    assert {r.point_id for r in stages.Cable(Scratch(spark, "t")).band(points.drop("surface")).collect()} == {0}
+
+
 def test_grid_edges(spark):
     grid = rasters.Grid(0, 100, 10, 10, 10)
     rows = [(0.0, 100.0), (10.0, 90.0), (100.0, 0.0), (99.9, 0.1), (100.1, 50.0), (-0.1, 50.0)]

@@ -123,10 +123,16 @@ def gaps(missing: DataFrame, scratch: Scratch, nx: int, max_cells: int = 50) ->
 
 
 def fill_gaps(raster: DataFrame, scratch: Scratch, grid: Grid, value: str = "ground", max_cells: int = 50, reach: int = 4) -> DataFrame:
-    """``raster`` with small gaps filled by inverse distance to the known cells within ``reach`` cells."""
+    """``raster`` with small gaps filled by inverse distance to the known cells within ``reach`` cells.
+
+    Cells that have none there take those within ``max_cells``, which is as far as a known cell can be from a gap's.
+    """
     small = gaps(raster.where(F.col(value).isNull()), scratch, grid.nx, max_cells).where("fill").select("ix", "iy", F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"))
     known = raster.where(F.col(value).isNotNull()).select((F.col("iy").cast("long") * grid.nx + F.col("ix")).alias("id"), F.col("ix").cast("double").alias("x"), F.col("iy").cast("double").alias("y"), F.col(value).alias("value"))
-    found = idw(small, known, reach).select("ix", "iy", F.col("value").alias("_filled"))
+    small = scratch.table(small, "small")
+    found = scratch.table(idw(small, known, reach).select("ix", "iy", "value"), "filled")
+    rest = small.join(found, ["ix", "iy"], "left_anti")
+    found = found.unionByName(idw(rest, known, max_cells).select("ix", "iy", "value")).withColumnRenamed("value", "_filled")
     out = raster.join(found, ["ix", "iy"], "left")
     return out.withColumn(value, F.coalesce(F.col(value).cast("double"), "_filled")).drop("_filled")
 

@@ -224,6 +224,17 @@ def test_gap_sizes(spark):
     assert rasters.fill_gaps(raster, Scratch(spark, "t"), grid).where("ground is null").count() == 0
 
 
+def test_gaps_wider_than_the_reach_are_filled(spark):
+    grid = rasters.Grid(0, 30, 1, 30, 30)
+    round_gap = (F.col("ix") - 10) * (F.col("ix") - 10) + (F.col("iy") - 10) * (F.col("iy") - 10) <= 16
+    half = (F.col("ix") - 29) * (F.col("ix") - 29) + (F.col("iy") - 22) * (F.col("iy") - 22) <= 26
+    raster = grid.cells(spark).withColumn("ground", F.when(~round_gap & ~half, 7.0))
+    sizes = sorted({(r.gap, r.cells) for r in rasters.gaps(raster.where("ground is null"), Scratch(spark, "t"), 30).collect()})
+    assert [n for _, n in sizes] == [49, 50]
+    got = rasters.fill_gaps(raster, Scratch(spark, "t"), grid)
+    assert got.count() == 900 and got.where("ground is null or abs(ground - 7) > 1e-9").count() == 0
+
+
 def test_ground_without_gaps(spark):
     grid = rasters.Grid(0, 12, 1, 12, 12)
     plane = F.col("ix") * 2.0 + F.col("iy") * 3.0

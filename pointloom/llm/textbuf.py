@@ -107,14 +107,16 @@ def _piece_words(b: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, mix(np.add.reduceat(v, starts))
 
 
-def string_hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit hash of each string, none of which is empty."""
+def string_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each string, none of which is empty."""
     n = np.diff(offsets)
     if not len(n):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     pos = np.arange(len(raw)) - np.repeat(offsets[:-1], n)
     v = _BYTE[raw] * _POS[pos & 0xFFFF] + (pos >> 16).astype(np.uint64)
-    return mix(np.add.reduceat(v ^ (v >> U(31)), offsets[:-1]) + n.astype(np.uint64) * _STEP[11])
+    own = n.astype(np.uint64) * _STEP[11]
+    other = (v ^ (v >> U(29))) * _STEP[12]
+    return mix(np.add.reduceat(v ^ (v >> U(31)), offsets[:-1]) + own), np.add.reduceat(other ^ (other >> U(32)), offsets[:-1])
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

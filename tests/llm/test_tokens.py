@@ -37,6 +37,34 @@ def test_piecewise_ids_are_the_librarys(texts):
     assert count.tolist() == [len(ids_of(t)) for t in texts]
 
 
+def test_dotted_letters_and_marks():
+    for mark in ".;!?:,)":
+        ids, _ = encode(Encoder.of(PATH), [f"\u0130{mark} a\u0130{mark} \u0130\u0130{mark}"])
+        assert ids.tolist() == ids_of(f"\u0130{mark} a\u0130{mark} \u0130\u0130{mark}")
+
+
+def test_files_with_other_rules_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = Encoder(path), Tokenizer.from_file(path)
+    texts = ["two  words, here ", "", "\n one", "a" * 300]
+    ids, count = encode(encoder, texts)
+    want = [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert not encoder.by_pieces and Encoder.of(PATH).by_pieces
+    assert ids.tolist() == [i for x in want for i in x] and count.tolist() == [len(x) for x in want]
+
+
+def test_pieces_whose_hashes_are_equal(monkeypatch):
+    from pointloom.llm import tokens
+
+    real = tokens.string_hashes
+    monkeypatch.setattr(tokens, "string_hashes", lambda raw, offs: (real(raw, offs)[0] % np.uint64(3), real(raw, offs)[1]))
+    encoder = Encoder(PATH)
+    for text in ["one two three four five six", "seven two nine one", "one three two"]:
+        assert encode(encoder, [text])[0].tolist() == ids_of(text)
+
+
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr("pointloom.llm.tokens.PIECES", 3)
     encoder = Encoder(PATH)

@@ -112,12 +112,12 @@ SELECT doc_id, license_id, max(containment) AS containment FROM share WHERE cont
     "op5_decontaminate": f"""
 WITH docs AS ({_letter_sets('documents', 'doc_id')}),
 items AS ({_letter_sets('benchmark', 'item_id')}),
-wanted AS (SELECT item_id, len(g) AS m, least(len(w), 5) AS width, unnest(g) AS s FROM items),
+wanted AS (SELECT item_id, w AS item, len(g) AS m, least(len(w), 5) AS width, unnest(g) AS s FROM (SELECT DISTINCT * FROM items)),
 places AS (
   SELECT DISTINCT doc_id, width, array_to_string(w[i:i + width - 1], ' ') AS s
   FROM (SELECT doc_id, width, w, unnest(range(1, len(w) - width + 2)) AS i FROM docs, (SELECT DISTINCT width FROM wanted)))
-SELECT doc_id, item_id, count(*) / any_value(m) AS containment, count(*) AS matched, CAST(any_value(m) AS BIGINT) AS item_shingles
-FROM places JOIN wanted USING (width, s) GROUP BY doc_id, item_id HAVING count(*) >= 0.75 * any_value(m)""",
+SELECT DISTINCT doc_id, item_id, count(*) / m AS containment, count(*) AS matched, CAST(m AS BIGINT) AS item_shingles
+FROM places JOIN wanted USING (width, s) GROUP BY doc_id, item_id, item, m HAVING count(*) >= 0.75 * m""",
     "op9_ngram_join": f"""
 WITH RECURSIVE {_SHINGLES},
 rows AS (SELECT doc_id, unnest(g) AS s FROM sets),

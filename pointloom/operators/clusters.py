@@ -1,20 +1,26 @@
 """Grid components, DBSCAN and growing of labels over clouds ``(tile, point_id, x, y, z, …)``.
 
-Components are named by their smallest point_id. Clusters end at tile borders.
+Components are named by their smallest point_id. Clusters end at tile borders, so a tile whose cells or points fit one
+task is solved there, after one exchange; larger ones take part in an iteration over edges, which gives the same result.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import cells as C
 from ..plans.scratch import Scratch
 from .graph import connected_components
 from .spatial import bin_of, neighbours
 
 
+#: Occupied cells, and points for density clusters, of a tile that one task solves; some 100 bytes each.
+TILE_CELLS, TILE_POINTS = 4_000_000, 2_000_000
+
+
 def octree_level(extent: Column, grid_size: float) -> Column:
     """Subdivisions of a cube that bring its cells nearest to ``grid_size``: at least 1, and 0 for no extent."""
     return F.when(extent < 0.001, 0).otherwise(F.greatest(F.lit(1), F.rint(F.log2(extent / F.lit(float(grid_size)))).cast("int")))
@@ -35,24 +41,46 @@ def occupied(points: DataFrame, size, dims: tuple[str, ...] = ("x", "y", "z")) -
     return cells
 
 
+def _by_size(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of tiles of at most ``most`` rows, and those of larger ones; none if there are none."""
+    size = rows.groupBy("tile").agg(F.count("*").alias("_n"))
+    if (size.agg(F.max("_n")).first()[0] or 0) <= most:
+        return rows, None
+    large = size.where(F.col("_n") > most).select(F.col("tile").alias("_tile"))
+    same = F.col("tile").eqNullSafe(F.col("_tile"))
+    return rows.join(large, same, "left_anti"), rows.join(large, same, "left_semi")
+
+
 def grid_components(points: DataFrame, size, scratch: Scratch, dims: tuple[str, ...] = ("x", "y", "z"), full: bool = True) -> DataFrame:
     """``point_id, component_id, size``: points whose cells touch, over any chain of occupied cells, are one component.
 
     Cells touch by faces, edges and corners, or by faces only if not ``full``. Points are first reduced to occupied cells;
-    only cells take part in the iteration.
+    only cells are searched, so a tile takes what its extent allows however dense the cloud is. Points without a
+    coordinate are in no component.
     """
     c = [f"c{d}" for d in dims]
-    own = voxels(points, size, dims).select("tile", "point_id", *c)
-    cells = scratch.table(own.groupBy("tile", *c).agg(F.min("point_id").alias("rep")), "cells")
-    steps = [s for s in product((-1, 0, 1), repeat=len(dims)) if s > (0,) * len(dims) and (full or sum(map(abs, s)) == 1)]
-    step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(s, c, strict=True)]) for s in steps]))
-    moved = cells.withColumn("_s", step).select("tile", F.col("rep").alias("u"), *[(F.col(k) + F.col(f"_s.{k}")).alias(k) for k in c])
-    edges = moved.join(cells.withColumnRenamed("rep", "v"), ["tile", *c]).select("u", "v")
-    root = connected_components(edges, scratch)
-    named = cells.join(root, F.col("rep") == F.col("node"), "left").select("tile", *c, F.coalesce("root", "rep").alias("component_id"))
-    out = own.join(named, ["tile", *c]).select("point_id", "component_id")
-    size_of = out.groupBy("component_id").agg(F.count("*").alias("size"))
-    return out.join(size_of, "component_id").select("point_id", "component_id", "size")
+    own = voxels(points.dropna(subset=list(dims)), size, dims).select("tile", "point_id", *c)
+    cells = scratch.table(own.groupBy("tile", *c).agg(F.min("point_id").alias("rep"), F.count("*").alias("n")), "cells")
+
+    def solve(table: pa.Table) -> pa.Table:
+        rep, n = np.asarray(table["rep"]), np.asarray(table["n"])
+        low = C.touching(np.column_stack([np.asarray(table[k]) for k in c]), full)
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, low, rep)
+        total = np.bincount(low, n, len(rep)).astype(np.int64)
+        return table.select(["tile", *c]).append_column("component_id", pa.array(least[low])).append_column("size", pa.array(total[low]))
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields if f.name not in ("rep", "n")) + ", component_id long, size long"
+    small, large = _by_size(cells, TILE_CELLS)
+    named = small.groupBy("tile").applyInArrow(solve, kind)
+    if large is not None:
+        step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for v, k in zip(s, c, strict=True)]) for s in C.steps(len(dims), full=full)]))
+        moved = large.withColumn("_s", step).select("tile", F.col("rep").alias("u"), *[(F.col(k) + F.col(f"_s.{k}")).alias(k) for k in c])
+        root = connected_components(moved.join(large.withColumnRenamed("rep", "v"), ["tile", *c]).select("u", "v"), scratch)
+        rest = large.join(root, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("root", "rep"))
+        total = rest.groupBy("component_id").agg(F.sum("n").alias("size"))
+        named = named.unionByName(rest.join(total, "component_id").select("tile", *c, "component_id", "size"))
+    return own.join(named, ["tile", *c]).select("point_id", "component_id", "size")
 
 
 def dbscan(points: DataFrame, eps, min_points: int, scratch: Scratch, dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -61,8 +89,21 @@ def dbscan(points: DataFrame, eps, min_points: int, scratch: Scratch, dims: tupl
     A core point has ``min_points`` points within ``eps``, itself among them; core points within ``eps`` are one cluster,
     named by its smallest core point. Any other point within ``eps`` of a core point joins the cluster with the smallest name.
     """
-    same = F.col("l.tile") == F.col("r.tile")
-    pairs = neighbours(points.select("tile", "point_id", *dims), points.select("tile", "point_id", *dims), eps, dims, extra=same)
+    some = points.select("tile", "point_id", *dims).dropna(subset=list(dims))
+
+    def solve(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table["point_id"])
+        at, name, core = C.density_clusters(np.column_stack([np.asarray(table[d], dtype=float) for d in dims]), ids, float(eps), min_points)
+        return pa.table({"point_id": pa.array(ids[at]), "cluster_id": pa.array(name), "core": pa.array(core)})
+
+    small, large = _by_size(some, TILE_POINTS)
+    found = small.groupBy("tile").applyInArrow(solve, "point_id long, cluster_id long, core boolean")
+    return found if large is None else found.unionByName(_dbscan_by_pairs(large, eps, min_points, scratch, dims))
+
+
+def _dbscan_by_pairs(points: DataFrame, eps, min_points: int, scratch: Scratch, dims: tuple[str, ...]) -> DataFrame:
+    """``dbscan`` for tiles that no task holds: over the pairs of points within ``eps``."""
+    pairs = neighbours(points, points, eps, dims, extra=F.col("l.tile").eqNullSafe(F.col("r.tile")))
     pairs = scratch.table(pairs.select(F.col("l.point_id").alias("u"), F.col("r.point_id").alias("v")), "pairs")
     core = scratch.table(pairs.groupBy("u").count().where(F.col("count") >= min_points).select("u"), "core")
     reach = pairs.join(core, "u")

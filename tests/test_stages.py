@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.functions import geometry as G, labels as L
+from pointloom.functions import cells, geometry as G, labels as L
 from pointloom.operators import clusters, rasters, shapes, spatial, stages
 from pointloom.plans.scratch import Scratch
 from pointloom.sources import files, registry
@@ -139,8 +139,9 @@ def brute_components(points, touch):
     return name
 
 
-@pytest.mark.parametrize("full", [True, False])
-def test_grid_components(spark, full):
+@pytest.mark.parametrize("full,most", [(True, 10**6), (False, 10**6), (True, 3), (False, 3)])
+def test_grid_components(spark, monkeypatch, full, most):
+    monkeypatch.setattr(clusters, "TILE_CELLS", most)
     rng = random.Random(7)
     xyz = [(rng.randint(0, 99), rng.randint(0, 99), rng.randint(0, 59)) for _ in range(90)]
     near = lambda a, b: (max if full else sum)(abs(p // 20 - q // 20) for p, q in zip(a, b)) <= 1
@@ -151,7 +152,9 @@ def test_grid_components(spark, full):
     assert {r.point_id: (r.component_id, r.size) for r in moved.collect()} == got
 
 
-def test_dbscan(spark):
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_dbscan(spark, monkeypatch, most):
+    monkeypatch.setattr(clusters, "TILE_POINTS", most)
     rng = random.Random(8)
     xyz = [(rng.randint(0, 120), rng.randint(0, 120), 0) for _ in range(120)]
     near = lambda a, b: sum((p - q) ** 2 for p, q in zip(a, b)) <= 144
@@ -166,6 +169,24 @@ def test_dbscan(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("dims", [2, 3])
+def test_density_clusters_against_all_pairs(monkeypatch, dims):
+    """Dense cells beside sparse ones, points on top of each other, and few pairs at a time."""
+    monkeypatch.setattr(cells, "PAIRS", 50)
+    rng = np.random.default_rng(dims)
+    for eps, least in ((3, 1), (4, 4), (7, 9)):
+        xyz = np.concatenate([rng.integers(0, 60, (150, dims)), np.repeat(rng.integers(0, 60, (6, dims)), 12, axis=0), rng.integers(20, 26, (60, dims))]).astype(float)
+        ids = rng.permutation(len(xyz)) + 10
+        near = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2) <= eps * eps
+        core = near.sum(axis=1) >= least
+        i, j = np.nonzero(near & core[:, None] & core[None])
+        low = np.array([ids[cells.lowest(i, j, len(xyz)) == k].min(initial=10**9, where=core[cells.lowest(i, j, len(xyz)) == k]) for k in cells.lowest(i, j, len(xyz))])
+        want = {int(ids[k]): (int(low[near[k] & core].min()), bool(core[k])) for k in range(len(xyz)) if (near[k] & core).any()}
+        at, name, is_core = cells.density_clusters(xyz, ids, eps, least)
+        assert {int(ids[a]): (int(n), bool(c)) for a, n, c in zip(at, name, is_core)} == want
+    assert not len(cells.density_clusters(np.zeros((0, dims)), np.zeros(0, int), 1, 1)[0])
+
+
 def test_growing_bounds(spark):
     xyz = [(0, 0, 0)] * 10 + [(100, 0, 0)] * 9
     points = scene(spark, xyz).withColumn("label", F.when(F.col("point_id").isin(0, 10, 11, 12), 10).otherwise(0))

@@ -21,7 +21,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -32,25 +32,30 @@ from .textbuf import U, buffers, lean, mix, pack, set_digests, shingle_sets, sma
 EXTRA = Fraction(1, 8)
 #: Bytes of text handled at once, n-grams in a column block and in a row block.
 TEXT_BYTES, COLUMN_BLOCK, ROW_BLOCK = 4 << 20, 1_000_000, 150_000
+#: Column blocks into which one exchange deals; where there are more, a second one deals each of these, so many entries at a time.
+FAN, SPLIT = 20_000, 4_000_000
 
 
 def _sets(docs: DataFrame, width: int, sets: bool) -> DataFrame:
-    """``doc_id, n, node`` of every row, with the set itself if ``sets``."""
+    """``doc_id, t, n, node`` of every row, ``t`` being a hash of its text, or ``n, node`` with the set itself if ``sets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
             for a, z in spans(offs, TEXT_BYTES):
                 h, bounds, _ = shingle_sets(raw[offs[a] : offs[z]], offs[a : z + 1] - offs[a], width)
                 n = np.diff(bounds)
-                out = [ids.slice(a, z - a), pa.array(n.astype(np.int64)), pa.array(set_digests(h, bounds).view(np.int64))]
+                out = [pa.array(n.astype(np.int64)), pa.array(set_digests(h, bounds).view(np.int64))]
                 if sets:
                     blob = pa.py_buffer(h.astype("<u8").tobytes())
                     out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), z - a, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), blob]).cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "n", "node", "grams"][: len(out)])
+                    yield pa.RecordBatch.from_arrays(out, ["n", "node", "grams"])
+                else:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, z - a), batch.column("t").slice(a, z - a), *out], ["doc_id", "t", "n", "node"])
 
-    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(lean(run), "doc_id long, n long, node long" + ", grams binary" * sets)
+    if sets:
+        return docs.select("text").transform(small_batches).mapInArrow(lean(run), "n long, node long, grams binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).transform(small_batches).mapInArrow(lean(run), "doc_id long, t long, n long, node long")
 
 
 def _prefix(n: np.ndarray, t: Fraction, extra: Fraction) -> np.ndarray:
@@ -67,25 +72,54 @@ def _first(h: np.ndarray, bounds: np.ndarray, take: np.ndarray) -> tuple[np.ndar
     return h[keep], row[keep]
 
 
-def _blocks(h: np.ndarray, cells: dict[str, tuple[np.ndarray, int]], blocks: int, key: np.ndarray | None = None) -> Iterator[tuple[int, list[bytes]]]:
-    """Column block, from the high bits of the hash if ``key`` is none, then the packed hashes and cells in it."""
-    block = ((h >> U(48) if key is None else key) % U(blocks)).astype(np.int64)
+def _bytes(blocks: int) -> int:
+    """Bytes of a hash that are sent; few blocks tell the others apart well enough, as what a block finds is verified."""
+    return 6 if blocks <= FAN else 8
+
+
+def _blocks(h: np.ndarray, c: np.ndarray, width: int, blocks: int, coarse: bool = True) -> Iterator[tuple[int, bytes, bytes]]:
+    """Column block, packed hashes and ``width`` bytes of the classes in it; blocks beyond ``FAN`` together if ``coarse``."""
+    block = ((h >> U(32)) % U(blocks)).astype(np.int64)
+    if coarse:
+        block %= FAN
     order = np.argsort(block, kind="stable")
-    edge = np.searchsorted(block[order], np.arange(blocks + 1))
-    h = h[order]
-    values = [(v[order], k) for v, k in cells.values()]
-    for b in np.flatnonzero(np.diff(edge)):
-        s = slice(edge[b], edge[b + 1])
-        yield int(b), [pack(h[s], 6), *(pack(v[s], k) for v, k in values)]
+    h, c, block = h[order], c[order], block[order]
+    edge = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(h) else np.zeros(0, np.int64)
+    for s, e in zip(edge, np.append(edge[1:], len(h))[: len(edge)], strict=True):
+        yield int(block[s]), pack(h[s:e], _bytes(blocks)), pack(c[s:e], width)
+
+
+def _rows(got: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "h", "c"])
+
+
+def _dealt(sent: DataFrame, width: int, blocks: int) -> GroupedData:
+    """Entries ``block, h, c`` by their blocks, over two exchanges if there are more than ``FAN``."""
+    if blocks <= FAN:
+        return sent.groupBy("block")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return _rows(list(_blocks(np.concatenate(hs), np.concatenate(cs), width, blocks, False)))
 
+        hs, cs, held = [], [], 0
+        for batch in batches:
+            for h, c in zip(batch.column("h"), batch.column("c"), strict=True):
+                hs.append(unpack(h.as_py(), _bytes(blocks)))
+                cs.append(unpack(c.as_py(), width))
+                held += len(hs[-1])
+                if held >= SPLIT:
+                    yield out()
+                    hs, cs, held = [], [], 0
+        if held:
+            yield out()
 
-def _rows(got: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x[0] for _, x in got], pa.binary()), pa.array([x[1] for _, x in got], pa.binary())], ["block", "h", "c"])
+    return sent.repartition(FAN, "block").mapInArrow(lean(split), sent.schema).groupBy("block")
 
 
-def _columns(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _columns(table: pa.Table, width: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Incidence of a column block without repeats: hashes and classes in order, the first of each column, classes in each."""
-    h = np.concatenate([unpack(x.as_py(), 6) for x in table["h"]])
+    h = np.concatenate([unpack(x.as_py(), _bytes(blocks)) for x in table["h"]])
     c = np.concatenate([unpack(x.as_py(), width) for x in table["c"]])
     order = np.lexsort((c, h))
     h, c = h[order], c[order]
@@ -109,18 +143,19 @@ def _alive(docs: DataFrame, width: int, t: Fraction, blocks: int) -> DataFrame:
                 once = np.zeros(len(key), bool)
                 once[np.unique(key, return_index=True)[1]] = True
                 h, row = _first(h, bounds, np.where(once, _prefix(np.diff(bounds), t, EXTRA), 0))
-                got = list(_blocks(h, {"c": (key[row], 5)}, blocks))
+                got = list(_blocks(h, key[row], 5, blocks))
                 if got:
                     yield _rows(got)
 
     def count(table: pa.Table) -> pa.Table:
-        h, c, start, df = _columns(table, 5)
+        h, c, start, df = _columns(table, 5, blocks)
         shared = np.repeat(df > 1, df)
         key, n = np.unique(c[shared], return_counts=True)
         trim()
         return pa.table({"key": pa.array(key.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    return docs.select("text").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary").groupBy("block").applyInArrow(count, "key long, n long")
+    sent = docs.select("text").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary")
+    return _dealt(sent, 5, blocks).applyInArrow(count, "key long, n long")
 
 
 def _rarest(sets: DataFrame, blocks: int) -> DataFrame:
@@ -132,12 +167,12 @@ def _rarest(sets: DataFrame, blocks: int) -> DataFrame:
             node = np.asarray(batch.column("node")).view(np.uint64)
             for a, z in spans(offs, TEXT_BYTES):
                 row = np.repeat(np.arange(a, z), np.diff(offs[a : z + 1]) // 8)
-                got = list(_blocks(raw[offs[a] : offs[z]].view("<u8").astype(np.uint64), {"c": (node[row], 8)}, blocks))
+                got = list(_blocks(raw[offs[a] : offs[z]].view("<u8").astype(np.uint64), node[row], 8, blocks))
                 if got:
                     yield _rows(got)
 
     def count(table: pa.Table) -> pa.Table:
-        h, c, _, df = _columns(table, 8)
+        h, c, _, df = _columns(table, 8, blocks)
         each = np.repeat(df, df)
         shared = each > 1
         h, c, each = h[shared], c[shared], np.minimum(each[shared], 0xFFFF)
@@ -147,15 +182,16 @@ def _rarest(sets: DataFrame, blocks: int) -> DataFrame:
         cut = list(zip(heads, np.append(heads[1:], len(c))[: len(heads)], strict=True))
         trim()
         return pa.table({
-            "node": pa.array(c[heads].view(np.int64)), "h": pa.array([pack(h[s:e], 6) for s, e in cut], pa.binary()),
+            "node": pa.array(c[heads].view(np.int64)), "h": pa.array([pack(h[s:e], _bytes(blocks)) for s, e in cut], pa.binary()),
             "df": pa.array([each[s:e].tobytes() for s, e in cut], pa.binary()),
         })
 
-    return sets.select("node", "grams").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary").groupBy("block").applyInArrow(count, "node long, h binary, df binary")
+    sent = sets.select("node", "grams").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary")
+    return _dealt(sent, 8, blocks).applyInArrow(count, "node long, h binary, df binary")
 
 
 def _candidates(ranked: DataFrame, t: Fraction, blocks: int) -> DataFrame:
-    """Edges ``u, v`` from each class to the smallest class of every column that is early in both.
+    """Edges ``u, v`` that connect, block by block, the classes of every column that is early in them.
 
     ``ranked(node, n, h, df)`` lists the shared columns of a class; all others have one class and come before them.
     """
@@ -165,7 +201,7 @@ def _candidates(ranked: DataFrame, t: Fraction, blocks: int) -> DataFrame:
             hs, cs = [], []
             take = _prefix(np.asarray(batch.column("n")), t, Fraction(0))
             for node, n, p, h, df in zip(np.asarray(batch.column("node")), np.asarray(batch.column("n")), take, batch.column("h"), batch.column("df"), strict=True):
-                own = unpack(b"".join(h.as_py()), 6)
+                own = unpack(b"".join(h.as_py()), _bytes(blocks))
                 p -= n - len(own)
                 if p > 0:
                     own = own[np.lexsort((own, np.frombuffer(b"".join(df.as_py()), "<u2")))][:p]
@@ -173,17 +209,35 @@ def _candidates(ranked: DataFrame, t: Fraction, blocks: int) -> DataFrame:
                     cs.append(np.full(len(own), node))
             if hs:
                 h = np.concatenate(hs)
-                yield _rows(list(_blocks(h, {"c": (np.concatenate(cs).view(np.uint64), 8)}, blocks, h)))
+                yield _rows(list(_blocks(h, np.concatenate(cs).view(np.uint64), 8, blocks)))
 
     def pair(table: pa.Table) -> pa.Table:
-        _, c, start, df = _columns(table, 8)
-        c = c.view(np.int64)
-        low = np.repeat(np.minimum.reduceat(c, start), df)
-        edge = np.unique(np.stack([c, low])[:, c != low], axis=1)
+        _, c, start, df = _columns(table, 8, blocks)
+        node, at = np.unique(c.view(np.int64), return_inverse=True)
+        low = _lowest(np.repeat(at[start], df), at, len(node))
+        moved = np.flatnonzero(low != np.arange(len(node)))
         trim()
-        return pa.table({"u": pa.array(edge[0]), "v": pa.array(edge[1])})
-
-    return ranked.select("node", "n", "h", "df").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary").groupBy("block").applyInArrow(pair, "u long, v long").distinct()
+        return pa.table({"u": pa.array(node[moved]), "v": pa.array(node[low[moved]])})
+
+    sent = ranked.select("node", "n", "h", "df").transform(small_batches).mapInArrow(lean(emit), "block int, h binary, c binary")
+    return _dealt(sent, 8, blocks).applyInArrow(pair, "u long, v long").distinct()
+
+
+def _lowest(i: np.ndarray, j: np.ndarray, rows: int) -> np.ndarray:
+    """The smallest row that each row reaches by pairs ``i, j``."""
+    low = np.arange(rows)
+    while True:
+        a, b = low[i], low[j]
+        apart = a != b
+        if not apart.any():
+            return low
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = low[low]
+            if (up == low).all():
+                break
+            low = up
 
 
 def _overlaps(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,14 +293,7 @@ def _links(groups: DataFrame, t: Fraction, pairs: bool) -> DataFrame:
         i, j, both = i[linked], j[linked], both[linked]
         if pairs:
             return pa.table({"u": pa.array(node[i]), "v": pa.array(node[j]), "overlap": pa.array(both)})
-        low = np.arange(rows)
-        while True:
-            was = low.copy()
-            np.minimum.at(low, j, low[i])
-            np.minimum.at(low, i, low[j])
-            low = low[low]
-            if (low == was).all():
-                break
+        low = _lowest(i, j, rows)
         moved = np.flatnonzero(low != np.arange(rows))
         return pa.table({"u": pa.array(node[moved]), "v": pa.array(node[low[moved]]), "overlap": pa.nulls(len(moved), pa.int64())})
 
@@ -254,51 +301,67 @@ def _links(groups: DataFrame, t: Fraction, pairs: bool) -> DataFrame:
 
 
 def _join(docs: DataFrame, scratch: Scratch, threshold: float, width: int, pairs: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their classes, classes (node, n, rep), and links between classes."""
+    """Rows with their classes, classes (node, n, rep, first), and links between classes.
+
+    ``rep`` is a class's smallest doc_id, and ``first`` its first row, as ``_place`` orders them.
+    """
     t = Fraction(threshold).limit_denominator(1000)
     if not 0 < t <= 1:
         raise ValueError("the threshold lies above 0, and at 1 at most")
     rows = scratch.table(_sets(docs, width, False), "rows")
-    classes = scratch.table(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.table(rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min(_place()).alias("first")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    blocks = lambda share: min(60_000, max(16, math.ceil(total * share / COLUMN_BLOCK)))
-    alive = scratch.table(_alive(docs, width, t, blocks(float(1 - t + EXTRA))), "alive")
+    alive = scratch.table(_alive(docs, width, t, max(16, math.ceil(total * float(1 - t + EXTRA) / COLUMN_BLOCK))), "alive")
     least = F.ceil(F.ceil(F.col("n") * t.numerator / F.lit(t.denominator)) * EXTRA.numerator / F.lit(EXTRA.denominator))
     shared = alive.groupBy("key").agg(F.sum("n").alias("shared"))
     left = scratch.table(
         classes.withColumn("key", F.col("node").bitwiseAND(F.lit((1 << 40) - 1))).join(shared, "key").where(F.col("shared") >= F.greatest(F.lit(1), least)).select("node", "n", "rep"), "left"
     )
-    some = left.select(F.col("rep").alias("doc_id")).distinct()
-    count = some.count()
+    count, some_grams = left.agg(F.count("*"), F.sum("n")).first()
+    some = left.select("rep").distinct()
     if count <= BROADCAST_IDS:
         some = F.broadcast(some)
-    text = docs.select("doc_id", "text")
-    text = text.join(some.withColumnRenamed("doc_id", "rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = scratch.table(_sets(text, width, True).join(left.select("node"), "node", "left_semi"), "sets")
-    some_grams = left.agg(F.sum("n")).first()[0] or 0
-    few = max(16, math.ceil(some_grams / COLUMN_BLOCK))
+    # classes that aren't left but share a doc_id with one that is come along and find no place
+    sets = scratch.table(_sets(docs.select("doc_id", "text").join(some, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi"), width, True), "sets")
+    few = max(16, math.ceil((some_grams or 0) / COLUMN_BLOCK))
     ranked = _rarest(sets, few).groupBy("node").agg(F.collect_list("h").alias("h"), F.collect_list("df").alias("df")).join(left.select("node", "n"), "node")
-    near = connected_components(_candidates(ranked, t, few), scratch)
-    near = scratch.table(near, "near")
-    size = near.join(left.select("node", "n"), "node").groupBy("root").agg(F.sum("n").alias("grams_in"))
-    size = size.withColumn("parts", F.ceil(F.col("grams_in") / ROW_BLOCK).cast("long"))
-    bins = max(16, math.ceil(some_grams / ROW_BLOCK))
-    group = sets.join(near, "node").join(size, "root")
+    near = scratch.table(connected_components(_candidates(ranked, t, few), scratch).join(left.select("node", "n"), "node"), "near")
+    # where each class goes is settled on narrow rows; sets meet it in one exchange, whose kind doesn't depend on sizes
+    size = near.groupBy("root").agg(F.ceil(F.sum("n") / ROW_BLOCK).cast("long").alias("parts"))
+    bins = max(16, math.ceil((some_grams or 0) / ROW_BLOCK))
+    alone = F.col("parts") == 1
     part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    group = group.withColumn("part", part).withColumn("other", F.explode(F.expr("case when parts = 1 then array(0L) else sequence(0L, parts - 1) end")))
-    group = group.select(
-        F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("block"),
-        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.least("part", "other")).alias("a"),
-        F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.greatest("part", "other")).alias("z"),
-        "node", "n", "root", "grams",
+    other = F.explode(F.expr("case when parts = 1 then array(0L) else sequence(0L, parts - 1) end"))
+    place = near.join(size, "root").withColumn("part", part).withColumn("other", other).select(
+        "node", "root",
+        F.when(alone, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(F.col("root")).alias("block"),
+        F.when(alone, F.lit(-1)).otherwise(F.least("part", "other")).alias("a"),
+        F.when(alone, F.lit(-1)).otherwise(F.greatest("part", "other")).alias("z"),
     )
-    links = scratch.table(_links(group, t, pairs).distinct(), "links")
-    scratch.drop(alive, sets, near)
+    links = scratch.table(_links(sets.join(place.hint("merge"), "node"), t, pairs).distinct(), "links")
+    scratch.drop(alive, left, sets, near)
     return rows, classes, links
 
 
+def _place() -> F.Column:
+    """What rows are ordered by: doc_id, a null last, then a hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "t")
+
+
 #: Ids of 8 bytes that are broadcast at most; above it the join is dealt by id.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 200_000
+
+
+def _components(docs: DataFrame, scratch: Scratch, threshold: float, width: int) -> DataFrame:
+    """Every row ``doc_id, t, n`` with ``first``, the first row of its component; null for a row without words."""
+    rows, classes, links = _join(docs, scratch, threshold, width, False)
+    root = connected_components(links.select("u", "v"), scratch)
+    named = classes.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("first"))
+    named = scratch.table(named.select("node", "root").join(lowest, "root").select("node", "first"), "named")
+    done = scratch.table(rows.join(named, "node", "left").select("doc_id", "t", "n", "first"), "components")
+    scratch.drop(rows, classes, links, named)
+    return done
 
 
 def ngram_components(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
@@ -307,18 +370,10 @@ def ngram_components(docs: DataFrame, threshold: float = 0.75, width: int = 5) -
     Two rows link where the Jaccard similarity of their sets of ``width``-word shingles reaches ``threshold``;
     ``component_id`` is the smallest doc_id that links lead to. A null text or one without words has an empty set, links
     with nothing and is its own component. A null doc_id counts as larger than any other. Repeated rows come back
-    repeated. Other columns of ``docs`` are left out.
+    repeated. Other columns of ``docs`` are left out. The work is done when this is called; what is lazy is its reading.
     """
-    scratch = Scratch(docs.sparkSession, "ngram-join")
-    rows, classes, links = _join(docs, scratch, threshold, width, False)
-    root = connected_components(links.select("u", "v"), scratch)
-    named = classes.join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(lowest, "root").select("node", "component_id")
-    out = rows.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    done = scratch.table(out, "components")
-    scratch.drop(rows, classes, links)
-    return done
+    rows = _components(docs, Scratch(docs.sparkSession, "ngram-join"), threshold, width)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("first.id")).alias("component_id"))
 
 
 def ngram_links(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -335,16 +390,21 @@ def ngram_links(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> tup
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
-    """Rows of ``docs`` without those that link, over any chain, to a row with a smaller doc_id.
+    """The first row of each group of rows of ``docs`` that link, over any chain.
 
-    Rows without words link with nothing and stay. Rows that repeat both doc_id and text stay once. All columns are kept
-    as they are.
+    Rows are ordered by doc_id, nulls last, and by a hash of the text where a doc_id repeats. Rows without words link with
+    nothing and stay. Rows that repeat both doc_id and text stay once. All columns are kept as they are.
     """
-    ids = ngram_components(docs, threshold, width)
-    found = ids.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    repeated = ids.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again_id"))
-    kept = docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
-    if repeated.isEmpty():
-        return kept
-    again = F.col("doc_id").eqNullSafe(F.col("__again_id"))
-    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "text"]))
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows = _components(docs, scratch, threshold, width)
+    known = rows.groupBy("doc_id", "t").agg(F.count("*").alias("__n"), F.max((F.col("n") > 0) & (_place() != F.col("first"))).alias("__gone"))
+    known = scratch.table(known.where("__gone or __n > 1").withColumnsRenamed({"doc_id": "__id", "t": "__t"}), "known")
+    scratch.drop(rows)
+    count, again = known.agg(F.count("*"), F.max((F.col("__n") > 1) & ~F.col("__gone"))).first()
+    if count <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__t"))
+    if not again:
+        return docs.join(known, same, "left_anti")
+    repeated = docs.join(known.where("not __gone"), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(known, same, "left_anti").unionByName(repeated)

@@ -57,6 +57,15 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert got == components(rows, linked)
 
 
+def test_columns_dealt_twice(spark, monkeypatch):
+    """More blocks than one exchange deals, and ids that are joined instead of broadcast, change nothing."""
+    for name, value in (("FAN", 5), ("COLUMN_BLOCK", 40), ("SPLIT", 100), ("BROADCAST_IDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    texts = corpus(4)[:90]
+    got = {tuple(r) for r in ngram_join.ngram_components(documents(spark, texts)).collect()}
+    assert got == components([(i, shingles(ascii_words(t))) for i, t in enumerate(texts)], linked)
+
+
 def test_links_and_members(spark):
     texts = corpus(3)
     sets = [shingles(ascii_words(t)) for t in texts]
@@ -80,6 +89,18 @@ def test_keep_one_keeps_columns_and_odd_rows(spark):
     assert ngram_join.keep_one(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [0, 500_000])
+def test_keep_one_where_ids_repeat(spark, monkeypatch, ids):
+    """An id that repeats with another text doesn't keep a copy, and a kept row's id doesn't keep another one's."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
+    a, b, c = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, c + " "), (None, b), (None, "y z a b c d"), (None, None), (4, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, __gone string")
+    kept = sorted(((r.doc_id or 0, r.text) for r in ngram_join.keep_one(docs).collect()), key=str)
+    assert [x for x in kept if x[0] != 3] == sorted([(1, a), (2, b), (0, "y z a b c d"), (0, None), (4, "")], key=str)
+    assert len([x for x in kept if x[0] == 3]) == 1
+
+
 def test_spotsigs_order_and_edit(spark):
     rng = random.Random(7)
     texts = [prose(rng, n) for n in (50, 3, 200, 1, 80)] + [None, "", "Ünïcode \U0001f600 of the wörld and a täst"] + ["the same text of the day"] * 3
@@ -195,6 +216,20 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contaminated(docs.where("false"), bench).count() == 0
 
 
+def test_decontamination_where_items_repeat(spark):
+    """An item that is listed twice counts once, and texts that share an id are items of their own."""
+    rng = random.Random(17)
+    one, two = prose(rng, 20), prose(rng, 20)
+    half = " ".join(one.split()[:12])
+    docs = documents(spark, [half, f"{prose(rng, 30)} {one}", f"{two} {prose(rng, 9)}", f"{one} {two}", f"{half} {' '.join(two.split()[:12])}"])
+    bench = spark.createDataFrame([(7, one), (7, one), (7, one.upper()), (8, one), (7, two), (None, two)], "item_id long, text string")
+    n, m = (len(shingles(letter_words(t))) for t in (one, two))
+    got = sorted((tuple(r) for r in decontaminate.contaminated(docs, bench).collect()), key=str)
+    want = {(1, 7, 1.0, n, n), (1, 8, 1.0, n, n), (2, 7, 1.0, m, m), (2, None, 1.0, m, m), (3, 7, 1.0, n, n), (3, 8, 1.0, n, n), (3, 7, 1.0, m, m), (3, None, 1.0, m, m)}
+    assert got == sorted(want, key=str)
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {0, 4}
+
+
 def test_license_scan(spark):
     rng = random.Random(13)
     long_one = dict(license_scan.TEMPLATES)["mit-grant"]

@@ -196,9 +196,10 @@ def test_every_shared_passage_has_a_common_digest():
 
     def digests(text):
         raw, offs = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
-        cuts = chunk_dedup._cuts(raw, offs)
-        _, runs = chunk_dedup.run_digests(raw, *chunk_dedup.chunks(raw, offs, cuts))
-        return set(runs.tolist()) | set(chunk_dedup.word_digests(raw, offs, cuts)[2].tolist())
+        cuts, words = chunk_dedup._cuts(raw, offs), chunk_dedup._words(raw, offs)
+        at, first = chunk_dedup.chunks(raw, offs, cuts)
+        k, to = chunk_dedup.run_ends(at, first, len(raw), words[0])
+        return set(chunk_dedup.run_digests(raw, at, k, to).tolist()) | set(chunk_dedup.word_digests(raw, offs, cuts, at, first, words)[2].tolist())
 
     for n in range(200):
         line = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 7))) if n % 2 else " ".join(prose(rng, 1) for _ in range(1 + n % 5))
@@ -222,3 +223,53 @@ def test_no_chance_repeats_in_prose(spark):
     rng = random.Random(12)
     words = [prose(rng, 1) + str(k) for k in range(60)] + ["the", "of", "and"] * 10
     assert chunk_dedup.repeats(documents(spark, [prose(rng, 300, words) for _ in range(60)])).count() == 0
+
+
+def _covered(texts, min_words=50):
+    """Words of each text in stretches of ``min_words`` words that one earlier text holds, by looking at all pairs."""
+    out = []
+    for i, text in enumerate(texts):
+        words, own = text.split(" "), set()
+        for k in range(len(words) - min_words + 1):
+            own |= set(range(k, k + min_words)) if any(f" {' '.join(words[k : k + min_words])} " in f" {t} " for t in texts[:i]) else set()
+        out.append(own)
+    return out
+
+
+def test_repeats_match_brute_force(spark):
+    rng = random.Random(23)
+    words = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    passages = [some(n) for n in (49, 50, 60, 80, 35, 35, 120, 400)] + [some(3) * 25, some(1) * 70, some(2) * 20]
+    texts = []
+    for _ in range(70):
+        parts = [some(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            p = rng.choice(passages)
+            a, z = (rng.randint(0, len(p) // 3), len(p) - rng.randint(0, len(p) // 3)) if rng.random() < 0.4 else (0, len(p))
+            parts += [p[a:z], some(rng.randint(0, 3))]
+        texts.append(" ".join(w for p in parts for w in p))
+    a, b = some(35), some(35)
+    texts += [" ".join(some(20) + a + some(20)), " ".join(some(20) + b + some(20)), " ".join(a + b), " ".join(some(9) + a + b + some(9))]
+    rows = chunk_dedup.repeats(documents(spark, texts)).collect()
+    got = [set() for _ in texts]
+    for r in rows:
+        assert texts[r.doc_id][r.start : r.start + r.length] == r.passage and r.earlier_doc_id < r.doc_id
+        at = len(texts[r.doc_id][: r.start].split())
+        got[r.doc_id] |= set(range(at, at + len(r.passage.split())))
+    want = _covered(texts)
+    assert not want[-2] and len(want[-1]) == 70
+    for i, (g, w) in enumerate(zip(got, want, strict=True)):
+        # a word may be the end of a longer one in the earlier text, and the ends of what a later document shares beyond a
+        # stretch of an earlier one may be missing
+        assert len(g - w) <= 2 and len(w - g) <= 5 and bool(g) == bool(w), (i, sorted(g ^ w))
+
+
+def test_digests_dealt_twice(spark, monkeypatch):
+    rng = random.Random(24)
+    passage = prose(rng, 90)
+    docs = documents(spark, [f"{prose(rng, 80)} {passage} {prose(rng, 60)}" for _ in range(12)])
+    want = {tuple(r) for r in chunk_dedup.repeats(docs).collect()}
+    monkeypatch.setattr(chunk_dedup, "FAN", 3)
+    monkeypatch.setattr(chunk_dedup, "SPLIT", 100)
+    assert {tuple(r) for r in chunk_dedup.repeats(docs).collect()} == want and len(want) == 11

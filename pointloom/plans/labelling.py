@@ -77,15 +77,37 @@ def label_cloud(points: DataFrame, elevation: DataFrame, steps: list[stages.Stag
     return done.withColumn("point_id", F.col("file_id")).select(*points.columns)
 
 
-def label_folder(spark: SparkSession, source: str, target: str, elevation: DataFrame, make: Callable[[SparkSession], list[stages.Stage]], prefix: str = "", out_prefix: str = "processed_") -> DataFrame:
-    """Label the LAS files of a folder, write them to another, and return the class statistics of all.
+def label_folder(spark: SparkSession, source: str, target: str, elevation: DataFrame, make: Callable[[SparkSession], list[stages.Stage]], prefix: str = "", out_prefix: str = "processed_", out_suffix: str = "", resume: bool = False) -> DataFrame:
+    """Label the scans of a folder, write them to another, and return the class statistics of all that is there.
 
-    ``target`` has to differ from ``source``, whose files are still being read, and be mounted on all executors.
+    ``target`` has to differ from ``source``, whose files are still being read, and be mounted on all executors. With
+    ``resume``, tiles that ``target`` has already aren't read again.
     """
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("the target can't be the folder that is read")
     ship(spark)
-    points = files.read_las(spark, source, f"{prefix}*.las")
+    own = f"{out_prefix}*{out_suffix}.las"
+    points = files.read_las(spark, source, f"{prefix}*.la[sz]", files.tiles_of_folder(spark, target, own) if resume else None)
     done = label_cloud(points, elevation, make(spark))
-    files.save_las(done, target, out_prefix)
-    return shapes.label_statistics(files.read_las(spark, target, f"{out_prefix}*.las").withColumn("label", F.col("label").cast("int")), label_table(spark))
+    files.save_las(done, target, out_prefix, out_suffix)
+    return shapes.label_statistics(files.read_las(spark, target, own).withColumn("label", F.col("label").cast("int")), label_table(spark))
+
+
+def prepare_folder(spark: SparkSession, cloud: DataFrame, tiles: DataFrame, target: str, resume: bool = False, clips: bool = False, margin: float = 1.0, cell: float = 0.1, tile_size: int = TILE_SIZE, **surfaces) -> DataFrame:
+    """Elevation archives ``ahn_<tile>.npz`` of ``tiles(tilecode)`` from a classified cloud, and the tiles that were made.
+
+    ``cloud(id, x, y, z, classification)``; ``surfaces`` go to ``build_elevation``. With ``resume``, tiles that ``target``
+    has already are left out; with ``clips``, each tile's part of the cloud with a ``margin`` is written beside it.
+    """
+    ship(spark)
+    todo = tiles.select("tilecode").distinct()
+    if resume:
+        todo = todo.join(files.tiles_of_folder(spark, target, "ahn_*.npz"), "tilecode", "left_anti")
+    todo = Scratch(spark, "prepare").table(todo, "todo")
+    if clips:
+        part = rasters.clip_tiles(cloud.withColumn("point_id", F.col("id")).withColumn("label", F.col("classification")), tile_size, margin)
+        part = part.withColumn("tilecode", F.concat_ws("_", *[F.lpad(F.col(c).cast("string"), 4, "0") for c in ("tx", "ty")])).join(F.broadcast(todo), "tilecode", "left_semi")
+        files.save_las(part, target, "ahn_")
+    made = build_elevation(cloud, todo, cell, **surfaces).join(tile_cells(todo, cell, tile_size), ["tilecode", "ix", "iy"])
+    files.save_npz(made, target)
+    return todo

@@ -21,33 +21,62 @@ POINT_BYTES = {0: 20, 1: 28, 2: 26, 3: 34, 6: 30, 7: 36, 8: 38}
 BATCH = 200_000
 
 
-def parse_las(data: bytes) -> dict[str, np.ndarray]:
-    """Coordinates, classification and, if there is such an extra byte, ``label`` of an uncompressed LAS 1.2 to 1.4 file."""
+def _head(data: bytes) -> dict:
+    """Layout of a LAS file, from its header and records: first point, format, bytes and number of points, scale, offset, place of ``label``."""
     if data[:4] != b"LASF":
         raise ValueError("not a LAS file")
     head, begin, n_records = struct.unpack_from("<HII", data, 94)
     kind, size, n = struct.unpack_from("<BHI", data, 104)
-    if kind & 0x80:
-        raise ValueError("compressed points need a codec that isn't part of this package")
     if data[25] >= 4 and n == 0:
         n = struct.unpack_from("<Q", data, 247)[0]
-    scale, offset = np.array(struct.unpack_from("<3d", data, 131)), np.array(struct.unpack_from("<3d", data, 155))
-    rows = np.frombuffer(data, np.uint8, n * size, begin).reshape(n, size)
-    xyz = rows[:, :12].copy().view("<i4").astype(float) * scale + offset
-    out = {"x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "classification": rows[:, 16 if kind >= 6 else 15] & (0xFF if kind >= 6 else 0x1F)}
-    at, extra = head, POINT_BYTES[kind]
+    out = {"begin": begin, "kind": kind & 0x3F, "packed": bool(kind & 0x80), "size": size, "n": n, "label": None, "record": b""}
+    out |= {"scale": np.array(struct.unpack_from("<3d", data, 131)), "offset": np.array(struct.unpack_from("<3d", data, 155))}
+    at, extra = head, POINT_BYTES[out["kind"]]
     for _ in range(n_records):
         user, number, length = data[at + 2 : at + 18].rstrip(b"\0"), *struct.unpack_from("<HH", data, at + 18)
         if user == b"LASF_Spec" and number == 4:
             for k in range(at + 54, at + 54 + length, 192):
                 width = {1: 1, 2: 1, 3: 2, 4: 2, 5: 4, 6: 4, 7: 8, 8: 8, 9: 4, 10: 8}.get(data[k + 2], 0)
                 if data[k + 4 : k + 36].rstrip(b"\0") == b"label" and width == 1:
-                    out["label"] = rows[:, extra].copy()
+                    out["label"] = extra
                 extra += width
+        if user == b"laszip encoded" and number == 22204:
+            out["record"] = data[at + 54 : at + 54 + length]
         at += 54 + length
     return out
 
 
+def _unpacked(data: bytes, head: dict) -> bytes:
+    """Points of a compressed file, by the codec if it is installed."""
+    try:
+        import lazrs
+    except ImportError:
+        raise ValueError("compressed points need the codec lazrs, which isn't installed") from None
+    source = io.BytesIO(data)
+    source.seek(head["begin"])
+    out = bytearray(head["n"] * head["size"])
+    lazrs.LasZipDecompressor(source, head["record"]).decompress_many(out)
+    return bytes(out)
+
+
+def _points(data: bytes, head: dict) -> dict[str, np.ndarray]:
+    """Columns of uncompressed points."""
+    rows = np.frombuffer(data, np.uint8).reshape(-1, head["size"])
+    xyz = rows[:, :12].copy().view("<i4").astype(float) * head["scale"] + head["offset"]
+    modern = head["kind"] >= 6
+    out = {"x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2], "classification": rows[:, 16 if modern else 15] & (0xFF if modern else 0x1F)}
+    return out | ({"label": rows[:, head["label"]].copy()} if head["label"] is not None else {})
+
+
+def parse_las(data: bytes) -> dict[str, np.ndarray]:
+    """Coordinates, classification and, if there is such an extra byte, ``label`` of a LAS 1.2 to 1.4 file.
+
+    Compressed files need the codec ``lazrs``.
+    """
+    head = _head(data)
+    return _points(_unpacked(data, head) if head["packed"] else data[head["begin"] : head["begin"] + head["n"] * head["size"]], head)
+
+
 def make_las(x: np.ndarray, y: np.ndarray, z: np.ndarray, label: np.ndarray, scale: float = 0.001) -> bytes:
     """An uncompressed LAS 1.2 file, point format 0 with an extra byte ``label``."""
     n = len(x)
@@ -65,22 +94,72 @@ def make_las(x: np.ndarray, y: np.ndarray, z: np.ndarray, label: np.ndarray, sca
     return head + record + rows.tobytes()
 
 
-def read_las(spark: SparkSession, path: str, glob: str = "*.las") -> DataFrame:
-    """``tilecode, point_id, x, y, z, classification, label``; ``point_id`` is the place in the file, label 0 if it has none."""
+_CLOUD = "tilecode string, point_id long, x double, y double, z double, classification short, label short"
+
+
+def _batches(tile: str, got: dict[str, np.ndarray], first: int = 0) -> Iterator[pa.RecordBatch]:
+    n = len(got["x"])
+    label = got.get("label", np.zeros(n, np.uint8))
+    for a in range(0, n, BATCH):
+        s = slice(a, min(n, a + BATCH))
+        yield pa.RecordBatch.from_arrays([pa.array([tile] * (s.stop - a), pa.string()), pa.array(np.arange(first + a, first + s.stop)), *[pa.array(got[c][s].copy()) for c in "xyz"], pa.array(got["classification"][s].astype(np.int16)), pa.array(label[s].astype(np.int16))], ["tilecode", "point_id", "x", "y", "z", "classification", "label"])
+
+
+def _files(spark: SparkSession, path: str, glob: str, skip: DataFrame | None) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).withColumn("tilecode", tilecode_of_path(F.col("path")))
+    return files if skip is None else files.join(F.broadcast(skip.select("tilecode").distinct()), "tilecode", "left_anti")
+
+
+def read_las(spark: SparkSession, path: str, glob: str = "*.la[sz]", skip: DataFrame | None = None) -> DataFrame:
+    """``tilecode, point_id, x, y, z, classification, label``; ``point_id`` is the place in the file, label 0 if it has none.
+
+    A file is read whole, from any store that Spark reaches; files of tiles in ``skip(tilecode)`` aren't read. Larger files
+    than a row can hold, 2 GB, are for ``read_las_ranges``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for tile, content in zip(batch.column("tilecode"), batch.column("content"), strict=True):
-                got = parse_las(content.as_py())
-                n = len(got["x"])
-                label = got.get("label", np.zeros(n, np.uint8))
-                for a in range(0, n, BATCH):
-                    s = slice(a, min(n, a + BATCH))
-                    m = s.stop - a
-                    yield pa.RecordBatch.from_arrays([pa.array([tile.as_py()] * m, pa.string()), pa.array(np.arange(a, s.stop)), *[pa.array(got[c][s].copy()) for c in "xyz"], pa.array(got["classification"][s].astype(np.int16)), pa.array(label[s].astype(np.int16))], ["tilecode", "point_id", "x", "y", "z", "classification", "label"])
+                yield from _batches(tile.as_py(), parse_las(content.as_py()))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(tilecode_of_path(F.col("path")).alias("tilecode"), "content").mapInArrow(run, "tilecode string, point_id long, x double, y double, z double, classification short, label short")
+    return _files(spark, path, glob, skip).select("tilecode", "content").mapInArrow(run, _CLOUD)
+
+
+def read_las_ranges(spark: SparkSession, path: str, glob: str = "*.las", points: int = 4_000_000, skip: DataFrame | None = None) -> DataFrame:
+    """What ``read_las`` gives, by ranges of ``points`` points, so that a file of any size is read by many tasks.
+
+    Headers are read first, by a task for each file, then ranges. Files are opened by Arrow, so their store has to be one of
+    its own (mounted folders, HDFS, S3, GCS); compressed files can't be cut and are for ``read_las``.
+    """
+    from pyarrow import fs
+
+    def opened(path: str):
+        store, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+        return store.open_input_file(name)
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, path in zip(batch.column("tilecode").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                with opened(path) as f:
+                    begin = struct.unpack_from("<I", f.read_at(104, 0), 96)[0]
+                    head = _head(f.read_at(max(375, begin), 0))
+                if head["packed"]:
+                    raise ValueError(f"{path} is compressed")
+                at = list(range(0, head["n"], points))
+                yield pa.RecordBatch.from_arrays([pa.array([tile] * len(at), pa.string()), pa.array([path] * len(at), pa.string()), pa.array(at, pa.int64())], ["tilecode", "path", "first"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile, path, first in zip(*(batch.column(c).to_pylist() for c in ("tilecode", "path", "first")), strict=True):
+                with opened(path) as f:
+                    begin = struct.unpack_from("<I", f.read_at(104, 0), 96)[0]
+                    head = _head(f.read_at(max(375, begin), 0))
+                    n = min(points, head["n"] - first)
+                    data = f.read_at(n * head["size"], head["begin"] + first * head["size"])
+                yield from _batches(tile, _points(data, head), first)
+
+    ranges = _files(spark, path, glob, skip).select("tilecode", "path").mapInArrow(plan, "tilecode string, path string, first long")
+    return ranges.repartition("path", "first").mapInArrow(read, _CLOUD)
 
 
 def as_las(points: DataFrame) -> DataFrame:
@@ -93,16 +172,10 @@ def as_las(points: DataFrame) -> DataFrame:
     return points.select("tilecode", "point_id", "x", "y", "z", "label").groupBy("tilecode").applyInArrow(run, "tilecode string, content binary")
 
 
-def save_las(points: DataFrame, folder: str, prefix: str = "processed_") -> None:
+def save_las(points: DataFrame, folder: str, prefix: str = "processed_", suffix: str = "") -> None:
     """Write LAS files to a folder that all executors have mounted; a file appears whole or not at all."""
 
-    def run(rows: Iterator) -> None:
-        for r in rows:
-            with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
-                f.write(r.content)
-            os.replace(f.name, os.path.join(folder, f"{prefix}{r.tilecode}.las"))
-
-    as_las(points).foreachPartition(run)
+    as_las(points).foreachPartition(lambda rows: [put_file(folder, f"{prefix}{r.tilecode}{suffix}.las", r.content) for r in rows] and None)
 
 
 def save_labels(points: DataFrame, path: str) -> int:
@@ -131,32 +204,38 @@ def read_npz(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame:
     return files.select(tilecode_of_path(F.col("path")).alias("tilecode"), "content").mapInArrow(run, "tilecode string, ix int, iy int, x double, y double, ground double, building double")
 
 
-def tiff_bounds(data: bytes) -> dict | None:
-    """Size, pixel size and bounds of a GeoTIFF, from its tags; none for other files."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        return None
-    at = struct.unpack_from(order + "I", data, 4)[0]
-    tags = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-        code, width = {3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}.get(kind, ("B", 1))
-        where = at + 10 + 12 * k if n * width <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-        tags[tag] = struct.unpack_from(f"{order}{n}{code}", data, where)
-    if 33550 not in tags or 33922 not in tags:
-        return None
-    wide, high, sx, sy = tags[256][0], tags[257][0], *tags[33550][:2]
-    x, y = tags[33922][3] - tags[33922][0] * sx, tags[33922][4] + tags[33922][1] * sy
-    return {"width": wide, "height": high, "res": sx, "Xmin": x, "Ymax": y, "Xmax": x + wide * sx, "Ymin": y - high * sy}
-
-
-def tiff_index(spark: SparkSession, path: str, glob: str = "M_*.TIF", res: float = 0.5) -> DataFrame:
-    """``Filename, Xmin, Ymax, Xmax, Ymin`` of the GeoTIFFs of a folder with the given pixel size, by ``Xmin, Ymax``."""
+def save_npz(elevation: DataFrame, folder: str, prefix: str = "ahn_") -> None:
+    """Write ``tilecode, ix, iy, x, y, ground, building`` as one archive a tile to a mounted folder, as ``read_npz`` reads it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(p.as_py(), b) for p, c in zip(batch.column("path"), batch.column("content"), strict=True) if (b := tiff_bounds(c.as_py())) and b["res"] == res]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), *[pa.array([b[c] for _, b in found], pa.float64()) for c in ("Xmin", "Ymax", "Xmax", "Ymin")]], ["Filename", "Xmin", "Ymax", "Xmax", "Ymin"])
+    ``iy`` counts downwards, so ``y`` descends; surfaces are rounded to centimetres in 16 bits, and a missing cell is NaN.
+    """
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ix, iy = (np.asarray(table[c]) for c in ("ix", "iy"))
+        shape = (iy.max() + 1, ix.max() + 1)
+        out: dict[str, np.ndarray] = {}
+        for c, at, n in (("x", ix, shape[1]), ("y", iy, shape[0])):
+            out[c] = np.full(n, np.nan)
+            out[c][at] = np.asarray(table[c], dtype=float)
+        for c in ("ground", "building"):
+            out[c] = np.full(shape, np.nan, np.float16)
+            out[c][iy, ix] = np.round(table[c].to_numpy().astype(float), 2)
+        data = io.BytesIO()
+        np.savez_compressed(data, **out)
+        return pa.table({"tilecode": [key[0].as_py()], "content": pa.array([data.getvalue()], pa.binary())})
+
+    files = elevation.select("tilecode", "ix", "iy", "x", "y", "ground", "building").groupBy("tilecode").applyInArrow(run, "tilecode string, content binary")
+    files.foreachPartition(lambda rows: [put_file(folder, f"{prefix}{r.tilecode}.npz", r.content) for r in rows] and None)
+
+
+def put_file(folder: str, name: str, content: bytes) -> None:
+    """Write a file that appears whole or not at all."""
+    with tempfile.NamedTemporaryFile(dir=folder, delete=False) as f:
+        f.write(content)
+    os.replace(f.name, os.path.join(folder, name))
+
+
+def tiles_of_folder(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """``tilecode`` of the files of a folder, each once; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select("path", "content").mapInArrow(run, "Filename string, Xmin double, Ymax double, Xmax double, Ymin double").orderBy("Xmin", "Ymax")
+    return files.select(tilecode_of_path(F.col("path")).alias("tilecode")).distinct()

@@ -1,9 +1,14 @@
 """Stages on made scenes, operators against brute force, sources and the stream."""
 
+import http.server
 import io
+import json
 import math
 import random
 import struct
+import threading
+import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -11,8 +16,9 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import cells, geometry as G, labels as L
 from pointloom.operators import clusters, rasters, shapes, spatial, stages
+from pointloom.plans import labelling
 from pointloom.plans.scratch import Scratch
-from pointloom.sources import files, registry
+from pointloom.sources import fetch, files, registry, tiff
 from pointloom.streaming.tiles import label_arriving_tiles
 
 POINTS = "tile long, point_id long, x double, y double, z double, label int, ground double, building double"
@@ -127,6 +133,24 @@ def test_cascade_keeps_labels_and_excluded_rows(spark):
     assert done.columns == points.columns and {(r.point_id, r.label) for r in done.collect()} == {(0, 9), (1, 0), (2, 40)}
 
 
+def test_cascade_reads_the_cloud_once_a_stage(spark):
+    """Plans don't double: footprint stages are joins of one plan, others get a table."""
+    roads = area(spark, [(0, 0), (10, 0), (10, 10), (0, 10)], "fietspad")
+    houses = area(spark, [(20, 20), (30, 20), (30, 30), (20, 30)], "pand")
+    points = spark.createDataFrame([(1, i, float(i), float(i), 5.0 * (i % 2), 0, 0.0, None) for i in range(40)], POINTS)
+    steps = [stages.Ground(refine=False), stages.Road(roads), *[stages.Footprint(houses, offset=0.1 * k) for k in range(6)]]
+    done = stages.cascade(points, steps)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ExistenceJoin") == 7 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 8 + 1
+    want = {i: (10 if 20 <= i <= 30 else 1 if i % 2 == 0 and i <= 10 else 9 if i % 2 == 0 else 0) for i in range(40)}
+    want = {i: (9 if i % 2 == 0 and not i <= 10 else w) for i, w in want.items()}
+    assert {r.point_id: r.label for r in done.collect()} == want
+    report = []
+    noisy = stages.cascade(points, [*steps, stages.Noise(Scratch(spark, "noise"), size=0.5, min_size=2)], report=report)
+    assert noisy.where("label = 0").count() == 0
+    assert [n for _, n in report] == [20, 0, 5, 0, 0, 0, 0, 0, 15]
+
+
 def brute_components(points, touch):
     name = list(range(len(points)))
     changed = True
@@ -354,16 +378,176 @@ def test_elevation_files(spark, tmp_path):
     (tmp_path / "ahn_2386_9702.npz").write_bytes(buffer.getvalue())
     got = {(r.ix, r.iy): (r.x, r.y, r.ground, r.building) for r in files.read_npz(spark, str(tmp_path)).collect()}
     assert got == {(0, 0): (0.5, 1.5, 1.0, None), (1, 0): (1.5, 1.5, None, None), (0, 1): (0.5, 0.5, 2.5, None), (1, 1): (1.5, 0.5, 3.0, None)}
-    tags = [(256, 4, 1, struct.pack("<I", 20)), (257, 4, 1, struct.pack("<I", 10)), (33550, 12, 3, struct.pack("<3d", 0.5, 0.5, 0)), (33922, 12, 6, struct.pack("<6d", 0, 0, 0, 100, 200, 0))]
-    at, head, tail = 8 + 2 + 12 * len(tags) + 4, b"", b""
-    for tag, kind, n, data in tags:
-        inline = len(data) <= 4
-        head += struct.pack("<HHI", tag, kind, n) + (data.ljust(4, b"\0") if inline else struct.pack("<I", at + len(tail)))
-        tail += b"" if inline else data
-    (tmp_path / "M_1.TIF").write_bytes(b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(tags)) + head + b"\0" * 4 + tail)
-    (tmp_path / "M_2.TIF").write_bytes(b"not an image")
-    (r,) = files.tiff_index(spark, str(tmp_path)).collect()
-    assert (r.Xmin, r.Ymax, r.Xmax, r.Ymin) == (100.0, 200.0, 110.0, 195.0)
+    files.save_npz(files.read_npz(spark, str(tmp_path)), str(tmp_path), "again_")
+    again = {(r.ix, r.iy): (r.x, r.y, r.ground, r.building) for r in files.read_npz(spark, str(tmp_path), "again_*.npz").collect()}
+    assert again == got
+    assert [r.tilecode for r in files.tiles_of_folder(spark, str(tmp_path), "*.npz").collect()] == ["2386_9702"]
+
+
+def tiff_of(values, way=1, predictor=1, rows=4, tiled=0, order="<", x=100.0, y=200.0, res=0.5):
+    """A GeoTIFF of 32-bit floats in strips of ``rows`` rows, or in tiles of ``tiled`` pixels."""
+    high, wide = values.shape
+    if tiled:
+        values = np.pad(values, ((0, -high % tiled), (0, -wide % tiled)))
+        parts = [values[a : a + tiled, b : b + tiled] for a in range(0, values.shape[0], tiled) for b in range(0, values.shape[1], tiled)]
+    else:
+        parts = [values[a : a + rows] for a in range(0, high, rows)]
+
+    def packed(part):
+        part = np.ascontiguousarray(part.astype(f"{order}f4"))
+        data = part.tobytes()
+        if predictor == 2:
+            whole = part.view(f"{order}u4")
+            data = np.diff(whole, axis=1, prepend=np.zeros((len(whole), 1), whole.dtype)).astype(f"{order}u4").tobytes()
+        if predictor == 3:
+            planes = np.ascontiguousarray(part.astype(">f4")).view(np.uint8).reshape(*part.shape, 4).transpose(0, 2, 1).reshape(len(part), -1)
+            data = np.diff(planes, axis=1, prepend=np.zeros((len(part), 1), np.uint8)).astype(np.uint8).tobytes()
+        return zlib.compress(data) if way == 8 else lzw(data) if way == 5 else data
+
+    blocks = [packed(p) for p in parts]
+    sizes, at, u = [len(b) for b in blocks], [], "I"
+    for n in sizes:
+        at.append(8 + sum(sizes[: len(at)]))
+    tags = [(256, 4, [wide]), (257, 4, [high]), (258, 3, [32]), (259, 3, [way]), (317, 3, [predictor]), (339, 3, [3]), (33550, 12, [res, res, 0.0]), (33922, 12, [0.0, 0.0, 0.0, x, y, 0.0]), (42113, 2, b"-9999\0")]
+    tags += [(322, 4, [tiled]), (323, 4, [tiled]), (324, 4, at), (325, 4, sizes)] if tiled else [(273, 4, at), (278, 4, [rows]), (279, 4, sizes)]
+    body, place = b"".join(blocks), 8 + sum(sizes)
+    head, tail, begin = b"", b"", place + 2 + 12 * len(tags) + 4
+    for tag, kind, v in sorted(tags):
+        data = v if isinstance(v, bytes) else struct.pack(f"{order}{len(v)}{ {3: 'H', 4: u, 12: 'd'}[kind] }", *v)
+        head += struct.pack(f"{order}HHI", tag, kind, len(v)) + (data.ljust(4, b"\0") if len(data) <= 4 else struct.pack(f"{order}I", begin + len(tail)))
+        tail += b"" if len(data) <= 4 else data
+    return (b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, place) + body + struct.pack(f"{order}H", len(tags)) + head + b"\0" * 4 + tail
+
+
+def lzw(data):
+    """Codes of the format's LZW, without ever filling the table."""
+    table, word, bits, width = {bytes([k]): k for k in range(256)}, b"", f"{256:09b}", 9
+    size = 258
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if word + c in table:
+            word += c
+            continue
+        bits += f"{table[word]:0{width}b}"
+        table[word + c], size, word = size, size + 1, c
+        width = 9 + (size >= 512) + (size >= 1024) + (size >= 2048)
+        if size == 4093:
+            bits += f"{256:0{width}b}"
+            table, size, width = {bytes([k]): k for k in range(256)}, 258, 9
+    bits += f"{table[word]:0{width}b}"
+    size += 1
+    bits += f"{257:0{9 + (size >= 512) + (size >= 1024) + (size >= 2048)}b}"
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+@pytest.mark.parametrize("way,predictor,tiled,order", [(1, 1, 0, "<"), (8, 2, 0, "<"), (8, 3, 16, "<"), (5, 1, 0, ">"), (5, 3, 16, "<"), (1, 1, 16, ">")])
+def test_tiff_pixels(way, predictor, tiled, order):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(0, 5, (70, 90)), 1).astype(np.float32)
+    values[3, 4], values[60, 80] = -9999, -9999
+    want = np.where(values == -9999, np.nan, values).astype(float)
+    data = tiff_of(values, way, predictor, 7, tiled, order)
+    assert tiff.bounds_of(data) == {"width": 90, "height": 70, "res": 0.5, "Xmin": 100.0, "Ymax": 200.0, "Xmax": 145.0, "Ymin": 165.0}
+    for x0, x1, y0, y1 in ((0, 90, 0, 70), (5, 20, 3, 9), (33, 90, 15, 70), (-5, 3, 65, 99), (40, 40, 0, 5)):
+        got = tiff.pixels(data, x0, x1, y0, y1)
+        np.testing.assert_array_equal(got, want[max(0, y0) : y1, max(0, x0) : x1])
+
+
+def test_tiff_tiles(spark, tmp_path):
+    """Each tile is cut from the first file that holds it whole; other files and tiles give nothing."""
+    rng = np.random.default_rng(4)
+    one, two = (rng.normal(0, 5, (400, 400)).astype(np.float32) for _ in range(2))
+    one[0, 0] = 2e5
+    (tmp_path / "M_1.TIF").write_bytes(tiff_of(one, 8, rows=50, x=100.0, y=300.0))
+    (tmp_path / "M_2.TIF").write_bytes(tiff_of(two, 8, tiled=64, x=200.0, y=300.0))
+    (tmp_path / "M_3.TIF").write_bytes(b"not an image")
+    (tmp_path / "M_4.TIF").write_bytes(tiff_of(two, x=100.0, y=300.0, res=1.0))
+    index = tiff.tiff_index(spark, str(tmp_path)).collect()
+    assert [(r.Xmin, r.Ymax, r.Xmax, r.Ymin) for r in index] == [(100.0, 300.0, 300.0, 100.0), (200.0, 300.0, 400.0, 100.0)]
+    tiles = spark.createDataFrame([("0002_0005",), ("0005_0002",), ("0007_0002",), ("0007_0005",), ("0090_0090",), ("0002_0005",)], "tilecode string")
+    got = {}
+    for r in tiff.read_tiff_tiles(spark, str(tmp_path), tiles).collect():
+        got.setdefault(r.tilecode, {})[r.ix, r.iy] = (r.x, r.y, r.ground)
+    assert set(got) == {"0002_0005", "0005_0002", "0007_0002", "0007_0005"} and all(len(v) == 10_000 for v in got.values())
+    assert got["0002_0005"][0, 0] == (100.25, 299.75, None) and got["0002_0005"][7, 9] == (103.75, 295.25, float(one[9, 7]))
+    assert got["0005_0002"][3, 2][2] == float(one[302, 303]) and got["0007_0005"][3, 2][2] == float(two[2, 303])
+
+
+def test_las_ranges_compressed_files_and_resume(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    rows = [(t, i, 119300 + rng.uniform(0, 50), 485100 + rng.uniform(0, 50), rng.uniform(-2, 30), rng.randint(0, 99)) for t in ("2386_9701", "2386_9702") for i in range(507)]
+    points = spark.createDataFrame(rows, "tilecode string, point_id long, x double, y double, z double, label int")
+    files.save_las(points, str(tmp_path), "", "_done")
+    whole = sorted(tuple(r) for r in files.read_las(spark, str(tmp_path)).collect())
+    assert len(whole) == 1014 and (tmp_path / "2386_9701_done.las").exists()
+    assert sorted(tuple(r) for r in files.read_las_ranges(spark, str(tmp_path), points=100).collect()) == whole
+    done = spark.createDataFrame([("2386_9701",)], "tilecode string")
+    for read in (files.read_las, files.read_las_ranges):
+        assert {r.tilecode for r in read(spark, str(tmp_path), skip=done).select("tilecode").distinct().collect()} == {"2386_9702"}
+    data = bytearray((tmp_path / "2386_9701_done.las").read_bytes())
+    begin, size = struct.unpack_from("<I", data, 96)[0], struct.unpack_from("<H", data, 105)[0]
+    data[104] |= 0x80
+    monkeypatch.setitem(__import__("sys").modules, "lazrs", None)
+    with pytest.raises(ValueError, match="codec"):
+        files.parse_las(bytes(data))
+
+    class Decompressor:
+        def __init__(self, source, record):
+            self.source = source
+
+        def decompress_many(self, out):
+            out[:] = zlib.decompress(self.source.read())
+
+    monkeypatch.setitem(__import__("sys").modules, "lazrs", type("codec", (), {"LasZipDecompressor": Decompressor}))
+    got = files.parse_las(bytes(data[:begin]) + zlib.compress(bytes(data[begin:])))
+    assert size == 21 and got["x"].tolist() == [r[2] for r in whole if r[0] == "2386_9701"]
+
+
+def test_prepared_elevation_is_resumed(spark, tmp_path):
+    rng = random.Random(13)
+    cloud = spark.createDataFrame([(i, rng.uniform(95, 205), rng.uniform(95, 155), 1.0 + i % 3, 2 if i % 2 else 6) for i in range(900)], "id long, x double, y double, z double, classification int")
+    tiles = spark.createDataFrame([("0002_0002",), ("0003_0002",)], "tilecode string")
+    run = lambda t, **more: sorted(r.tilecode for r in labelling.prepare_folder(spark, cloud, t, str(tmp_path), cell=1.0, ground_radius=5.0, building_radius=5.0, **more).collect())
+    assert run(tiles.limit(1), clips=True) == ["0002_0002"]
+    assert run(tiles, resume=True) == ["0003_0002"]
+    got = files.read_npz(spark, str(tmp_path))
+    assert got.count() == 5000 and got.where("ground is null").count() < 500
+    clip = files.read_las(spark, str(tmp_path))
+    assert clip.select("tilecode").distinct().count() == 1
+    assert clip.count() == cloud.where("x between 99 and 151 and y between 99 and 151").count()
+
+
+def test_layers_are_fetched_page_by_page(spark):
+    asked = []
+
+    class Answers(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            query = {k: v[0] for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            if "town-code" in query:
+                body = [{"location": {"rd": {"x": "1", "y": "1"}}}]
+            else:
+                asked.append((query["typeNames"], int(query["startIndex"]), query["bbox"]))
+                n = {"BGT_WGL_fietspad": 5, "BGT_WGL_none": 0, "BGT_WGL_two": 4}[query["typeNames"]]
+                ring = [[0, 0], [2, 0], [2, 2], [0, 0]]
+                body = {"features": [{"id": str(k), "geometry": {"type": "Polygon", "coordinates": [ring]}} for k in range(n)][int(query["startIndex"]) :][: int(query["count"])]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/wfs"
+    box = {"x_min": 0, "y_min": 1, "x_max": 2, "y_max": 3}
+    got = fetch.fetch_layers(spark, url, ["BGT_WGL_fietspad", "BGT_WGL_none", "BGT_WGL_two"], box, count=2)
+    rows = registry.parse_polygons(got).collect()
+    assert sorted((r.type, r.feature_id) for r in rows) == [("fietspad", str(k)) for k in range(5)] + [("two", str(k)) for k in range(4)]
+    assert {(a, b) for a, b, _ in asked} == {("BGT_WGL_fietspad", 0), ("BGT_WGL_fietspad", 2), ("BGT_WGL_fietspad", 4), ("BGT_WGL_none", 0), ("BGT_WGL_two", 0), ("BGT_WGL_two", 2), ("BGT_WGL_two", 4)}
+    assert {c for _, _, c in asked} == {"0,1,2,3,EPSG:28992"}
+    assert registry.parse_signs(fetch.fetch_signs(spark, url, "0363"), {"x_min": 0, "x_max": 2, "y_min": 0, "y_max": 2}).count() == 1
+    server.shutdown()
 
 
 def test_stream_of_tiles(spark, tmp_path):

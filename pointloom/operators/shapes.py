@@ -95,6 +95,12 @@ def _per_group(points: DataFrame, by: list[str], columns: list[str], schema: str
     return points.select(*by, *columns).groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", " + schema)
 
 
+def _ends(points: DataFrame, by: list[str]) -> DataFrame:
+    """The lowest and highest point of each group at each ``x``; the others are inside of its hull."""
+    ends = points.groupBy(*by, "x").agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    return ends.select(*by, "x", F.explode(F.array("a", "b")).alias("y"))
+
+
 def convex_hulls(points: DataFrame, by: list[str]) -> DataFrame:
     """Area and number of corners of each group's hull."""
 
@@ -102,7 +108,7 @@ def convex_hulls(points: DataFrame, by: list[str]) -> DataFrame:
         hull = K.convex_hull(xy)
         return (K.polygon_area(hull) if len(hull) > 2 else 0.0), len(hull)
 
-    return _per_group(points, by, ["x", "y"], "area double, corners long", kernel)
+    return _per_group(_ends(points, by), by, ["x", "y"], "area double, corners long", kernel)
 
 
 def alpha_shapes(points: DataFrame, by: list[str], alpha: float) -> DataFrame:
@@ -127,22 +133,40 @@ def bounding_rectangles(points: DataFrame, by: list[str]) -> DataFrame:
         corners, short, long, centre, _ = K.min_bounding_rectangle(xy)
         return float(centre[0]), float(centre[1]), short, long, corners.reshape(-1).tolist()
 
-    return _per_group(points, by, ["x", "y"], "cx double, cy double, short_side double, long_side double, corners array<double>", kernel)
+    return _per_group(_ends(points, by), by, ["x", "y"], "cx double, cy double, short_side double, long_side double, corners array<double>", kernel)
+
+
+_DIMS = ("x", "y", "z")
+
+
+def _covariances() -> list:
+    return [F.covar_samp(a, b).alias(a + b) for i, a in enumerate(_DIMS) for b in _DIMS[i:]]
+
+
+def _matrices(batch: pa.RecordBatch) -> np.ndarray:
+    c = {k: np.nan_to_num(batch.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    return np.stack([np.stack([c["xx"], c["xy"], c["xz"]], 1), np.stack([c["xy"], c["yy"], c["yz"]], 1), np.stack([c["xz"], c["yz"], c["zz"]], 1)], 1)
 
 
 def axes_3d(points: DataFrame, by: list[str]) -> DataFrame:
-    """Eigenvalues, falling, and first axis of each group of at least two points."""
-    sized = points.join(points.groupBy(*by).count().where("count > 1").drop("count"), by)
+    """Eigenvalues, falling, and first axis, with a non-negative x, of each group of at least two points.
+
+    Six sums over a group make its covariance, so only they go to the kernel.
+    """
+    sums = points.groupBy(*by).agg(F.count("*").alias("_n"), *_covariances()).where("_n > 1").drop("_n")
 
-    def kernel(xyz):
-        values, axis = K.principal_axis(xyz)
-        return values.tolist(), axis.tolist()
+    def run(batches):
+        for b in batches:
+            values, vectors = np.linalg.eigh(_matrices(b))
+            axis = vectors[:, :, 2] * np.where(vectors[:, 0, 2] < 0, -1, 1)[:, None]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in by), pa.array(list(values[:, ::-1].tolist()), pa.list_(pa.float64())), pa.array(axis.tolist(), pa.list_(pa.float64()))], [*by, "eigenvalues", "axis"])
 
-    return _per_group(sized, by, ["x", "y", "z"], "eigenvalues array<double>, axis array<double>", kernel)
+    kinds = dict(points.dtypes)
+    return sums.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in by) + ", eigenvalues array<double>, axis array<double>")
 
 
 def local_features(points: DataFrame, radius, max_neighbours: int = 50) -> DataFrame:
-    """Linearity and angle with the vertical of each point's neighbourhood.
+    """Linearity, angle with the vertical, curvature, normal and size of each point's neighbourhood.
 
     Six sums over a neighbourhood make its covariance, so only they go to the eigenvalue kernel, a batch of points at a time.
     """
@@ -152,21 +176,18 @@ def local_features(points: DataFrame, radius, max_neighbours: int = 50) -> DataF
     other = base.withColumnRenamed("point_id", "other_id").withColumnRenamed("tile", "other_tile")
     same = F.col("l.tile") == F.col("r.other_tile")
     pairs = nearest(base, other, ["point_id"], "other_id", radius, max_neighbours, ("x", "y", "z"), keep=("x", "y", "z"), extra=same)
-    dims = ["x", "y", "z"]
-    sums = pairs.groupBy("point_id").agg(F.count("*").alias("n"), *[F.covar_samp(a, b).alias(a + b) for i, a in enumerate(dims) for b in dims[i:]])
+    sums = pairs.groupBy("point_id").agg(F.count("*").alias("n"), *_covariances())
 
     def run(batches):
         for b in batches:
-            c = {k: np.nan_to_num(b.column(k).to_numpy(zero_copy_only=False).astype(float)) for k in ("xx", "xy", "xz", "yy", "yz", "zz")}
-            m = np.stack([np.stack([c["xx"], c["xy"], c["xz"]], 1), np.stack([c["xy"], c["yy"], c["yz"]], 1), np.stack([c["xz"], c["yz"], c["zz"]], 1)], 1)
-            values, vectors = np.linalg.eigh(m)
+            values, vectors = np.linalg.eigh(_matrices(b))
             top, mid, low = values[:, 2], values[:, 1], values[:, 0]
             ok = (top > 0) & (b.column("n").to_numpy() >= 3)
             line = np.where(ok, (top - mid) / np.where(top > 0, top, 1), 0.0)
-            angle = np.where(ok, np.degrees(np.arccos(np.clip(np.abs(vectors[:, 2, 2]), 0, 1))), 0.0)
+            angle = np.where(ok, np.degrees(np.arctan2(np.hypot(vectors[:, 0, 2], vectors[:, 1, 2]), np.abs(vectors[:, 2, 2]))), 0.0)
             total = top + mid + low
             bend = np.where(ok & (total > 0), np.maximum(low, 0) / np.where(total > 0, total, 1), 0.0)
             normal = np.where(ok[:, None], vectors[:, :, 0], np.array([0.0, 0.0, 1.0]))
-            yield pa.RecordBatch.from_arrays([b.column("point_id"), pa.array(line), pa.array(angle), pa.array(bend), *[pa.array(normal[:, k].copy()) for k in range(3)]], ["point_id", "linearity", "vertical_angle", "curvature", "nx", "ny", "nz"])
+            yield pa.RecordBatch.from_arrays([b.column("point_id"), pa.array(line), pa.array(angle), pa.array(bend), *[pa.array(normal[:, k].copy()) for k in range(3)], b.column("n")], ["point_id", "linearity", "vertical_angle", "curvature", "nx", "ny", "nz", "neighbours"])
 
-    return sums.mapInArrow(run, "point_id long, linearity double, vertical_angle double, curvature double, nx double, ny double, nz double")
+    return sums.mapInArrow(run, "point_id long, linearity double, vertical_angle double, curvature double, nx double, ny double, nz double, neighbours long")

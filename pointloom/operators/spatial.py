@@ -43,6 +43,17 @@ def points_in_shapes(points: DataFrame, shapes: DataFrame, exact: Column, size,
     return out.drop("_bx", "_by")
 
 
+def held_by(shapes: DataFrame, exact: Column, size, grow=0, x: str = "x", y: str = "y") -> Column:
+    """Whether some shape holds a row of the frame that this column is added to, as an existence join that reads the frame once.
+
+    ``exact`` refers to columns of that frame by ``F.col(…).outer()`` and of ``shapes`` by their names, which the frame
+    must not have. A row without a coordinate is in no shape.
+    """
+    boxes = binned_boxes(shapes, size, grow)
+    own = (F.col("_bx") == bin_of(F.col(x).outer(), size)) & (F.col("_by") == bin_of(F.col(y).outer(), size))
+    return boxes.where(own & exact).exists()
+
+
 def neighbours(left: DataFrame, right: DataFrame, radius, dims: tuple[str, ...] = ("x", "y", "z"), how: str = "inner", extra: Column | None = None) -> DataFrame:
     """Pairs of a ``left`` row (alias ``l``) and a ``right`` row (alias ``r``) at most ``radius`` apart, with ``d2``.
 

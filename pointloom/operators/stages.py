@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -44,6 +44,18 @@ def _types(registry: DataFrame, types: str | Iterable[str] | None, exclude: Iter
     return registry.where(~F.col("type").isin(list(exclude))) if exclude else registry
 
 
+def _on_surface(registry: DataFrame, types: str | Iterable[str] | None, offset: float, bin: float) -> Column:
+    """Whether a point is on a registry surface of these types, or within ``offset`` of one."""
+    own = _types(registry, types).select(*[F.col(c).alias(f"_{c}") for c in ("ring", "x_min", "y_min", "x_max", "y_max")])
+    x, y, ring = F.col("x").outer(), F.col("y").outer(), F.col("_ring")
+    exact = G.near_ring(x, y, ring, offset) if offset else G.in_ring(x, y, ring)
+    box = G.in_rectangle(x, y, F.col("_x_min") - offset, F.col("_y_min") - offset, F.col("_x_max") + offset, F.col("_y_max") + offset)
+    own = own.withColumnsRenamed({"_x_min": "x_min", "_y_min": "y_min", "_x_max": "x_max", "_y_max": "y_max"})
+    for c in ("x_min", "y_min", "x_max", "y_max"):
+        own = own.withColumn(f"_{c}", F.col(c))
+    return spatial.held_by(own, box & exact, bin, offset)
+
+
 def _free() -> Column:
     return F.col("label") == L.UNKNOWN
 
@@ -119,12 +131,7 @@ class Footprint:
 
     def __call__(self, points: DataFrame) -> DataFrame:
         roof = F.lit(True) if self.epsilon is None else F.coalesce(F.col("z") <= F.col("building") + self.epsilon, F.lit(True))
-        ring, x, y = F.col("s.ring"), F.col("p.x"), F.col("p.y")
-        exact = G.near_ring(x, y, ring, self.offset) if self.offset else G.in_ring(x, y, ring)
-        box = G.in_rectangle(x, y, F.col("s.x_min") - self.offset, F.col("s.y_min") - self.offset, F.col("s.x_max") + self.offset, F.col("s.y_max") + self.offset)
-        some = points.where(_free() & roof).select("point_id", "x", "y")
-        hit = spatial.points_in_shapes(some, _types(self.registry, self.types), box & exact, self.bin, grow=self.offset)
-        return _set_ids(points, hit, self.label)
+        return _set(points, _free() & roof & _on_surface(self.registry, self.types, self.offset, self.bin), self.label)
 
 
 @dataclass(frozen=True)
@@ -138,11 +145,7 @@ class Road:
     bin: float = 10
 
     def __call__(self, points: DataFrame) -> DataFrame:
-        some = points.where(F.col("label") == L.GROUND).select("point_id", "x", "y")
-        ring, x, y = F.col("s.ring"), F.col("p.x"), F.col("p.y")
-        exact = G.near_ring(x, y, ring, self.offset) if self.offset else G.in_ring(x, y, ring)
-        box = G.in_rectangle(x, y, F.col("s.x_min") - self.offset, F.col("s.y_min") - self.offset, F.col("s.x_max") + self.offset, F.col("s.y_max") + self.offset)
-        return _set_ids(points, spatial.points_in_shapes(some, _types(self.registry, self.types), box & exact, self.bin, grow=self.offset), self.label)
+        return _set(points, (F.col("label") == L.GROUND) & _on_surface(self.registry, self.types, self.offset, self.bin), self.label)
 
 
 @dataclass(frozen=True)
@@ -480,17 +483,42 @@ def hanging(xyz: np.ndarray, own: np.ndarray, rules: dict, min_sag: float, span:
     return out
 
 
-def cascade(points: DataFrame, stages: list[Stage], exclude: Iterable[int] = (), scratch: Scratch | None = None) -> DataFrame:
+def _reads_once(stage: Stage) -> bool:
+    """Whether a stage's plan has its input once, so that the next stage can go on from the plan."""
+    return isinstance(stage, (BelowRoof, Footprint, Road)) or isinstance(stage, Ground) and not stage.refine
+
+
+def cascade(points: DataFrame, stages: list[Stage], exclude: Iterable[int] = (), scratch: Scratch | None = None, report: list | None = None) -> DataFrame:
     """Apply the stages in order. Rows with a label in ``exclude`` bypass them and come back as they are.
 
-    With ``scratch`` every stage's result is written, which keeps plans short in long cascades.
+    Stages that read the cloud more than once get it from a table, as plans would otherwise double with each of them; the
+    tables are in ``scratch``, and each goes when the next one is written. With ``report``, a list, every stage's result is
+    written and its name and the number of points that it labelled are added.
     """
     exclude = list(exclude)
     aside = points.where(F.col("label").isin(exclude)) if exclude else None
     if exclude:
         points = points.where(~F.col("label").isin(exclude))
+    scratch = scratch or Scratch(points.sparkSession, "cascade")
+    written, free = None, None
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        nonlocal written, free
+        seen = Observation()
+        out = scratch.table(df.observe(seen, F.count(F.when(_free(), 1)).alias("free")), name)
+        if written is not None:
+            scratch.drop(written)
+        written, free = out, seen.get["free"]
+        return out
+
+    if report is not None:
+        points = put(points, "start")
     for stage in stages:
+        if not _reads_once(stage) and points is not written:
+            points = put(points, "before")
         points = stage(points)
-        if scratch is not None:
-            points = scratch.table(points, type(stage).__name__.lower())
+        if report is not None:
+            before = free
+            points = put(points, type(stage).__name__.lower())
+            report.append((type(stage).__name__, before - free))
     return points.unionByName(aside) if aside is not None else points

@@ -335,14 +335,45 @@ def principal_axis_2d(t: Tables) -> DataFrame:
     return shapes.axis_2d(t.cloud.join(big, "cluster_id", "left_semi"), ["cluster_id"]).select("cluster_id", F.round("cxy", 2).alias("cxy"), *_round("angle"))
 
 
-@query("principal_axis_3d")
+# eigenvalues of a symmetric matrix by the cubic's three real roots, and the axis of the largest as the longest cross product
+_EIGEN = """
+eigen_a AS (SELECT *, (xx + yy + zz) / 3 AS q, xy * xy + xz * xz + yz * yz AS p1 FROM sums),
+eigen_b AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * p1) / 6) AS p FROM eigen_a),
+eigen_c AS (
+  SELECT *, CASE WHEN p = 0 THEN 0e0 ELSE acos(greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 END AS phi FROM eigen_b),
+eigen_d AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM eigen_c),
+eigen AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM eigen_d),
+crossed AS (
+  SELECT *, unnest([
+    {'x': xy * yz - xz * (yy - l1), 'y': xz * xy - (xx - l1) * yz, 'z': (xx - l1) * (yy - l1) - xy * xy},
+    {'x': xy * (zz - l1) - xz * yz, 'y': xz * xz - (xx - l1) * (zz - l1), 'z': (xx - l1) * yz - xy * xz},
+    {'x': (yy - l1) * (zz - l1) - yz * yz, 'y': yz * xz - xy * (zz - l1), 'z': xy * yz - (yy - l1) * xz}]) AS v FROM eigen),
+longest AS (SELECT id, max_by(v, v.x * v.x + v.y * v.y + v.z * v.z) AS v FROM crossed GROUP BY id)"""
+_COVARIANCE = ", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+
+
+@query("principal_axis_3d", f""", sums AS (SELECT cluster_id AS id, {_COVARIANCE} FROM cloud GROUP BY cluster_id HAVING count(*) > 3), {_EIGEN},
+unit AS (SELECT id, v.x / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS x, v.y / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS y, v.z / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS z FROM longest)
+SELECT id AS cluster_id, round(l1, 0) AS l1, round(l2, 0) AS l2, round(l3, 0) AS l3, round(CASE WHEN x < 0 THEN -x ELSE x END, 4) AS ax, round(CASE WHEN x < 0 THEN -y ELSE y END, 4) AS ay, round(CASE WHEN x < 0 THEN -z ELSE z END, 4) AS az
+FROM eigen JOIN unit USING (id)""")
 def principal_axis_3d(t: Tables) -> DataFrame:
-    return shapes.axes_3d(t.cloud, ["cluster_id"])
-
-
-@query("linearity")
+    big = t.cloud.groupBy("cluster_id").count().where("count > 3")
+    out = shapes.axes_3d(t.cloud.join(big, "cluster_id", "left_semi"), ["cluster_id"])
+    return out.select("cluster_id", *[F.round(F.get("eigenvalues", k), 0).alias(f"l{k + 1}") for k in range(3)], *[F.round(F.get("axis", k), 4).alias(f"a{c}") for k, c in enumerate("xyz")])
+
+
+@query("linearity", f""", own AS (SELECT tile, point_id, x, y, z, x // 300 AS jx, y // 300 AS jy, z // 300 AS jz FROM cloud),
+moved AS (SELECT tile, point_id, x, y, z, jx + a.d AS jx, jy + b.d AS jy, jz + c.d AS jz FROM own, (SELECT range AS d FROM range(-1, 2)) a, (SELECT range AS d FROM range(-1, 2)) b, (SELECT range AS d FROM range(-1, 2)) c),
+near AS (
+  SELECT m.point_id AS id, o.point_id AS other, o.x, o.y, o.z, (m.x - o.x) * (m.x - o.x) + (m.y - o.y) * (m.y - o.y) + (m.z - o.z) * (m.z - o.z) AS d2 FROM moved m JOIN own o USING (tile, jx, jy, jz)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM near WHERE d2 <= 90000) WHERE k <= 50),
+sums AS (SELECT id, count(*) AS n, {_COVARIANCE} FROM best GROUP BY id HAVING count(*) > 3), {_EIGEN}
+SELECT id AS point_id, round((l1 - l2) / l1, 3) AS linearity, round(degrees(atan2(sqrt(v.x * v.x + v.y * v.y), abs(v.z))), 1) AS vertical_angle, round(greatest(l3, 0) / (l1 + l2 + l3), 3) AS curvature
+FROM eigen JOIN longest USING (id)""")
 def linearity(t: Tables) -> DataFrame:
-    return shapes.local_features(t.cloud, 300)
+    """Features of points with more than three neighbours, as three span a plane and make two equal eigenvalues likely."""
+    out = shapes.local_features(t.cloud, 300).where("neighbours > 3")
+    return out.select("point_id", F.round("linearity", 3).alias("linearity"), F.round("vertical_angle", 1).alias("vertical_angle"), F.round("curvature", 3).alias("curvature"))
 
 
 @query("topk_nearest", """, pairs AS (
@@ -360,19 +391,51 @@ def rank_clusters(t: Tables) -> DataFrame:
 
 # ---- geometry
 
-@query("convex_hulls")
+# a hull's edges: pairs of places with all others on one side, or on the line between them
+_HULLS = """, places AS (SELECT DISTINCT cluster_id, x, y FROM cloud),
+edges AS (
+  SELECT a.cluster_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM places a JOIN places b ON a.cluster_id = b.cluster_id AND (a.x <> b.x OR a.y <> b.y) JOIN places c ON c.cluster_id = a.cluster_id
+  GROUP BY ALL
+  HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0)))"""
+
+
+@query("convex_hulls", _HULLS + "\nSELECT cluster_id, coalesce(sum(ax * ey - ex * ay) / 2e0, 0) AS area, greatest(1, count(ax)) AS corners FROM (SELECT DISTINCT cluster_id FROM cloud) LEFT JOIN edges USING (cluster_id) GROUP BY cluster_id")
 def convex_hulls(t: Tables) -> DataFrame:
     return shapes.convex_hulls(t.cloud, ["cluster_id"])
 
 
-@query("alpha_shapes")
+@query("alpha_shapes", """, places AS (SELECT DISTINCT cluster_id, x, y, row_number() OVER (PARTITION BY cluster_id ORDER BY x, y) AS k FROM (SELECT DISTINCT cluster_id, x, y FROM cloud)),
+three AS (
+  SELECT a.cluster_id, a.x AS ax, a.y AS ay, CASE WHEN turn > 0 THEN b.x ELSE c.x END AS ex, CASE WHEN turn > 0 THEN b.y ELSE c.y END AS ey, CASE WHEN turn > 0 THEN c.x ELSE b.x END AS cx, CASE WHEN turn > 0 THEN c.y ELSE b.y END AS cy, abs(turn) / 2e0 AS area,
+    sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) * sqrt(pow(c.x - b.x, 2) + pow(c.y - b.y, 2)) * sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)) AS sides
+  FROM places a JOIN places b ON a.cluster_id = b.cluster_id AND a.k < b.k JOIN places c ON c.cluster_id = a.cluster_id AND b.k < c.k, LATERAL (SELECT (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) AS turn) WHERE turn <> 0),
+small AS (SELECT * FROM three WHERE sides < 4 * area / 0.0005e0),
+kept AS (
+  SELECT t.cluster_id, t.area, t.ax, t.ay, t.ex, t.ey, t.cx, t.cy FROM small t JOIN places d ON d.cluster_id = t.cluster_id
+  GROUP BY ALL
+  HAVING bool_and(
+    ((ax - d.x) * (ax - d.x) + (ay - d.y) * (ay - d.y)) * ((ex - d.x) * (cy - d.y) - (cx - d.x) * (ey - d.y))
+    - ((ex - d.x) * (ex - d.x) + (ey - d.y) * (ey - d.y)) * ((ax - d.x) * (cy - d.y) - (cx - d.x) * (ay - d.y))
+    + ((cx - d.x) * (cx - d.x) + (cy - d.y) * (cy - d.y)) * ((ax - d.x) * (ey - d.y) - (ex - d.x) * (ay - d.y)) <= 0))
+SELECT cluster_id, coalesce(sum(area), 0) AS area, count(area) AS triangles FROM (SELECT DISTINCT cluster_id FROM cloud) LEFT JOIN (SELECT * FROM kept WHERE cluster_id IN (SELECT cluster_id FROM places GROUP BY cluster_id HAVING count(*) > 3)) USING (cluster_id) GROUP BY cluster_id""")
 def alpha_shapes(t: Tables) -> DataFrame:
     return shapes.alpha_shapes(t.cloud, ["cluster_id"], 0.0005)
 
 
-@query("min_bounding_rect")
+# the smallest rectangle over all hull edges, in the frame of each; several of one area have the smaller side first
+_BOXES = """turned AS (
+  SELECT cluster_id, ex - ax AS dx, ey - ay AS dy, pow(ex - ax, 2) + pow(ey - ay, 2) AS l2, min(x * (ex - ax) + y * (ey - ay)) AS u0, max(x * (ex - ax) + y * (ey - ay)) AS u1, min(y * (ex - ax) - x * (ey - ay)) AS v0, max(y * (ex - ax) - x * (ey - ay)) AS v1
+  FROM edges JOIN places USING (cluster_id) GROUP BY cluster_id, ax, ay, ex, ey),
+boxes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round((u1 - u0) * ((v1 - v0) / l2), 3), least(u1 - u0, v1 - v0) / sqrt(l2)) AS k FROM turned) WHERE k = 1)"""
+
+
+@query("min_bounding_rect", _HULLS + f""", {_BOXES}
+SELECT cluster_id, round(coalesce(((u0 + u1) / 2 * dx - (v0 + v1) / 2 * dy) / l2, any_x), 2) AS cx, round(coalesce(((u0 + u1) / 2 * dy + (v0 + v1) / 2 * dx) / l2, any_y), 2) AS cy,
+  round(coalesce(least(u1 - u0, v1 - v0) / sqrt(l2), 0), 2) AS short_side, round(coalesce(greatest(u1 - u0, v1 - v0) / sqrt(l2), 0), 2) AS long_side
+FROM (SELECT cluster_id, any_value(x) AS any_x, any_value(y) AS any_y FROM cloud GROUP BY cluster_id) LEFT JOIN boxes USING (cluster_id)""")
 def min_bounding_rect(t: Tables) -> DataFrame:
-    return shapes.bounding_rectangles(t.cloud, ["cluster_id"])
+    out = shapes.bounding_rectangles(t.cloud, ["cluster_id"])
+    return out.select("cluster_id", *[F.round(c, 2).alias(c) for c in ("cx", "cy", "short_side", "long_side")])
 
 
 @query("overlap_area", """
@@ -426,10 +489,20 @@ def grid_lookup(t: Tables) -> DataFrame:
     return t.points.select("point_id", "ground", "building")
 
 
-_NEAR = """, near AS (
-  SELECT r.ix, r.iy, c.point_id AS id, c.z AS value, (r.x - c.x) * (r.x - c.x) + (r.y - c.y) * (r.y - c.y) AS d2
-  FROM raster r JOIN cloud c ON c.x BETWEEN r.x - 100 AND r.x + 100 AND c.y BETWEEN r.y - 100 AND r.y + 100),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d2, id) AS k FROM near WHERE d2 <= 10000) WHERE k <= 8)"""
+# a sample within a cell's size of its centre lies in the cell or beside it, so samples meet moved cells by equality
+_AROUND = """
+  SELECT ix, iy, x, y, ix + a.d AS jx, iy + b.d AS jy FROM raster, (SELECT range AS d FROM range(-1, 2)) a, (SELECT range AS d FROM range(-1, 2)) b"""
+
+
+def _best(name: str, radius: int, where: str = "true") -> str:
+    """The eight nearest samples of each cell."""
+    return f"""{name}_near AS (
+  SELECT ix, iy, point_id AS id, z AS value, (r.x - c.x) * (r.x - c.x) + (r.y - c.y) * (r.y - c.y) AS d2
+  FROM ({_AROUND}) r JOIN (SELECT *, x // 100 AS jx, (10000 - y) // 100 AS jy FROM cloud WHERE {where}) c USING (jx, jy)),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d2, id) AS k FROM {name}_near WHERE d2 <= {radius * radius}) WHERE k <= 8)"""
+
+
+_NEAR = ", " + _best("best", 100)
 
 
 def _samples(t: Tables) -> DataFrame:
@@ -451,14 +524,7 @@ def nearest_surface(t: Tables) -> DataFrame:
     return rasters.nearest_value(t.raster, _samples(t), 100)
 
 
-def _surface(name: str, code: int, radius: int) -> str:
-    return f"""{name}_near AS (
-  SELECT ix, iy, point_id AS id, z AS value, (r.x - c.x) * (r.x - c.x) + (r.y - c.y) * (r.y - c.y) AS d2
-  FROM raster r JOIN cloud c ON c.classification = {code} AND c.x BETWEEN r.x - {radius} AND r.x + {radius} AND c.y BETWEEN r.y - {radius} AND r.y + {radius}),
-{name}_best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ix, iy ORDER BY d2, id) AS k FROM {name}_near WHERE d2 <= {radius * radius}) WHERE k <= 8)"""
-
-
-@query("build_surface", f""", {_surface('g', 2, 100)}, {_surface('b', 6, 50)},
+@query("build_surface", f""", {_best('g_best', 100, 'classification = 2')}, {_best('b_best', 50, 'classification = 6')},
 g AS (SELECT ix, iy, round(CASE WHEN min(d2) = 0 THEN min_by(value, (d2, id)) ELSE sum(value / d2) FILTER (d2 > 0) / sum(1e0 / d2) FILTER (d2 > 0) END, 4) AS ground FROM g_best GROUP BY ix, iy),
 b AS (SELECT ix, iy, max(value)::DOUBLE AS building FROM b_best GROUP BY ix, iy)
 SELECT r.ix, r.iy, g.ground, b.building FROM raster r LEFT JOIN g USING (ix, iy) LEFT JOIN b USING (ix, iy)""")
@@ -496,8 +562,9 @@ def coalesce_surface(t: Tables) -> DataFrame:
     return rasters.coalesce_surface(t.raster, "building", "ground", "surface").select("ix", "iy", "surface")
 
 
-@query("smooth_edges", """, edge AS (SELECT DISTINCT a.ix, a.iy FROM raster a JOIN raster b ON abs(a.ix - b.ix) + abs(a.iy - b.iy) = 1 WHERE a.ground IS NOT NULL AND b.ground IS NULL),
-mean AS (SELECT e.ix, e.iy, avg(r.ground) AS m FROM edge e JOIN raster r ON abs(e.ix - r.ix) <= 1 AND abs(e.iy - r.iy) <= 1 GROUP BY ALL)
+@query("smooth_edges", f""", moved AS ({_AROUND}),
+beside AS (SELECT m.ix, m.iy, abs(m.jx - m.ix) + abs(m.jy - m.iy) AS far, r.ground FROM moved m JOIN raster r ON r.ix = m.jx AND r.iy = m.jy),
+mean AS (SELECT ix, iy, avg(ground) AS m FROM beside GROUP BY ALL HAVING bool_or(far = 0 AND ground IS NOT NULL) AND bool_or(far = 1 AND ground IS NULL))
 SELECT ix, iy, round(coalesce(m, ground), 4) AS ground FROM raster LEFT JOIN mean USING (ix, iy)""")
 def smooth_edges(t: Tables) -> DataFrame:
     return rasters.smooth_edges(t.raster.select("ix", "iy", "ground")).select("ix", "iy", *_round("ground"))

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .textbuf import buffers, lean, small_batches, spans, trim
 
 ORDER = 3
-#: The bound of the training sample: so many documents of a language, and so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: The bound of the training sample: so many whole documents of a language, and so many bytes of all of them together.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 2 << 20
 #: Numbers in the table of code lengths, of 4 bytes each.
 TABLE_CELLS = 4_000_000
 #: A text whose best code takes more bits a byte than this, its own length, is in none of the learned languages.
@@ -136,20 +136,26 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Train on labelled rows whose ``crc32(doc_id) mod 4`` isn't 2, at most ``SAMPLE_DOCS`` of a language.
+    """Train on labelled rows whose ``crc32(doc_id) mod 4`` isn't 2, in a sample of whole texts.
 
-    The rows of a language are chosen by a hash of their doc_id. Without labelled rows the model has no language.
+    The rows of a language are taken by a hash of their doc_id, ``SAMPLE_DOCS`` at most, as long as their texts have
+    ``SAMPLE_BYTES`` together; texts longer than an eighth of that come last, and the first one is taken in any case.
+    Without labelled rows the model has no language.
     """
-    rows = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = docs.where("doc_id is not null and lang is not null and text is not null").where(~held_out()).select("lang", "text", F.xxhash64("doc_id").alias("_h"), F.octet_length("text").cast("long").alias("_n"))
+    rows = rows.withColumn("_long", F.col("_n") > SAMPLE_BYTES // 8)
+    counts = {(r.lang, r._long): r.n for r in rows.groupBy("lang", "_long").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model.train({})
     # a little more than the sample by threshold, so that no window sees all rows of a language
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, (2.0 * SAMPLE_DOCS + 100) / n)))])
-    some = rows.where(F.pmod("_h", F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    first = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_k") <= SAMPLE_DOCS)
+    share = F.create_map(*[x for (lang, long), n in counts.items() for x in (F.concat_ws(" ", F.lit(long).cast("string"), F.lit(lang)), F.lit(min(1.0, (50.0 if long else 2.0 * SAMPLE_DOCS + 100) / n)))])
+    some = rows.where(F.pmod("_h", F.lit(1 << 30)) < share[F.concat_ws(" ", F.col("_long").cast("string"), "lang")] * (1 << 30))
+    by = Window.partitionBy("lang").orderBy("_long", "_h", "_n", F.xxhash64("text"))
+    first = some.withColumn("_k", F.row_number().over(by)).where(F.col("_k") <= SAMPLE_DOCS)
+    upto = F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = first.withColumn("_upto", upto).where((F.col("_k") == 1) | (F.col("_upto") <= SAMPLE_BYTES))
     samples: dict[str, list[str]] = {}
-    for r in first.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "text").collect():
+    for r in first.select("lang", "text").orderBy("lang", "text").collect():
         samples.setdefault(r.lang, []).append(r.text)
     model = Model.train(samples)
     trim()

@@ -80,6 +80,21 @@ def test_language_of_held_out_rows_and_odd_rows(spark):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_sample_is_of_whole_texts_and_bounded(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(ppm_langid, "SAMPLE_BYTES", 4000)
+    monkeypatch.setattr(ppm_langid, "SAMPLE_DOCS", 20)
+    monkeypatch.setattr(ppm_langid.Model, "train", staticmethod(lambda samples: seen.update(samples) or ppm_langid.Model([], [], None, None)))
+    rng = random.Random(6)
+    texts = [prose(rng, rng.choice([5, 40])) for _ in range(400)] + ["word " * 2000] * 5 + ["mot " * 3000] * 9
+    langs = ["en" if i < 200 else "de" if i < 400 else "en" if i < 405 else "fr" for i in range(414)]
+    ppm_langid.fit(documents(spark, texts, dict(enumerate(langs))))
+    assert set(seen) == {"en", "de", "fr"} and set().union(*seen.values()) <= set(texts)
+    for lang in ("en", "de"):
+        assert 10 <= len(seen[lang]) <= 20 and sum(map(len, seen[lang])) <= 4000
+    assert seen["fr"] == ["mot " * 3000]
+
+
 PAGE = """<!DOCTYPE html><html lang=en><head><title>No</title><style>p{margin:0}</style><script>var t="</p><p>no";</script></head>
 <body class="has-sidebar"><header><h2>Site</h2></header><nav><ul><li><a href="/a">Menu</a></li></ul></nav><!-- <p>no</p> -->
 <div class="cookie-notice">We use the cookies of this site.</div><form>Search <button>Go</button></form>

@@ -2,9 +2,10 @@
 
 Every shard owns ``vnodes`` points on a ring of 2**32 positions; a row belongs to the first point clockwise of the hash of
 its doc_id. A shard takes the rows of its arcs, in ring order, until its load reaches ``(1 + slack)`` times the mean; what
-is left of its arcs goes on clockwise, to the next points whose shards have room. Rows within an arc stay in the order of
-their positions, so a plan is a list of ranges of running bytes within arcs. It is made from one sum for each arc, of which
-there are ``shards * vnodes`` whatever the size of the table; rows then find their range without leaving their arc.
+is left of its arcs goes on clockwise, to the next points whose shards have room. A plan is a list of ranges of running
+bytes within arcs. It is made from one sum for each arc, of which there are ``shards * vnodes`` whatever the size of the
+table. Arcs are cut into ``PARTS`` parts by a hash of doc_id and text, as one doc_id may have a third of all rows; rows are
+in the order of their positions within a part, and find their range without leaving it.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import order
 from ..plans.scratch import Scratch
 
 SHARDS, VNODES, SLACK = 24, 128, 0.001
+#: Parts of an arc.
+PARTS = 32
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -64,29 +67,34 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: fl
 
     ``size`` is the text's UTF-8 bytes plus 8, 8 for a null text. The law is ``bytes``: no shard exceeds ``1 + slack`` times
     the mean by more than two rows. ``slot`` counts a shard's rows without gaps, in ring order; ``grown_shard`` is null, as
-    loads decide where a row goes. Rows that repeat follow each other; a null doc_id has a position like any other.
+    loads decide where a row goes. Rows that repeat follow each other; a null doc_id has a position like any other. Rows are
+    written and the ring is planned when this is called.
     """
     scratch = Scratch(docs.sparkSession, "ring")
     points = ring(shards, vnodes)
     position = F.pmod(F.xxhash64("doc_id"), F.lit(2**32))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    rows = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), position.alias("position"))
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"), position.alias("position"), F.pmod(F.xxhash64("doc_id", crc, F.lit(1)), F.lit(PARTS)).cast("int").alias("part"))
     # the arc of a point holds the positions above the point before it, up to its own
     rows = scratch.table(rows.withColumn("arc", F.pmod(order.bucket(F.col("position") - 1, [p for p, _ in points]), F.lit(len(points)))), "rows")
-    loads = {r.arc: r.load for r in rows.groupBy("arc").agg(F.sum("size").alias("load")).collect()}
+    cells = rows.groupBy("arc", "part").agg(F.sum("size").alias("load"))
+    loads = {r.arc: r.load for r in cells.groupBy("arc").agg(F.sum("load").alias("load")).collect()}
     ranges = plan(loads, [s for _, s in points], shards, slack)
     spark = docs.sparkSession
     kind = "array<struct<arc: int, lo: bigint, hi: bigint, shard: int>>"
     text = json.dumps([dict(zip(("arc", "lo", "hi", "shard"), r, strict=True)) for r in ranges])
     ranges_df = spark.range(1).select(F.inline(F.from_json(F.lit(text), kind)))
-    ahead = Window.partitionBy("arc").orderBy("position", "doc_id", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select("arc", "part", F.coalesce(F.sum("load").over(upto(Window.partitionBy("arc").orderBy("part"))), F.lit(0)).alias("before"))  # PARTS rows an arc at most
+    ahead = F.sum("size").over(upto(Window.partitionBy("arc", "part").orderBy("position", "doc_id", "text_crc32")))
+    rows = rows.withColumn("ahead", F.coalesce(ahead, F.lit(0))).join(F.broadcast(before), ["arc", "part"]).withColumn("begin", F.col("before") + F.col("ahead"))
     rows = rows.join(F.broadcast(ranges_df), "arc").where("begin >= lo and begin < hi")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("arc", "lo").orderBy("begin")))
-    rows = scratch.table(rows.select("doc_id", "size", "text_crc32", "shard", "arc", "lo", "k"), "dealt")
-    parts = rows.groupBy("shard", "arc", "lo").agg(F.count("*").alias("n"))  # one row for each range
-    base = parts.select("shard", "arc", "lo", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("arc", "lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = rows.join(F.broadcast(base), ["shard", "arc", "lo"])
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("arc", "part", "lo").orderBy("begin")))
+    rows = scratch.table(rows.select("doc_id", "size", "text_crc32", "shard", "arc", "lo", "part", "k"), "dealt")
+    parts = rows.groupBy("shard", "arc", "lo", "part").agg(F.count("*").alias("n"))
+    base = parts.select("shard", "arc", "lo", "part", F.coalesce(F.sum("n").over(upto(Window.partitionBy("shard").orderBy("arc", "lo", "part"))), F.lit(0)).alias("base"))
+    rows = rows.join(F.broadcast(base), ["shard", "arc", "lo", "part"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("k") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 

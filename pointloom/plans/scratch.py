@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, on one machine, one of our own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
@@ -18,17 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     made = sc._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="pointloom-")
     sc.setCheckpointDir(own)
     return own
 
 
 class Scratch:
-    """Intermediate tables of one operator run; ``drop()`` removes those that are used up."""
+    """Intermediate tables of one operator run; ``drop()`` removes those that are used up, the application's end all others."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
         self._paths: dict[int, str] = {}
         self._count = 0
 

@@ -31,7 +31,8 @@ def min_bounding_rectangle(xy: np.ndarray) -> tuple[np.ndarray, float, float, np
     u = np.outer(cos, hull[:, 0]) + np.outer(sin, hull[:, 1])
     v = np.outer(cos, hull[:, 1]) - np.outer(sin, hull[:, 0])
     wide, high = np.ptp(u, axis=1), np.ptp(v, axis=1)
-    k = int(np.argmin(wide * high))
+    area = wide * high  # of rectangles of one area, the narrowest
+    k = int(np.argmin(np.where(area <= area.min() * (1 + 1e-9), np.minimum(wide, high), np.inf)))
     c, s = cos[k], sin[k]
     a, b, lo, hi = u[k].min(), u[k].max(), v[k].min(), v[k].max()
     corners = np.array([[x * c - y * s, x * s + y * c] for x, y in ((a, lo), (b, lo), (b, hi), (a, hi))])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import segment_distance2
 from ..plans.scratch import Scratch
 
 
@@ -54,11 +55,32 @@ def held_by(shapes: DataFrame, exact: Column, size, grow=0, x: str = "x", y: str
     return boxes.where(own & exact).exists()
 
 
+def corridor(segments: DataFrame, distance, close, cell) -> DataFrame:
+    """Cells ``cx, cy`` within ``distance`` of ``segments(ax, ay, ex, ey)``, and those of gaps between them up to ``2 * close`` wide.
+
+    Cells around the segments are grown by both distances and shrunk by ``close``: one goes if a cell outside lies within
+    ``close`` of it, by their centres.
+    """
+    wide = distance + close
+    boxes = segments.select("ax", "ay", "ex", "ey", F.least("ax", "ex").alias("x_min"), F.greatest("ax", "ex").alias("x_max"), F.least("ay", "ey").alias("y_min"), F.greatest("ay", "ey").alias("y_max"))
+    x, y = ((F.col(c) + 0.5) * cell for c in ("_bx", "_by"))
+    grown = binned_boxes(boxes, cell, wide).where(segment_distance2(x, y, F.col("ax"), F.col("ay"), F.col("ex"), F.col("ey")) <= wide * wide)
+    grown = grown.select(F.col("_bx").alias("cx"), F.col("_by").alias("cy")).distinct()
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
+    rim = grown.withColumn("s", F.explode(steps)).select((F.col("cx") + F.col("s.a")).alias("cx"), (F.col("cy") + F.col("s.b")).alias("cy")).distinct().join(grown, ["cx", "cy"], "left_anti")
+    centre = lambda df: df.withColumn("x", (F.col("cx") + 0.5) * cell).withColumn("y", (F.col("cy") + 0.5) * cell)
+    edge = neighbours(centre(grown), centre(rim).select("x", "y"), close, ("x", "y"), how="left_semi").select("cx", "cy").distinct()
+    return grown.join(edge, ["cx", "cy"], "left_anti")
+
+
 def neighbours(left: DataFrame, right: DataFrame, radius, dims: tuple[str, ...] = ("x", "y", "z"), how: str = "inner", extra: Column | None = None) -> DataFrame:
     """Pairs of a ``left`` row (alias ``l``) and a ``right`` row (alias ``r``) at most ``radius`` apart, with ``d2``.
 
-    The left side is copied to the bins around its own, the right side stays in one bin.
+    The left side is copied to the bins around its own, the right side stays in one bin. With ``left_semi`` a left row comes
+    back from each of its copies that has a neighbour.
     """
+    if how not in ("inner", "left_semi"):
+        raise ValueError("a copy without a neighbour says nothing of its row")
     a, b = left, right
     for d in dims:
         own = bin_of(F.col(d), radius)
@@ -72,7 +94,7 @@ def neighbours(left: DataFrame, right: DataFrame, radius, dims: tuple[str, ...]
     if extra is not None:
         on = on & extra
     out = a.join(b, on, how)
-    return out if how in ("left_semi", "left_anti") else out.withColumn("d2", d2)
+    return out if how == "left_semi" else out.withColumn("d2", d2)
 
 
 def nearest(left: DataFrame, right: DataFrame, key: list[str], tie: str, radius, k: int, dims: tuple[str, ...] = ("x", "y"), keep: tuple[str, ...] = (), carry: tuple[str, ...] = (), extra: Column | None = None) -> DataFrame:

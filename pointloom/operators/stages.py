@@ -318,7 +318,8 @@ class Cable:
     """Overhead cables, tram cables and the lights that hang from them.
 
     Points in the height band and outside of buildings that lie on lines are clustered, grown, merged along catenaries and
-    kept if long enough. A cable near tram tracks and low enough is a tram cable. Without candidates nothing changes.
+    kept if long enough. A cable over the corridor of the tram tracks ``(ax, ay, ex, ey)``, gaps between them closed, and low
+    enough is a tram cable. Without candidates nothing changes.
     """
 
     scratch: Scratch
@@ -339,6 +340,8 @@ class Cable:
     min_length: float = 3
     tram_height: float = 7.5
     tram_distance: float = 2.5
+    tram_gap: float = 5.6
+    tram_cell: float = 0.2
     min_sag: float = 2
     light: dict = field(default_factory=lambda: {"width": (0.2, 1.0), "height": (0.15, 1.0), "offset": 0.2})
     sag_span: float = 2
@@ -411,8 +414,8 @@ class Cable:
         tram = None
         if self.tracks is not None:
             low = shapes.heights(found, ["tile", "cluster_id"]).join(found.groupBy("tile", "cluster_id").agg(F.min(F.col("z") - F.col("ground")).alias("clear")), ["tile", "cluster_id"]).where(F.col("clear") < self.tram_height)
-            x, y = F.col("p.x"), F.col("p.y")
-            near = spatial.points_in_shapes(found, self.tracks, G.near_ring(x, y, F.col("s.ring"), self.tram_distance), self.bin, "left_semi", self.tram_distance)
+            lane = spatial.corridor(self.tracks, self.tram_distance, self.tram_gap / 2, self.tram_cell)
+            near = found.join(lane, (spatial.bin_of(F.col("x"), self.tram_cell) == F.col("cx")) & (spatial.bin_of(F.col("y"), self.tram_cell) == F.col("cy")), "left_semi")
             tram = found.join(near.join(low, ["tile", "cluster_id"], "left_semi").select("tile", "cluster_id").distinct(), ["tile", "cluster_id"], "left_semi")
         out = _set_ids(points, found, self.label, _free())
         if tram is not None:

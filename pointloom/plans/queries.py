@@ -335,7 +335,7 @@ def principal_axis_2d(t: Tables) -> DataFrame:
     return shapes.axis_2d(t.cloud.join(big, "cluster_id", "left_semi"), ["cluster_id"]).select("cluster_id", F.round("cxy", 2).alias("cxy"), *_round("angle"))
 
 
-# eigenvalues of a symmetric matrix by the cubic's three real roots, and the axis of the largest as the longest cross product
+# eigenvalues of a symmetric matrix by the cubic's three real roots, and the axis of one as the longest cross product
 _EIGEN = """
 eigen_a AS (SELECT *, (xx + yy + zz) / 3 AS q, xy * xy + xz * xz + yz * yz AS p1 FROM sums),
 eigen_b AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * p1) / 6) AS p FROM eigen_a),
@@ -345,14 +345,30 @@ eigen_d AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi()
 eigen AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM eigen_d),
 crossed AS (
   SELECT *, unnest([
-    {'x': xy * yz - xz * (yy - l1), 'y': xz * xy - (xx - l1) * yz, 'z': (xx - l1) * (yy - l1) - xy * xy},
-    {'x': xy * (zz - l1) - xz * yz, 'y': xz * xz - (xx - l1) * (zz - l1), 'z': (xx - l1) * yz - xy * xz},
-    {'x': (yy - l1) * (zz - l1) - yz * yz, 'y': yz * xz - xy * (zz - l1), 'z': xy * yz - (yy - l1) * xz}]) AS v FROM eigen),
+    {'x': xy * yz - xz * (yy - L), 'y': xz * xy - (xx - L) * yz, 'z': (xx - L) * (yy - L) - xy * xy},
+    {'x': xy * (zz - L) - xz * yz, 'y': xz * xz - (xx - L) * (zz - L), 'z': (xx - L) * yz - xy * xz},
+    {'x': (yy - L) * (zz - L) - yz * yz, 'y': yz * xz - xy * (zz - L), 'z': xy * yz - (yy - L) * xz}]) AS v FROM eigen),
 longest AS (SELECT id, max_by(v, v.x * v.x + v.y * v.y + v.z * v.z) AS v FROM crossed GROUP BY id)"""
+
+
+def _eigen(which: str) -> str:
+    return _EIGEN.replace(" L)", f" {which})")
+
+
 _COVARIANCE = ", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
 
 
-@query("principal_axis_3d", f""", sums AS (SELECT cluster_id AS id, {_COVARIANCE} FROM cloud GROUP BY cluster_id HAVING count(*) > 3), {_EIGEN},
+def _neighbourhoods(radius: int, most: int) -> str:
+    """Covariances of the nearest points of each point, by equality on cells of the radius."""
+    step = "(SELECT range AS d FROM range(-1, 2))"
+    return f"""own AS (SELECT tile, point_id, x, y, z, x // {radius} AS jx, y // {radius} AS jy, z // {radius} AS jz FROM cloud),
+moved AS (SELECT tile, point_id, x, y, z, jx + a.d AS jx, jy + b.d AS jy, jz + c.d AS jz FROM own, {step} a, {step} b, {step} c),
+near AS (SELECT m.point_id AS id, o.point_id AS other, o.x, o.y, o.z, (m.x - o.x) * (m.x - o.x) + (m.y - o.y) * (m.y - o.y) + (m.z - o.z) * (m.z - o.z) AS d2 FROM moved m JOIN own o USING (tile, jx, jy, jz)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM near WHERE d2 <= {radius * radius}) WHERE k <= {most}),
+sums AS (SELECT id, count(*) AS n, {_COVARIANCE} FROM best GROUP BY id HAVING count(*) > 2)"""
+
+
+@query("principal_axis_3d", f""", sums AS (SELECT cluster_id AS id, {_COVARIANCE} FROM cloud GROUP BY cluster_id HAVING count(*) > 3), {_eigen("l1")},
 unit AS (SELECT id, v.x / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS x, v.y / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS y, v.z / sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS z FROM longest)
 SELECT id AS cluster_id, round(l1, 0) AS l1, round(l2, 0) AS l2, round(l3, 0) AS l3, round(CASE WHEN x < 0 THEN -x ELSE x END, 4) AS ax, round(CASE WHEN x < 0 THEN -y ELSE y END, 4) AS ay, round(CASE WHEN x < 0 THEN -z ELSE z END, 4) AS az
 FROM eigen JOIN unit USING (id)""")
@@ -362,14 +378,9 @@ def principal_axis_3d(t: Tables) -> DataFrame:
     return out.select("cluster_id", *[F.round(F.get("eigenvalues", k), 0).alias(f"l{k + 1}") for k in range(3)], *[F.round(F.get("axis", k), 4).alias(f"a{c}") for k, c in enumerate("xyz")])
 
 
-@query("linearity", f""", own AS (SELECT tile, point_id, x, y, z, x // 300 AS jx, y // 300 AS jy, z // 300 AS jz FROM cloud),
-moved AS (SELECT tile, point_id, x, y, z, jx + a.d AS jx, jy + b.d AS jy, jz + c.d AS jz FROM own, (SELECT range AS d FROM range(-1, 2)) a, (SELECT range AS d FROM range(-1, 2)) b, (SELECT range AS d FROM range(-1, 2)) c),
-near AS (
-  SELECT m.point_id AS id, o.point_id AS other, o.x, o.y, o.z, (m.x - o.x) * (m.x - o.x) + (m.y - o.y) * (m.y - o.y) + (m.z - o.z) * (m.z - o.z) AS d2 FROM moved m JOIN own o USING (tile, jx, jy, jz)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS k FROM near WHERE d2 <= 90000) WHERE k <= 50),
-sums AS (SELECT id, count(*) AS n, {_COVARIANCE} FROM best GROUP BY id HAVING count(*) > 3), {_EIGEN}
+@query("linearity", f""", {_neighbourhoods(300, 50)}, {_eigen("l1")}
 SELECT id AS point_id, round((l1 - l2) / l1, 3) AS linearity, round(degrees(atan2(sqrt(v.x * v.x + v.y * v.y), abs(v.z))), 1) AS vertical_angle, round(greatest(l3, 0) / (l1 + l2 + l3), 3) AS curvature
-FROM eigen JOIN longest USING (id)""")
+FROM eigen JOIN longest USING (id) WHERE n > 3""")
 def linearity(t: Tables) -> DataFrame:
     """Features of points with more than three neighbours, as three span a plane and make two equal eigenvalues likely."""
     out = shapes.local_features(t.cloud, 300).where("neighbours > 3")
@@ -392,11 +403,11 @@ def rank_clusters(t: Tables) -> DataFrame:
 # ---- geometry
 
 # a hull's edges: pairs of places with all others on one side, or on the line between them
-_HULLS = """, places AS (SELECT DISTINCT cluster_id, x, y FROM cloud),
-edges AS (
+_EDGES = """edges AS (
   SELECT a.cluster_id, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM places a JOIN places b ON a.cluster_id = b.cluster_id AND (a.x <> b.x OR a.y <> b.y) JOIN places c ON c.cluster_id = a.cluster_id
   GROUP BY ALL
   HAVING bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x) AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0)))"""
+_HULLS = f", places AS (SELECT DISTINCT cluster_id, x, y FROM cloud),\n{_EDGES}"
 
 
 @query("convex_hulls", _HULLS + "\nSELECT cluster_id, coalesce(sum(ax * ey - ex * ay) / 2e0, 0) AS area, greatest(1, count(ax)) AS corners FROM (SELECT DISTINCT cluster_id FROM cloud) LEFT JOIN edges USING (cluster_id) GROUP BY cluster_id")
@@ -552,9 +563,13 @@ def raster_gaps(t: Tables) -> DataFrame:
     return rasters.gaps(missing, Scratch(t.spark, "gaps"), GRID.nx, 5)
 
 
-@query("fill_gaps")
+@query("fill_gaps", """, moved AS (SELECT ix, iy, ix + a.d AS jx, iy + b.d AS jy, a.d * a.d + b.d * b.d AS d2 FROM raster, (SELECT range AS d FROM range(-4, 5)) a, (SELECT range AS d FROM range(-4, 5)) b WHERE ground IS NULL),
+best AS (SELECT * FROM (SELECT m.ix, m.iy, d2, r.ground, row_number() OVER (PARTITION BY m.ix, m.iy ORDER BY d2, r.iy * 100 + r.ix) AS k FROM moved m JOIN raster r ON r.ix = jx AND r.iy = jy WHERE d2 <= 16 AND r.ground IS NOT NULL) WHERE k <= 8),
+filled AS (SELECT ix, iy, sum(ground / d2) / sum(1e0 / d2) AS value FROM best GROUP BY ix, iy)
+SELECT ix, iy, round(coalesce(ground, value), 4) AS ground FROM raster LEFT JOIN filled USING (ix, iy)""")
 def fill_gaps(t: Tables) -> DataFrame:
-    return rasters.fill_gaps(t.raster, Scratch(t.spark, "fill"), GRID, "ground").select("ix", "iy", "ground")
+    """The raster's gaps are single cells, so all of them are filled from within the reach."""
+    return rasters.fill_gaps(t.raster, Scratch(t.spark, "fill"), GRID, "ground").select("ix", "iy", *_round("ground"))
 
 
 @query("coalesce_surface", "\nSELECT ix, iy, coalesce(building, ground) AS surface FROM raster")
@@ -657,7 +672,16 @@ def layered_lcc(t: Tables) -> DataFrame:
     return clusters.grow_in_layers(some, 30, layers, Scratch(t.spark, "layers"), reset_noise=True).select("point_id", "label")
 
 
-@query("region_grow_normals")
+@query("region_grow_normals", f""", {_neighbourhoods(400, 30)}, {_eigen("l3")},
+shape AS (
+  SELECT c.tile, c.point_id, c.x, c.y, c.z, c.code, coalesce(v.x / sqrt(v.x * v.x + v.y * v.y + v.z * v.z), 0) AS nx, coalesce(v.y / sqrt(v.x * v.x + v.y * v.y + v.z * v.z), 0) AS ny, coalesce(v.z / sqrt(v.x * v.x + v.y * v.y + v.z * v.z), 1) AS nz
+  FROM cloud c LEFT JOIN longest ON id = c.point_id),
+nearest AS (
+  SELECT a.point_id AS u, unnest(min(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) * 10000000000 + b.point_id, 15)) % 10000000000 AS v
+  FROM cloud a JOIN cloud b USING (tile) GROUP BY a.point_id),
+edges AS (SELECT u, v FROM nearest JOIN shape a ON a.point_id = u JOIN shape b ON b.point_id = v WHERE abs(a.nx * b.nx + a.ny * b.ny + a.nz * b.nz) > cos(radians(20))),
+reach AS (SELECT point_id FROM cloud WHERE code = 10 UNION SELECT e.v FROM reach r JOIN edges e ON e.u = r.point_id)
+SELECT point_id FROM reach""", recursive=True)
 def region_grow_normals(t: Tables) -> DataFrame:
     """Points that seeds reach over neighbours whose normals differ by less than 20 degrees."""
     scratch = Scratch(t.spark, "normals")
@@ -727,12 +751,46 @@ def car_candidates(t: Tables) -> DataFrame:
 _LIMITS = stages.Limits(100, 1200, 20, 400, 60, 900)
 
 
-@query("car_fuser")
+# components of an object's size with their smallest rectangles, as stages.shaped finds them
+_SHAPED = f"""{_components('cloud', 150)},
+own AS (SELECT p.point_id, p.tile, p.x, p.y, p.z, p.ground, component_id FROM parts JOIN points p USING (point_id) WHERE size >= 3),
+high AS (SELECT component_id, any_value(tile) AS tile, avg(ground) AS ground_z FROM own GROUP BY component_id HAVING max(z) - avg(ground) BETWEEN 100 AND 1200),
+places AS (SELECT DISTINCT component_id AS cluster_id, x, y FROM own WHERE component_id IN (SELECT component_id FROM high)),
+{_EDGES}, {_BOXES},
+fit AS (
+  SELECT b.*, tile, ground_z, ((u0 + u1) / 2 * dx - (v0 + v1) / 2 * dy) / l2 AS mx, ((u0 + u1) / 2 * dy + (v0 + v1) / 2 * dx) / l2 AS my FROM boxes b JOIN high ON component_id = cluster_id
+  WHERE least(u1 - u0, v1 - v0) / sqrt(l2) > 20 AND least(u1 - u0, v1 - v0) / sqrt(l2) < 400 AND greatest(u1 - u0, v1 - v0) / sqrt(l2) > 60 AND greatest(u1 - u0, v1 - v0) / sqrt(l2) < 900)"""
+
+
+# what a rectangle shares with a square: the polygon of corners of one in the other and of crossings of their edges
+@query("car_fuser", f""", {_SHAPED},
+corners AS (
+  SELECT cluster_id, dx, dy, l2, u0, u1, v0, v1, nth, (u * dx - v * dy) / l2 AS x, (u * dy + v * dx) / l2 AS y
+  FROM (SELECT *, unnest([u0, u1, u1, u0]) AS u, unnest([v0, v0, v1, v1]) AS v, unnest([0, 1, 2, 3]) AS nth FROM fit)),
+sides AS (SELECT a.*, b.x AS tx, b.y AS ty FROM corners a JOIN corners b ON b.cluster_id = a.cluster_id AND b.nth = (a.nth + 1) % 4),
+extent AS (SELECT cluster_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM corners GROUP BY cluster_id),
+near AS (SELECT cluster_id, f.footprint_id, f.x_min, f.x_max, f.y_min, f.y_max FROM extent JOIN footprints f ON f.type NOT IN ('fietspad', 'voetpad') AND x0 < f.x_max AND x1 > f.x_min AND y0 < f.y_max AND y1 > f.y_min),
+shared AS (
+  SELECT n.cluster_id, footprint_id, c.x, c.y FROM near n JOIN corners c USING (cluster_id) WHERE c.x BETWEEN x_min AND x_max AND c.y BETWEEN y_min AND y_max
+  UNION ALL SELECT cluster_id, footprint_id, q.x, q.y FROM (SELECT cluster_id, footprint_id, unnest([{{'x': x_min, 'y': y_min}}, {{'x': x_max, 'y': y_min}}, {{'x': x_max, 'y': y_max}}, {{'x': x_min, 'y': y_max}}]) AS q FROM near) JOIN fit USING (cluster_id)
+    WHERE q.x * dx + q.y * dy BETWEEN u0 AND u1 AND q.y * dx - q.x * dy BETWEEN v0 AND v1
+  UNION ALL SELECT n.cluster_id, footprint_id, wall, s.y + (wall - s.x) / (s.tx - s.x) * (s.ty - s.y) AS cut FROM (SELECT *, unnest([x_min, x_max]) AS wall FROM near) n JOIN sides s USING (cluster_id) WHERE wall > least(s.x, s.tx) AND wall < greatest(s.x, s.tx) AND s.y + (wall - s.x) / (s.tx - s.x) * (s.ty - s.y) BETWEEN y_min AND y_max
+  UNION ALL SELECT n.cluster_id, footprint_id, s.x + (wall - s.y) / (s.ty - s.y) * (s.tx - s.x) AS cut, wall FROM (SELECT *, unnest([y_min, y_max]) AS wall FROM near) n JOIN sides s USING (cluster_id) WHERE wall > least(s.y, s.ty) AND wall < greatest(s.y, s.ty) AND s.x + (wall - s.y) / (s.ty - s.y) * (s.tx - s.x) BETWEEN x_min AND x_max),
+middle AS (SELECT cluster_id, footprint_id, avg(x) AS ox, avg(y) AS oy FROM shared GROUP BY ALL),
+turned_round AS (SELECT cluster_id, footprint_id, x - ox AS x, y - oy AS y, atan2(y - oy, x - ox) AS angle FROM shared JOIN middle USING (cluster_id, footprint_id)),
+next_round AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, first(x) OVER w AS fx, first(y) OVER w AS fy FROM turned_round WINDOW w AS (PARTITION BY cluster_id, footprint_id ORDER BY angle)),
+area AS (SELECT cluster_id, footprint_id, sum(x * coalesce(ny, fy) - y * coalesce(nx, fx)) / 2 AS area FROM next_round GROUP BY ALL),
+cars AS (SELECT * FROM fit WHERE cluster_id IN (SELECT cluster_id FROM area JOIN fit USING (cluster_id) WHERE 100 * area / ((u1 - u0) * ((v1 - v0) / l2)) > 20)),
+hit AS (
+  SELECT DISTINCT p.point_id FROM cars c JOIN points p ON p.tile = c.tile AND p.x BETWEEN c.mx - 1000 AND c.mx + 1000 AND p.x * dx + p.y * dy BETWEEN u0 AND u1 AND p.y * dx - p.x * dy BETWEEN v0 AND v1 AND p.z BETWEEN ground_z AND ground_z + 1200)
+SELECT point_id, CASE WHEN point_id IN (SELECT point_id FROM hit) THEN 40 ELSE 0 END AS label FROM cloud""", recursive=True)
 def car_fuser(t: Tables) -> DataFrame:
     return stages.Car(t.footprints, Scratch(t.spark, "car"), _LIMITS, size=150, min_size=3, bin=300)(t.points).select("point_id", "label")
 
 
-@query("furniture_fuser")
+@query("furniture_fuser", f""", {_SHAPED},
+near AS (SELECT DISTINCT cluster_id FROM fit JOIN objects o ON pow(mx - o.x, 2) + pow(my - o.y, 2) <= 90000)
+SELECT point_id, CASE WHEN component_id IN (SELECT cluster_id FROM near) THEN 80 ELSE 0 END AS label FROM cloud LEFT JOIN parts USING (point_id)""", recursive=True)
 def furniture_fuser(t: Tables) -> DataFrame:
     return stages.Furniture(t.objects, Scratch(t.spark, "furniture"), _LIMITS, L.CITY_BENCH, size=150, min_size=3, max_distance=300)(t.points).select("point_id", "label")
 
@@ -755,7 +813,17 @@ def pole_candidates(t: Tables) -> DataFrame:
     return stage.candidates(t.points, objects)
 
 
-@query("pole_fuser")
+@query("pole_fuser", ORACLE["pole_candidates"].split("WITH " + BASE)[1].replace("\nSELECT object_id, cx, cy FROM (", ",\nfound AS (SELECT object_id, cx, cy, b.g FROM (", 1).replace("WHERE k = 1 AND d2 <= 160000", "JOIN based b USING (object_id) WHERE k = 1 AND d2 <= 160000)") + """,
+slab AS (SELECT object_id, point_id, c.x, c.y, c.z, cx, cy, g FROM found JOIN cloud c ON c.x BETWEEN cx - 300 AND cx + 300 AND c.y BETWEEN cy - 300 AND cy + 300 AND pow(c.x - cx, 2) + pow(c.y - cy, 2) <= 90000 AND c.z BETWEEN g + 100 AND g + 1100),
+pairs AS (SELECT object_id, a.point_id AS u, b.point_id AS v FROM slab a JOIN slab b USING (object_id) WHERE a.point_id <> b.point_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 160000),
+reach AS (SELECT object_id, u AS c, u AS r FROM pairs UNION SELECT w.object_id, w.c, p.v FROM reach w JOIN pairs p ON p.object_id = w.object_id AND p.u = w.r),
+named AS (SELECT object_id, c AS point_id, min(r) AS cluster_id FROM reach GROUP BY object_id, c),
+circles AS (
+  SELECT object_id, cluster_id, avg(x) AS px, avg(y) AS py, greatest(max(x) - min(x), max(y) - min(y)) / 2e0 AS r, any_value(cx) AS cx, any_value(cy) AS cy, any_value(g) AS g, min(point_id) AS first_id
+  FROM slab JOIN named USING (object_id, point_id) GROUP BY object_id, cluster_id),
+pole AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY first_id) AS nth FROM circles WHERE r <= 400 AND pow(cx - px, 2) + pow(cy - py, 2) <= pow(r + 200, 2)) WHERE nth = 1),
+hit AS (SELECT DISTINCT point_id FROM pole JOIN cloud c ON c.x BETWEEN px - 601 AND px + 601 AND pow(c.x - px, 2) + pow(c.y - py, 2) <= pow(1.5e0 * r, 2) AND c.z <= g + 900)
+SELECT point_id, CASE WHEN point_id IN (SELECT point_id FROM hit) THEN 30 ELSE 0 END AS label FROM cloud""", recursive=True)
 def pole_fuser(t: Tables) -> DataFrame:
     stage, _ = _pole(t, "pole")
     return stage(t.points).select("point_id", "label")
@@ -772,7 +840,7 @@ def cable_fuser(t: Tables) -> DataFrame:
     scratch = Scratch(t.spark, "cable")
     filled = rasters.fill_ground(t.raster, scratch)
     points = rasters.lookup(t.points, filled, GRID, ["surface"])
-    return stages.Cable(scratch, t.footprints.where("type = 'pand'"), None, bottom=450, top=1200, offset=125, size=9, radius=400, linear=0.8, max_tilt=80, cluster_eps=200, grow=150, min_length=100, bin=300)(points).select("point_id", "label")
+    return stages.Cable(scratch, t.footprints.where("type = 'pand'"), t.lines, tram_height=900, tram_distance=100, tram_gap=200, tram_cell=50, bottom=450, top=1200, offset=125, size=9, radius=400, linear=0.8, max_tilt=80, cluster_eps=200, grow=150, min_length=100, bin=300)(points).select("point_id", "label")
 
 
 @query("cascade", f""", ground AS (SELECT *, CASE WHEN abs(z - ground) < 20 THEN 9 ELSE 0 END AS l1 FROM points),
@@ -785,3 +853,25 @@ def cascade(t: Tables) -> DataFrame:
     """Ground, road, noise and footprints, counted by tile."""
     steps = [stages.Ground(refine=False, epsilon=20), stages.Road(t.footprints, bin=300), stages.Noise(Scratch(t.spark, "noise"), epsilon=20, size=60, min_size=2), stages.Footprint(t.footprints, epsilon=20, bin=300)]
     return stages.cascade(t.points, steps).groupBy("tile", "label").agg(F.count("*").alias("n"), F.sum("point_id").alias("ids"))
+
+
+@query("points_by_stage", ORACLE["cascade"].split("WITH RECURSIVE " + BASE)[1].split("\nSELECT tile, l4")[0] + """,
+free_after AS (SELECT count(*) FILTER (l1 = 0) AS n1, count(*) FILTER (l2 = 0) AS n2, count(*) FILTER (l3 = 0) AS n3, count(*) FILTER (l4 = 0) AS n4, count(*) AS n0 FROM house)
+SELECT unnest([1, 2, 3, 4]) AS step, unnest(['Ground', 'Road', 'Noise', 'Footprint']) AS stage, unnest([n0 - n1, n1 - n2, n2 - n3, n3 - n4]) AS labelled FROM free_after""", recursive=True)
+def points_by_stage(t: Tables) -> DataFrame:
+    """How many points each stage of the cascade labels."""
+    report: list = []
+    steps = [stages.Ground(refine=False, epsilon=20), stages.Road(t.footprints, bin=300), stages.Noise(Scratch(t.spark, "noise"), epsilon=20, size=60, min_size=2), stages.Footprint(t.footprints, epsilon=20, bin=300)]
+    stages.cascade(t.points, steps, report=report)
+    return t.spark.createDataFrame([(k, name, n) for k, (name, n) in enumerate(report, 1)], "step int, stage string, labelled long")
+
+
+@query("tram_corridor", """, cells AS (SELECT a.range AS cx, b.range AS cy, (a.range + 0.5e0) * 100 AS x, (b.range + 0.5e0) * 100 AS y FROM range(-40, 140) a, range(-40, 140) b),
+spans AS (SELECT cx, cy, x, y, ax, ay, (ex - ax)::DOUBLE AS dx, (ey - ay)::DOUBLE AS dy FROM cells JOIN lines ON x BETWEEN x_min - 700 AND x_max + 700 AND y BETWEEN y_min - 700 AND y_max + 700),
+feet AS (SELECT *, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE greatest(0, least(1, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy))) END AS t FROM spans),
+grown AS (SELECT DISTINCT cx, cy, x, y FROM feet WHERE pow(x - (ax + t * dx), 2) + pow(y - (ay + t * dy), 2) <= 360000),
+rim AS (SELECT c.x, c.y, c.cx, c.cy FROM cells c WHERE (c.cx, c.cy) NOT IN (SELECT (cx, cy) FROM grown)),
+gone AS (SELECT DISTINCT g.cx, g.cy FROM grown g JOIN rim r ON r.cx BETWEEN g.cx - 4 AND g.cx + 4 AND r.cy BETWEEN g.cy - 4 AND g.cy + 4 WHERE pow(g.x - r.x, 2) + pow(g.y - r.y, 2) <= 160000)
+SELECT cx, cy FROM grown WHERE (cx, cy) NOT IN (SELECT (cx, cy) FROM gone)""")
+def tram_corridor(t: Tables) -> DataFrame:
+    return spatial.corridor(t.lines, 200, 400, 100)

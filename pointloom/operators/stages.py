@@ -313,12 +313,41 @@ class Pole:
         return _set_ids(points, hit, self.label)
 
 
+@dataclass(frozen=True)
+class Grow:
+    """Points in components with enough points of ``label`` take it; of points that have a class already, those with ``over`` do."""
+
+    scratch: Scratch
+    label: int
+    size: float = 0.1
+    min_size: int = 50
+    threshold: float = 0.1
+    over: tuple[int, ...] = ()
+
+    def __call__(self, points: DataFrame) -> DataFrame:
+        free = [L.UNKNOWN, *self.over]
+        return clusters.grow_by_components(points, self.label, self.size, self.min_size, self.threshold, self.scratch, F.col("label").isin(*free, self.label), F.col("label").isin(*free))
+
+
+@dataclass(frozen=True)
+class GrowInLayers:
+    """``Grow`` in height bands above ground, one after another; see ``clusters.grow_in_layers`` for a layer's fields."""
+
+    scratch: Scratch
+    label: int
+    layers: tuple[dict, ...]
+    reset_noise: bool = False
+
+    def __call__(self, points: DataFrame) -> DataFrame:
+        return clusters.grow_in_layers(points, self.label, list(self.layers), self.scratch, self.reset_noise, L.NOISE)
+
+
 @dataclass(frozen=True)
 class Cable:
     """Overhead cables, tram cables and the lights that hang from them.
 
     Points in the height band and outside of buildings that lie on lines are clustered, grown, merged along catenaries and
-    kept if long enough. A cable over the corridor of the tram tracks ``(ax, ay, ex, ey)``, gaps between them closed, and low
+    kept if long enough. A cable over the corridor of the tram tracks, gaps between them closed, and low
     enough is a tram cable. Without candidates nothing changes.
     """
 
@@ -414,7 +443,7 @@ class Cable:
         tram = None
         if self.tracks is not None:
             low = shapes.heights(found, ["tile", "cluster_id"]).join(found.groupBy("tile", "cluster_id").agg(F.min(F.col("z") - F.col("ground")).alias("clear")), ["tile", "cluster_id"]).where(F.col("clear") < self.tram_height)
-            lane = spatial.corridor(self.tracks, self.tram_distance, self.tram_gap / 2, self.tram_cell)
+            lane = spatial.corridor(_segments(self.tracks), self.tram_distance, self.tram_gap / 2, self.tram_cell)
             near = found.join(lane, (spatial.bin_of(F.col("x"), self.tram_cell) == F.col("cx")) & (spatial.bin_of(F.col("y"), self.tram_cell) == F.col("cy")), "left_semi")
             tram = found.join(near.join(low, ["tile", "cluster_id"], "left_semi").select("tile", "cluster_id").distinct(), ["tile", "cluster_id"], "left_semi")
         out = _set_ids(points, found, self.label, _free())
@@ -423,6 +452,15 @@ class Cable:
         return _set_ids(out, self.lights(found, points), self.light_label, F.col("label").isin(0, self.label, self.tram_label))
 
 
+def _segments(tracks: DataFrame) -> DataFrame:
+    """``ax, ay, ex, ey`` of tracks that are segments, or have a ``line`` or ``ring`` of points."""
+    if "ax" in tracks.columns:
+        return tracks
+    line = F.col("ring" if "ring" in tracks.columns else "line")
+    pairs = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), lambda a, e: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), e["x"].alias("ex"), e["y"].alias("ey")))
+    return tracks.where(F.size(line) > 1).select(F.inline(pairs))
+
+
 def hanging(xyz: np.ndarray, own: np.ndarray, rules: dict, min_sag: float, span: float, voxel: float = 0.05, width: float = 0.75) -> np.ndarray:
     """Which of the points around one cable belong to a light that hangs from it.
 

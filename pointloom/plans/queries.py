@@ -875,3 +875,31 @@ gone AS (SELECT DISTINCT g.cx, g.cy FROM grown g JOIN rim r ON r.cx BETWEEN g.cx
 SELECT cx, cy FROM grown WHERE (cx, cy) NOT IN (SELECT (cx, cy) FROM gone)""")
 def tram_corridor(t: Tables) -> DataFrame:
     return spatial.corridor(t.lines, 200, 400, 100)
+
+
+@query("full_cascade")
+def full_cascade(t: Tables) -> DataFrame:
+    """All kinds of stages in their usual order, counted by tile: ground to cars, trees and lamps, furniture, and growing."""
+    scratch = Scratch(t.spark, "full")
+    objects = rasters.lookup(t.objects, t.raster, GRID, ["ground"])
+    pole = {"pad": 300, "max_distance": 400, "size": 200, "seed_height": 600, "min_height": 100, "min_points": 1, "max_r": 400, "z_min": 20, "z_max": 1400, "plane": 500, "radius": 300, "near": 200, "eps": 400, "min_samples": 2}
+    cable = {"tram_height": 900, "tram_distance": 100, "tram_gap": 200, "tram_cell": 50, "bottom": 450, "top": 1200, "offset": 125, "size": 9, "radius": 400, "linear": 0.8, "max_tilt": 80, "cluster_eps": 200, "grow": 150, "min_length": 100, "bin": 300}
+    small = stages.Limits(50, 1200, 5, 400, 5, 900)
+    steps = [
+        stages.Ground(refine=False, epsilon=20),
+        stages.Road(t.footprints, bin=300),
+        stages.Noise(scratch, epsilon=20, size=90, min_size=2),
+        stages.Footprint(t.footprints, epsilon=20, bin=300),
+        stages.Cable(scratch, t.footprints.where("type = 'pand'"), t.lines, **cable),
+        stages.Car(t.footprints, scratch, _LIMITS, size=120, min_size=3, bin=300),
+        stages.Pole(objects, scratch, L.TREE, "boom", label_height=900, **pole),
+        stages.Pole(objects, scratch, L.STREET_LIGHT, "lichtmast", label_height=700, **pole),
+        stages.Pole(objects, scratch, L.TRAFFIC_SIGN, "verkeersbord", label_height=500, **pole),
+        stages.Furniture(t.objects, scratch, small, L.RUBBISH_BIN, "lichtmast", size=100, min_size=2, max_distance=300),
+        stages.Furniture(t.objects, scratch, small, L.CITY_BENCH, "verkeersbord", size=100, min_size=2, max_distance=300),
+        stages.Grow(scratch, L.BUILDING, 100, 3, 0.3),
+        stages.Grow(scratch, L.STREET_LIGHT, 100, 2, 0.1),
+        stages.Grow(scratch, L.TRAFFIC_SIGN, 100, 2, 0.1),
+        stages.GrowInLayers(scratch, L.TREE, ({"top": 500, "size": 120, "min_size": 3, "threshold": 0.2}, {"bottom": 400, "size": 100, "min_size": 2, "threshold": 0.1}), True),
+    ]
+    return stages.cascade(t.points, steps).groupBy("tile", "label").agg(F.count("*").alias("n"))

@@ -151,6 +151,25 @@ def test_cascade_reads_the_cloud_once_a_stage(spark):
     assert [n for _, n in report] == [20, 0, 5, 0, 0, 0, 0, 0, 15]
 
 
+def test_tram_corridor_closes_gaps(spark):
+    """A gap between two tracks is closed, one that is too wide isn't, and corners stay round."""
+    tracks = spark.createDataFrame([(0.0, 0.0, 40.0, 0.0), (0.0, 8.0, 40.0, 8.0), (0.0, 30.0, 40.0, 30.0)], "ax double, ay double, ex double, ey double")
+    cells = {((r.cx + 0.5) * 0.5, (r.cy + 0.5) * 0.5) for r in spatial.corridor(tracks, 2.0, 2.8, 0.5).collect()}
+    for y in (0.25, 1.75, 3.75, 4.25, 7.75, 9.25, 30.25, 31.25):
+        assert (20.25, y) in cells
+    for y in (-2.75, 11.25, 15.25, 25.25, 33.25):
+        assert (20.25, y) not in cells
+    assert (-1.25, 30.25) in cells and (-1.75, 31.75) not in cells
+
+
+def test_growing_stages(spark):
+    points = scene(spark, [(k * 0.1, 0, 0.3 + k * 0.1) for k in range(30)] + [(9, 9, 1)]).withColumn("label", F.when(F.col("point_id") < 9, 30).when(F.col("point_id").between(20, 23), 99).otherwise(0))
+    assert marked(stages.Grow(Scratch(spark, "t"), 30, 0.2, 5, 0.2)(points), 30) == set(range(20))
+    assert marked(stages.Grow(Scratch(spark, "t"), 30, 0.2, 5, 0.2, (99,))(points), 30) == set(range(30))
+    layers = ({"top": 1.05, "size": 0.2, "min_size": 3, "threshold": 0.2}, {"bottom": 0.75, "top": 2.05, "size": 0.2, "min_size": 3, "threshold": 0.1})
+    assert marked(stages.GrowInLayers(Scratch(spark, "t"), 30, layers)(points), 30) == set(range(18))
+
+
 def brute_components(points, touch):
     name = list(range(len(points)))
     changed = True

@@ -66,41 +66,37 @@ def combinations(full: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 
 def nnls(matrix: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 that minimises |matrix x - target|, by the active-set method; scale-free stopping."""
-    rows, columns = matrix.shape
-    x, active = np.zeros(columns), np.zeros(columns, bool)
+    """x >= 0 that minimises |matrix x - target|, by the active-set method; scale-free stopping.
+
+    After ``rounds`` columns the search ends with what it has, which is feasible; the rest is packed greedily.
+    """
+    columns = matrix.shape[1]
+    x, active, barred = np.zeros(columns), np.zeros(columns, bool), np.zeros(columns, bool)
     scale = max(1.0, float(np.abs(target).max()))
-    residual = target.astype(float)
     for _ in range(rounds):
-        gain = matrix.T @ residual
-        gain[active] = -np.inf
+        gain = matrix.T @ (target - matrix @ x)
+        gain[active | barred] = -np.inf
         best = int(gain.argmax())
         if gain[best] <= 1e-7 * scale:
             break
         active[best] = True
-        while True:
+        while active.any():
             on = np.flatnonzero(active)
             solved = np.linalg.lstsq(matrix[:, on], target, rcond=None)[0]
             low = solved <= 1e-10 * scale
             if not low.any():
                 x[:] = 0
                 x[on] = solved
+                barred[:] = False
+                break
+            if on[low].tolist() == [best]:  # a column that rounding alone let in
+                active[best], barred[best] = False, True
                 break
-            if on[low].tolist() == [best]:  # the new column can't enter
-                active[best] = False
-                residual = np.where(True, target - matrix @ x, 0)
-                return x
             ratio = x[on][low] / np.maximum(x[on][low] - solved[low], 1e-300)
-            step = float(ratio.min())
-            x[on] += step * (solved - x[on])
+            x[on] += float(ratio.min()) * (solved - x[on])
             drop = on[x[on] <= 1e-10 * scale]
             active[drop] = False
             x[drop] = 0
-            if not active.any():
-                break
-        residual = target - matrix @ x
-        if active.sum() >= rows:
-            break
     return x
 
 

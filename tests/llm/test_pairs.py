@@ -182,7 +182,7 @@ def test_spot_near_duplicates(spark, spots):
     assert {(r.a, r.b) for r in links.collect()} == want
 
 
-def test_decontamination_matches_brute_force(spark):
+def test_decontamination_matches_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     items = [prose(rng, n) for n in (30, 40, 12, 5, 4, 2, 60)] + [None, "", "!!"]
     texts = [prose(rng, 50) for _ in range(15)] + [None, "", items[4], "A, " + items[5].upper() + "!"]
@@ -204,10 +204,10 @@ def test_decontamination_matches_brute_force(spark):
                 if len(own & has) >= 0.75 * len(own):
                     want.add((i, j, len(own & has)))
     for limit in (20_000, 3):
-        shingle_sql.LITERALS = limit
+        monkeypatch.setattr(shingle_sql, "LITERALS", limit)
         got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(docs, bench).collect()}
         assert got == want
-    shingle_sql.LITERALS = 20_000
+    monkeypatch.setattr(shingle_sql, "LITERALS", 20_000)
     docs = docs.withColumn("_bad", F.col("source")).withColumn("t", F.col("source")).withColumn("w", F.col("source")).withColumn("item_id", F.lit(0))
     left = decontaminate.clean(docs, bench)
     assert left.columns == docs.columns
@@ -230,7 +230,9 @@ def test_decontamination_where_items_repeat(spark):
     assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {0, 4}
 
 
-def test_license_scan(spark):
+@pytest.mark.parametrize("literals", [20_000, 3])
+def test_license_scan(spark, monkeypatch, literals):
+    monkeypatch.setattr(shingle_sql, "LITERALS", literals)
     rng = random.Random(13)
     long_one = dict(license_scan.TEMPLATES)["mit-grant"]
     w = long_one.split()

@@ -365,4 +365,5 @@ def test_digests_dealt_twice(spark, monkeypatch):
     want = {tuple(r) for r in chunk_dedup.repeats(docs).collect()}
     monkeypatch.setattr(chunk_dedup, "FAN", 3)
     monkeypatch.setattr(chunk_dedup, "SPLIT", 100)
+    monkeypatch.setattr(chunk_dedup, "BROADCAST_IDS", 0)
     assert {tuple(r) for r in chunk_dedup.repeats(docs).collect()} == want and len(want) == 11

@@ -76,7 +76,10 @@ def overlap_percent(rectangle: np.ndarray, ring: np.ndarray) -> float:
 
 
 def triangles(xy: np.ndarray) -> np.ndarray:
-    """Delaunay triangles of distinct points, by insertion into a growing cavity."""
+    """Delaunay triangles of distinct points, by insertion from left to right into a growing cavity.
+
+    A triangle whose circle ends left of the next point is final, so only those at the front are looked through.
+    """
     p = np.asarray(xy, float)
     n = len(p)
     mid, span = p.mean(axis=0), max(float(np.ptp(p, axis=0).max()), 1e-9) * 1e3
@@ -87,13 +90,19 @@ def triangles(xy: np.ndarray) -> np.ndarray:
         a, b, c = all_p[t[:, 0]], all_p[t[:, 1]], all_p[t[:, 2]]
         b, c = b - a, c - a
         d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-        d = np.where(np.abs(d) < 1e-300, 1e-300, d)
+        flat = np.abs(d) < 1e-300
+        d = np.where(flat, 1, d)
         bb, cc = (b * b).sum(1), (c * c).sum(1)
         u = np.stack([(c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d], axis=1)
-        return a + u, (u * u).sum(1)
+        return a + np.where(flat[:, None], 0, u), np.where(flat, np.inf, (u * u).sum(1))
 
     centre, r2 = circles(tri)
-    for i in range(n):
+    final = []
+    for i in np.lexsort((p[:, 1], p[:, 0])):
+        over = centre[:, 0] + np.sqrt(r2) * (1 + 1e-9) < p[i, 0]
+        if over.any():
+            final.append(tri[over])
+            tri, centre, r2 = tri[~over], centre[~over], r2[~over]
         bad = ((centre - p[i]) ** 2).sum(1) <= r2 * (1 + 1e-12)
         edges = np.sort(tri[bad][:, [[0, 1], [1, 2], [2, 0]]].reshape(-1, 2), axis=1)
         once, count = np.unique(edges, axis=0, return_counts=True)
@@ -101,9 +110,36 @@ def triangles(xy: np.ndarray) -> np.ndarray:
         new = np.column_stack([border, np.full(len(border), i)])
         c, r = circles(new)
         tri, centre, r2 = np.vstack([tri[~bad], new]), np.vstack([centre[~bad], c]), np.concatenate([r2[~bad], r])
+    tri = np.vstack([*final, tri])
     return tri[(tri < n).all(axis=1)]
 
 
+def outline(corners: np.ndarray) -> list[np.ndarray]:
+    """Closed rings around triangles (n x 3 x 2) that share whole edges: outer ones counter-clockwise, holes clockwise."""
+    if not len(corners):
+        return []
+    u, v = corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
+    side = u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]
+    t = np.where((side > 0)[:, None, None], corners, corners[:, ::-1])
+    edges = {(tuple(x[k]), tuple(x[(k + 1) % 3])) for x in t.tolist() for k in range(3)}
+    after: dict[tuple, list[tuple]] = {}
+    for a, b in sorted(edges):
+        if (b, a) not in edges:  # an edge of one triangle only
+            after.setdefault(a, []).append(b)
+    rings = []
+    for start in sorted(after):
+        while after[start]:
+            ring = [start, after[start].pop(0)]
+            while ring[-1] != start:
+                own = after[ring[-1]]
+                if len(own) > 1:  # where parts meet in a point, the sharpest turn to the left stays with the part
+                    back = np.arctan2(ring[-2][1] - ring[-1][1], ring[-2][0] - ring[-1][0])
+                    own.sort(key=lambda q: (back - np.arctan2(q[1] - ring[-1][1], q[0] - ring[-1][0])) % (2 * np.pi))
+                ring.append(own.pop(0))
+            rings.append(np.array(ring))
+    return rings
+
+
 def alpha_triangles(xy: np.ndarray, alpha: float) -> np.ndarray:
     """Triangles of the alpha shape, as n x 3 x 2 corners: those with a circumradius below ``1 / alpha``."""
     p = np.unique(np.asarray(xy, float), axis=0)

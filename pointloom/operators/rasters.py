@@ -62,16 +62,20 @@ def file_of_tile(index: DataFrame, box: dict[str, Column]) -> DataFrame:
     return index.where(inside).orderBy("Xmin", "Ymax", "Filename").limit(1)
 
 
-def idw(cells: DataFrame, samples: DataFrame, radius, k: int = 8, power: float = 2, reg: float = 0, near: float = 1e-12, keys: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
+def idw(cells: DataFrame, samples: DataFrame, radius, k: int = 8, power: float = 2, reg: float = 0, near: float = 1e-12, keys: tuple[str, ...] = ("ix", "iy"), weight: str | None = None) -> DataFrame:
     """Inverse-distance-weighted value of ``samples(id, x, y, value)`` at each cell; cells without a sample have no row.
 
-    The ``k`` nearest samples within ``radius`` count with ``1 / (d ** power + reg)``; one at most ``near`` away decides.
+    The ``k`` nearest samples within ``radius`` count with ``1 / (d ** power + reg)``, times their column ``weight`` if it is
+    named; one at most ``near`` away decides. A cell whose weights don't add up to more than 0 is null.
     """
-    found = nearest(cells, samples, list(keys), "id", radius, k, keep=("value",))
+    found = nearest(cells, samples, list(keys), "id", radius, k, keep=("value", *([weight] if weight else [])))
     d = F.sqrt(F.col("d2").cast("double"))
     w = 1 / (F.pow(d, F.lit(float(power))) + reg)
+    if weight:
+        w = w * F.col(weight)
     on_sample = F.min_by("value", F.struct("d2", "id"))
-    mean = F.sum(F.when(d > near, w * F.col("value"))) / F.sum(F.when(d > near, w))
+    total = F.sum(F.when(d > near, w))
+    mean = F.when(total > 0, F.sum(F.when(d > near, w * F.col("value"))) / total)
     return found.groupBy(*keys).agg(F.when(F.min(d) <= near, on_sample.cast("double")).otherwise(mean).alias("value"))
 
 

@@ -114,7 +114,7 @@ def convex_hulls(points: DataFrame, by: list[str]) -> DataFrame:
 def alpha_shapes(points: DataFrame, by: list[str], alpha: float) -> DataFrame:
     """Area and number of triangles of each group's alpha shape; groups of fewer than four places have none.
 
-    A point is in the shape if it is in a kept triangle, so outlines needn't be stitched.
+    A point is in the shape if it is in a kept triangle, so membership needs no outline; ``alpha_outlines`` has them.
     """
 
     def kernel(xy):
@@ -126,6 +126,25 @@ def alpha_shapes(points: DataFrame, by: list[str], alpha: float) -> DataFrame:
     return _per_group(points, by, ["x", "y"], "area double, triangles long", kernel)
 
 
+def alpha_outlines(points: DataFrame, by: list[str], alpha: float) -> DataFrame:
+    """The rings of each group's alpha shape: ``ring_id, hole, area, ring``; closed, holes clockwise and with negative area.
+
+    Groups of fewer than four places, or without a kept triangle, have no row.
+    """
+    kinds = dict(points.dtypes)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        xy = np.unique(np.column_stack([table[c].to_numpy().astype(float) for c in ("x", "y")]), axis=0)
+        rings = K.outline(K.alpha_triangles(xy, alpha)) if len(xy) > 3 else []
+        area = [float(r[:-1, 0] @ r[1:, 1] - r[1:, 0] @ r[:-1, 1]) / 2 for r in rings]
+        own = {c: pa.array([k.as_py()] * len(rings), k.type) for c, k in zip(by, key, strict=True)}
+        ring = pa.array([[{"x": x, "y": y} for x, y in r.tolist()] for r in rings], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        return pa.table({**own, "ring_id": pa.array(range(len(rings)), pa.int32()), "hole": pa.array([a < 0 for a in area], pa.bool_()), "area": pa.array(area, pa.float64()), "ring": ring})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", ring_id int, hole boolean, area double, ring array<struct<x: double, y: double>>"
+    return points.select(*by, "x", "y").groupBy(*by).applyInArrow(run, schema)
+
+
 def bounding_rectangles(points: DataFrame, by: list[str]) -> DataFrame:
     """Smallest rectangle of each group: centre, sides and corners as ``x0, y0, x1, …``."""
 

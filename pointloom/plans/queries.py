@@ -246,9 +246,19 @@ cuts AS (
   FROM ends WHERE NOT (dx = 0 AND (ax < 2500 OR ax > 7500)) AND NOT (dy = 0 AND (ay < 2500 OR ay > 7500)))
 SELECT line_id, round(t0, 4) AS t0, round(t1, 4) AS t1 FROM cuts WHERE t0 <= t1""")
 def registry_lines_in_tile(t: Tables) -> DataFrame:
-    box = {k: F.lit(v) for k, v in BOX.items()}
-    some = registry.areas_in_tile(t.lines, BOX).withColumn("c", G.clipped_segment(F.col("ax"), F.col("ay"), F.col("ex"), F.col("ey"), box))
-    return some.where("c is not null").select("line_id", F.round("c.t0", 4).alias("t0"), F.round("c.t1", 4).alias("t1"))
+    return registry.lines_in_tile(t.lines, BOX).select("line_id", *_round("t0", "t1"))
+
+
+@query("registry_grown_areas", """
+SELECT p.point_id, count(*) AS areas FROM cloud p JOIN footprints f ON f.type = 'pand' AND f.x_min < 7500 AND f.x_max > 2500 AND f.y_min < 7500 AND f.y_max > 2500
+  AND p.x BETWEEN f.x_min - 125 AND f.x_max + 125 AND p.y BETWEEN f.y_min - 125 AND f.y_max + 125
+WHERE pow(greatest(f.x_min - p.x, 0, p.x - f.x_max), 2) + pow(greatest(f.y_min - p.y, 0, p.y - f.y_max), 2) <= 15625 GROUP BY p.point_id""")
+def registry_grown_areas(t: Tables) -> DataFrame:
+    """How many of a tile's buildings, grown by a distance, hold each point."""
+    areas = registry.grown(registry.areas_in_tile(t.footprints, BOX, ["pand"]), 125)
+    x, y = F.col("p.x"), F.col("p.y")
+    exact = G.in_rectangle(x, y, F.col("s.x_min"), F.col("s.y_min"), F.col("s.x_max"), F.col("s.y_max")) & G.near_ring(x, y, F.col("s.ring"), 125)
+    return spatial.points_in_shapes(t.cloud.select("point_id", "x", "y"), areas, exact, 500, "inner").groupBy("point_id").agg(F.count("*").alias("areas"))
 
 
 @query("plane_slice", "\nSELECT DISTINCT c.code AS label FROM points p JOIN cloud c USING (point_id) WHERE p.z BETWEEN p.ground + 145 AND p.ground + 155")
@@ -433,6 +443,17 @@ def alpha_shapes(t: Tables) -> DataFrame:
     return shapes.alpha_shapes(t.cloud, ["cluster_id"], 0.0005)
 
 
+@query("alpha_outlines", ORACLE["alpha_shapes"].split("WITH " + BASE)[1].split("\nSELECT cluster_id, coalesce(sum(area), 0)")[0] + """,
+directed AS (
+  SELECT cluster_id, ax AS x, ay AS y, ex AS tx, ey AS ty FROM kept UNION ALL SELECT cluster_id, ex, ey, cx, cy FROM kept UNION ALL SELECT cluster_id, cx, cy, ax, ay FROM kept),
+border AS (SELECT * FROM directed d WHERE NOT EXISTS (SELECT 1 FROM directed o WHERE o.cluster_id = d.cluster_id AND o.x = d.tx AND o.y = d.ty AND o.tx = d.x AND o.ty = d.y))
+SELECT cluster_id, count(*) AS corners, round(sum(x * ty - tx * y) / 2e0, 1) AS area FROM border WHERE cluster_id IN (SELECT cluster_id FROM places GROUP BY cluster_id HAVING count(*) > 3) GROUP BY cluster_id""")
+def alpha_outlines(t: Tables) -> DataFrame:
+    """Corners and area of each alpha shape's rings together, holes taken off."""
+    out = shapes.alpha_outlines(t.cloud, ["cluster_id"], 0.0005)
+    return out.groupBy("cluster_id").agg(F.sum(F.size("ring") - 1).alias("corners"), F.round(F.sum("area"), 1).alias("area"))
+
+
 # the smallest rectangle over all hull edges, in the frame of each; several of one area have the smaller side first
 _BOXES = """turned AS (
   SELECT cluster_id, ex - ax AS dx, ey - ay AS dy, pow(ex - ax, 2) + pow(ey - ay, 2) AS l2, min(x * (ex - ax) + y * (ey - ay)) AS u0, max(x * (ex - ax) + y * (ey - ay)) AS u1, min(y * (ex - ax) - x * (ey - ay)) AS v0, max(y * (ex - ax) - x * (ey - ay)) AS v1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_of_ring
+from ..functions.geometry import box_of_ring, clipped_segment
 
 POINTS = "type string, x double, y double"
 POLYGONS = "type string, polygon string, x_min double, y_max double, x_max double, y_min double"
@@ -44,6 +44,22 @@ def areas_in_tile(registry: DataFrame, box: dict, include: list[str] | None = No
     return out.where(~F.col("type").isin(exclude)) if exclude else out
 
 
+def lines_in_tile(registry: DataFrame, box: dict, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """Segments ``ax, ay, ex, ey`` that cross a tile, with the share of each that lies in it as ``t0, t1``."""
+    some = areas_in_tile(registry, box, include, exclude)
+    part = clipped_segment(F.col("ax"), F.col("ay"), F.col("ex"), F.col("ey"), {k: F.lit(v) for k, v in box.items()})
+    return some.withColumn("_part", part).where("_part is not null").select(*registry.columns, F.col("_part.t0").alias("t0"), F.col("_part.t1").alias("t1"))
+
+
+def grown(areas: DataFrame, offset) -> DataFrame:
+    """Registry polygons with their boxes grown and ``offset`` beside them, for ``geometry.near_ring`` or a stage's own offset.
+
+    Membership in a polygon grown by a distance, and in several of them, needs neither a grown ring nor a merged one.
+    """
+    sides = {"x_min": -1, "y_min": -1, "x_max": 1, "y_max": 1}
+    return areas.withColumns({c: F.col(c) + sign * offset for c, sign in sides.items()} | {"offset": F.lit(offset)})
+
+
 def type_of_layer(name: Column) -> Column:
     """A layer's name without its first two parts."""
     parts = F.split(name, "_")

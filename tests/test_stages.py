@@ -278,6 +278,20 @@ def test_nearest_value_and_samples_on_cells(spark):
     assert {(r.ix, r.value) for r in rasters.nearest_value(cells, samples, 6).collect()} == {(0, 5.0), (1, 1.0)}
 
 
+def test_weighted_interpolation(spark):
+    cells = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 0, 9.0, 0.0)], "ix int, iy int, x double, y double")
+    samples = spark.createDataFrame([(1, 1.0, 0.0, 10.0, 1.0), (2, -2.0, 0.0, 40.0, 4.0), (3, 9.5, 0.0, 7.0, 0.0)], "id long, x double, y double, value double, trust double")
+    got = {r.ix: r.value for r in rasters.idw(cells, samples, 3.0, weight="trust").collect()}
+    assert got == {0: pytest.approx(25.0), 1: None}
+    assert {r.ix: r.value for r in rasters.idw(cells, samples, 3.0).collect()} == {0: pytest.approx(16.0), 1: pytest.approx(7.0)}
+
+
+def test_outlines_of_groups(spark):
+    rows = [(1, float(x), float(y)) for x in range(5) for y in range(5) if (x, y) != (2, 2)] + [(2, 0.0, 0.0), (2, 1.0, 1.0)]
+    got = shapes.alpha_outlines(spark.createDataFrame(rows, "tile long, x double, y double"), ["tile"], 1.2).collect()
+    assert sorted((r.tile, r.hole, r.area) for r in got) == [(1, False, 16.0), (1, True, -2.0)]
+
+
 def test_gap_sizes(spark):
     grid = rasters.Grid(0, 10, 1, 60, 3)
     raster = grid.cells(spark).withColumn("ground", F.when(~((F.col("iy") == 1) & (F.col("ix") < 50)) & ~((F.col("iy") == 0) & (F.col("ix") == 55)), 1.0))

@@ -592,3 +592,13 @@ def test_stream_of_tiles(spark, tmp_path):
     scene(spark, [(7, 7, 0.1)]).write.parquet(f"{tmp_path}/in/tile9")
     run()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 7
+
+
+def test_piecewise_line_reads_each_position_once(spark):
+    knots = spark.createDataFrame([(0, 10, 1.0), (0, 20, 3.0), (0, 40, 7.0)], "tile long, t long, v double")
+    at = [None, 5, 10, 15, 15, 20, 30, 40, 50]
+    points = spark.createDataFrame([(0, k, t) for k, t in enumerate(at)] + [(1, 99, 5)], "tile long, point_id long, t long")
+    line = shapes.piecewise(points, knots, ["tile"])
+    assert {r.point_id: r.v for r in line.collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 2.0, 4: 2.0, 5: 3.0, 6: 5.0, 7: 7.0, 8: 7.0, 99: None}
+    # a frame that ends at the last row is summed up anew for every row
+    assert "unboundedfollowing" not in line._jdf.queryExecution().executedPlan().toString().lower()

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import cells, geometry as G, labels as L
-from pointloom.operators import clusters, rasters, shapes, spatial, stages
+from pointloom.operators import clusters, near, rasters, shapes, spatial, stages
 from pointloom.plans import labelling
 from pointloom.plans.scratch import Scratch
 from pointloom.sources import fetch, files, registry, tiff
@@ -602,3 +602,29 @@ def test_piecewise_line_reads_each_position_once(spark):
     assert {r.point_id: r.v for r in line.collect()} == {0: 1.0, 1: 1.0, 2: 1.0, 3: 2.0, 4: 2.0, 5: 3.0, 6: 5.0, 7: 7.0, 8: 7.0, 99: None}
     # a frame that ends at the last row is summed up anew for every row
     assert "unboundedfollowing" not in line._jdf.queryExecution().executedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("radius", [2.5, None])
+def test_nearest_by_blocks_against_brute_force(spark, monkeypatch, radius):
+    monkeypatch.setattr(near, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(near, "PAIRS", 50)
+    rng = random.Random(5)
+    place = lambda wide: tuple(rng.randrange(0, wide) / 4 for _ in range(3))
+    rows = [(k % 2, k, *place(12 if k % 3 else 60)) for k in range(240)] + [(0, 900, 1e3, 0.0, 0.0), (2, 901, 0.0, 0.0, 0.0)]
+    left = spark.createDataFrame(rows, "tile long, point_id long, x double, y double, z double")
+    right = left.where("point_id % 2 = 0 or point_id > 100").withColumnsRenamed({"tile": "other_tile", "point_id": "other_id"})
+    finish, schema = near.pairs(["point_id"], "other_id", ("x", "y", "z"), ("other_tile",), left, right)
+    got = near.nearest(left, right, ["point_id"], "other_id", radius, 5, Scratch(spark, "t"), ("x", "y", "z"), finish, schema, ("tile", "other_tile"))
+    want = set()
+    for t, k, *p in rows:
+        d = sorted((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)), o) for u, o, *q in rows if u == t and (o % 2 == 0 or o > 100))
+        want |= {(k, o, t, d2, n) for n, (d2, o) in enumerate([v for v in d if radius is None or v[0] <= radius * radius][:5], 1)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_local_features_have_no_pairs_in_their_plan(spark):
+    rng = random.Random(6)
+    cloud = scene(spark, box_of_points(rng, 300, (0, 0, 0), (20, 20, 3)))
+    shape = shapes.local_features(cloud, 5, 10)
+    assert shape.count() == 300
+    assert " Join" not in shape._jdf.queryExecution().optimizedPlan().toString()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pointloom.functions import cells, geometry as G, labels as L
 from pointloom.operators import clusters, near, rasters, shapes, spatial, stages
-from pointloom.plans import labelling
+from pointloom.plans import labelling, queries
 from pointloom.plans.scratch import Scratch
 from pointloom.sources import fetch, files, registry, tiff
 from pointloom.streaming.tiles import label_arriving_tiles
@@ -628,3 +628,47 @@ def test_local_features_have_no_pairs_in_their_plan(spark):
     shape = shapes.local_features(cloud, 5, 10)
     assert shape.count() == 300
     assert " Join" not in shape._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_overlaps_of_equal_boxes(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "TASK_PAIRS", 3)
+    rng = random.Random(8)
+    boxes = [(k, x, x + rng.randrange(1, 9), y, y + rng.randrange(1, 9)) for k in range(30) for x, y in [(rng.randrange(20), rng.randrange(20))]]
+    boxes += [(k + 100, *b) for k, *b in boxes]
+    df = spark.createDataFrame(boxes, "id long, x_min long, x_max long, y_min long, y_max long")
+    left, right = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    got = spatial.overlaps(left, right, "id", 5, Scratch(spark, "t"))
+    side = lambda a0, a1, b0, b1: min(a1, b1) - max(a0, b0)
+    want = [(a, b, side(*p[:2], *q[:2]) * side(*p[2:], *q[2:])) for a, *p in boxes for b, *q in boxes if a % 2 == 0 and b % 2 == 1 and side(*p[:2], *q[:2]) > 0 and side(*p[2:], *q[2:]) > 0]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and got.rdd.getNumPartitions() >= len(want) // 3
+
+
+def test_poles_of_objects_on_one_place(spark):
+    rng = random.Random(9)
+    points = scene(spark, [(10 + rng.uniform(-0.05, 0.05), 10 + rng.uniform(-0.05, 0.05), k / 100) for k in range(300)])
+    objects = spark.createDataFrame([(1, 10.0, 10.0, 0.0), (2, 10.0, 10.0, None), (3, 30.0, 10.0, 0.0), (4, None, 1.0, 0.0)], "object_id long, x double, y double, ground double")
+    stage = stages.Pole(objects, Scratch(spark, "t"), L.TREE, min_points=10)
+    found = stage.candidates(points, objects)
+    assert {r.object_id for r in found.collect()} == {1, 2}
+    # pairs of objects and points stay in their task
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_repeated_shapes_are_tested_once(spark):
+    house = area(spark, [(0, 0), (10, 0), (10, 10), (0, 10)], "pand")
+    many = house.unionByName(house).unionByName(house)
+    points = scene(spark, [(5, 5, 1), (20, 5, 1)])
+    out = stages.Footprint(many)(points)
+    assert marked(out, L.BUILDING) == {0}
+    assert "Aggregate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_equal_areas_are_counted(spark, tmp_path):
+    source = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{source}/events.parquet").write.parquet(str(tmp_path / "events.parquet"))
+    part = spark.read.parquet(f"{source}/part.parquet")
+    part.unionByName(part.withColumn("p_partkey", F.col("p_partkey") + 20000)).write.parquet(str(tmp_path / "part.parquet"))
+    query = queries.QUERIES["registry_grown_areas"]
+    once, twice = query(spark, source), query(spark, str(tmp_path))
+    assert {r.point_id: 2 * r.areas for r in once.collect()} == {r.point_id: r.areas for r in twice.collect()}
+    assert twice._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
